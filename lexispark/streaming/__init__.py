@@ -1,0 +1 @@
+"""Incremental forms of the corpus queries."""
