@@ -66,7 +66,12 @@ class Bpe:
         np.minimum.at(soonest, left, np.arange(len(pairs)))
         np.minimum.at(soonest, right, np.arange(len(pairs)))
         self.at_once = soonest[made] > np.arange(len(pairs))
-        self.known: dict[str, tuple[str, str]] = {}
+        self.id_text = [str(i) for i in range(self.width)]
+        self.token_text = [self.tokens.get(i, "") for i in range(self.width)]
+        # Of pieces and of chunks: ids and tokens, space-joined.
+        self.pieces_known: dict[str, tuple[str, str]] = {}
+        self.ids_known: dict[str, str] = {}
+        self.tokens_known: dict[str, str] = {}
 
     def normalize(self, text: str) -> str:
         """NFC, white space to a space, lower case character by character."""
@@ -74,8 +79,8 @@ class Bpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece."""
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in one array, and the bounds of each piece in it."""
         size = np.array([len(p) for p in pieces], np.int64)
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         sym, owner = self.inner[raw], np.repeat(np.arange(len(pieces)), size)
@@ -109,49 +114,50 @@ class Bpe:
             sym, owner = sym[keep], owner[keep]
         sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
         sym = sym[np.argsort(owner, kind="stable")]
-        return np.split(sym, np.cumsum(np.bincount(owner, minlength=len(pieces)))[:-1])
-
-    def learn(self, chunks: list[str]) -> dict[str, tuple[str, str]]:
-        """For each chunk its ids and its tokens, space-joined."""
-        pieces, owner = [], []
-        for n, chunk in enumerate(chunks):
-            for p in self.pieces.findall(chunk):
-                pieces.append(p.encode("utf-8"))
-                owner.append(n)
-        ids: list[list[int]] = [[] for _ in chunks]
-        if pieces:
-            for n, got in zip(owner, self.merge(pieces), strict=True):
-                ids[n].extend(got.tolist())
-        return {c: (" ".join(map(str, i)), " ".join(map(self.tokens.__getitem__, i))) for c, i in zip(chunks, ids, strict=True)}
-
-    def chunks(self, text: str) -> list[str | int]:
-        """The text's chunks in order; special tokens as their ids."""
+        return sym, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pieces)))])
+
+    def learn(self, chunks: list[str]) -> None:
+        """Finds ids and tokens of new chunks, by way of those of their new pieces."""
+        cut = [self.pieces.findall(c) for c in chunks]
+        fresh = list({p for pieces in cut for p in pieces if p not in self.pieces_known})
+        if fresh:
+            sym, bounds = self.merge([p.encode("utf-8") for p in fresh])
+            sym, bounds = sym.tolist(), bounds.tolist()
+            ids, tokens = [self.id_text[i] for i in sym], [self.token_text[i] for i in sym]
+            for p, a, b in zip(fresh, bounds, bounds[1:], strict=False):
+                self.pieces_known[p] = " ".join(ids[a:b]), " ".join(tokens[a:b])
+        for c, pieces in zip(chunks, cut, strict=True):
+            got = [self.pieces_known[p] for p in pieces]
+            self.ids_known[c], self.tokens_known[c] = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+
+    def chunks(self, text: str) -> list[str]:
+        """The text's chunks in order; special tokens, which normalised chunks can't be, stand for themselves."""
         if "<" not in text or not self.raw.search(text):
-            return _split(self.normalize(text))
-        out: list[str | int] = []
-        at = 0
+            return split(self.normalize(text))
+        out, at = [], 0
         for m in self.raw.finditer(text):
-            out += _split(self.normalize(text[at : m.start()]))
-            out.append(self.special[m[0]])
+            out += [*split(self.normalize(text[at : m.start()])), _SPECIAL + m[0]]
             at = m.end()
-        return out + _split(self.normalize(text[at:]))
+        return out + split(self.normalize(text[at:]))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its ids, space-joined, and its decoded text (tokens joined by a space, as there is no decoder)."""
+        if len(self.ids_known) > REMEMBERED or len(self.pieces_known) > REMEMBERED:
+            self.ids_known, self.tokens_known, self.pieces_known = {}, {}, {}
+        for t, i in self.special.items():
+            self.ids_known[_SPECIAL + t], self.tokens_known[_SPECIAL + t] = str(i), t
         cut = [self.chunks(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list({c for chunks in cut for c in chunks if isinstance(c, str) and c not in self.known})
-        learnt: dict[str, tuple[str, str]] = {}
+        fresh = list(set().union(*cut).difference(self.ids_known))
         for at in range(0, len(fresh), 20_000):
-            learnt |= self.learn(fresh[at : at + 20_000])
-        special = {i: (str(i), self.tokens[i]) for i in self.special.values()}
-        self.known |= {c: v for c, v in learnt.items() if len(c) <= LONGEST}
-        found = self.known | {c: v for c, v in learnt.items() if len(c) > LONGEST} if any(len(c) > LONGEST for c in fresh) else self.known
-        out = []
-        for chunks in cut:
-            got = [special[c] if isinstance(c, int) else found[c] for c in chunks]
-            out.append((" ".join(x[0] for x in got if x[0]), " ".join(x[1] for x in got if x[0])))
+            self.learn(fresh[at : at + 20_000])
+        ids, tokens = self.ids_known.__getitem__, self.tokens_known.__getitem__
+        out = [(" ".join(map(ids, chunks)), " ".join(map(tokens, chunks))) for chunks in cut]
+        for c in fresh:
+            if len(c) > LONGEST:
+                del self.ids_known[c], self.tokens_known[c]
+                for p in self.pieces.findall(c):
+                    if len(p) > LONGEST:
+                        self.pieces_known.pop(p, None)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -159,13 +165,15 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def _split(text: str) -> list[str]:
+def split(text: str) -> list[str]:
     """Runs of other characters than the tokenizer's white space, which leaves out the four ASCII separators that str.split takes."""
     if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):
         return [x for x in _SPACE.split(text) if x]
     return text.split()
 
 
+#: Marks a special token among chunks; white space, so no chunk begins with it.
+_SPECIAL = " "
 _SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _LOADED: dict[str, Bpe] = {}
 
