@@ -27,6 +27,8 @@ from lexispark.llm import common
 
 #: Hash buckets, smoothing count per bucket, and the score from which documents are kept.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.07
+#: Bits of the filter in front of the join with trusted ids.
+FILTER_BITS = 1 << 23
 #: Rules: fewest words, most words in repeated windows in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 WHITE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
@@ -76,28 +78,47 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by bucket over all trusted documents and over all documents."""
-    common.ship(docs.sparkSession)
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("_trusted", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(trusted, F.col("doc_id") == F.col("_id"), "left")
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of the trusted documents.
+
+    Before the join by id, a filter of FILTER_BITS bits lets few others through, so that texts which aren't
+    trusted are hardly shuffled. It is broadcast: it has at most FILTER_BITS / 64 rows of two numbers,
+    whatever the input.
+    """
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+
+    def place(c: str) -> F.Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    def bit(c: str) -> F.Column:
+        return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64L) as int))")
+
+    bits = trusted.groupBy(F.floor(place("_id") / 64).alias("_word")).agg(F.bit_or(bit("_id")).alias("_bits"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    likely = rows.join(F.broadcast(bits), F.floor(place("doc_id") / 64) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit("doc_id")) != 0)
+    return likely.join(trusted.hint("merge"), F.col("doc_id") == F.col("_id")).select("text")
+
+
+def _counted(texts: DataFrame) -> np.ndarray:
+    """Counts of n-grams by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros(BUCKETS, np.int64)
         for b in common.text_batches(batches):
-            for text, own in zip(b.column(0), b.column(1), strict=True):
-                g = np.bincount(grams(word_numbers((text.as_py() or "").encode("utf-8", "replace").split())), minlength=BUCKETS)
-                sums[1] += g
-                if own.as_py():
-                    sums[0] += g
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums[0]), pa.array(sums[1])], names=["bucket", "trusted", "raw"])
-
-    parts = rows.select("text", F.coalesce("_trusted", F.lit(False)).alias("own")).mapInArrow(run, "bucket long, trusted long, raw long")
-    total = parts.groupBy("bucket").agg(F.sum("trusted").alias("trusted"), F.sum("raw").alias("raw")).collect()
-    out = np.zeros((2, BUCKETS), np.int64)
-    for r in total:
-        out[:, r["bucket"]] = r["trusted"], r["raw"]
-    return out[0], out[1]
+            for text in b.column(0):
+                sums += np.bincount(grams(word_numbers((text.as_py() or "").encode("utf-8", "replace").split())), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(sums)], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def gram_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by bucket over all trusted documents and over all documents."""
+    common.ship(docs.sparkSession)
+    return _counted(trusted_texts(docs, labels)), _counted(docs.select(F.col("text").cast("string")))
 
 
 def ratios(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
