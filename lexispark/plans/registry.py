@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexispark.plans import attribution, base, cleaning, eda
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Authors of the test works by their nearest train document."""
+    return attribution.nearest_authors(spark, sf_dir)
+
+
+__all__ = ["attribution", "cleaning", "eda", "entry", "oracle_sql", "queries"]

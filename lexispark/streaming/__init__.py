@@ -1 +1 @@
-"""Incremental forms of the corpus queries."""
+"""Empty: no operator of this library is a stream."""
