@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
+from lexispark.session import cut
 
 #: Rows of a block of vectors.
 BLOCK = 512
@@ -59,43 +61,46 @@ def standardize(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 def _blocks(rows: DataFrame, ident: str, vec: str, n: int) -> DataFrame:
     b = F.pmod(F.xxhash64("doc_ord"), F.lit(n)).alias("b")
-    return rows.select(b, F.struct(F.col("doc_ord").alias("id"), F.col("z").alias("v")).alias("r")).groupBy("b").agg(F.collect_list("r").alias("r")).select(F.col("b").alias(ident), F.col("r").alias(vec))
+    return rows.select(b, F.struct("doc_ord", "z").alias("r")).groupBy("b").agg(F.collect_list("r").alias("r")).select(F.col("b").alias(ident), F.col("r").alias(vec))
 
 
 def nearest(test: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:
     """(doc_ord, place, delta, neighbour): the k nearest train rows by mean absolute difference (rounded to nine places), then by id.
 
     A query set is held against all rows, block by block: each block of test rows meets each block of train rows in
-    one place, and only the k best of each meeting go on.
+    one place, and only the k best of each meeting go on. The inputs are counted and read twice, so they should be
+    tables or checkpoints.
     """
     nt, nr = (max(1, -(-df.count() // BLOCK)) for df in (test, train))
     left = _blocks(test, "tb", "t", nt).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
     met = left.join(_blocks(train, "rb", "r", nr), "rb").select("t", "r")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    def rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat = column.flatten()
+        ids = flat.field(0).to_numpy(zero_copy_only=False)
+        return ids, flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
-        for pdf in batches:
-            for t, r in zip(pdf["t"], pdf["r"], strict=True):
-                ti, ri = np.array([x["id"] for x in t]), np.array([x["id"] for x in r])
-                tv, rv = np.array([x["v"] for x in t]), np.array([x["v"] for x in r])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                (ti, tv), (ri, rv) = (rows(batch.column(c).slice(n, 1)) for c in (0, 1))
                 order = np.argsort(ri, kind="stable")
                 ri, rv = ri[order], rv[order]
-                for i in range(len(ti)):
-                    d = np.round(np.abs(rv - tv[i]).mean(axis=1), 9) if rv.shape[1] else np.zeros(len(ri))
-                    best = np.argsort(d, kind="stable")[:k]
-                    yield pd.DataFrame({"doc_ord": ti[i], "delta": d[best], "neighbour": ri[best]})
+                d = np.stack([np.round(np.abs(rv - v).mean(axis=1), 9) if rv.shape[1] else np.zeros(len(ri)) for v in tv])
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                m = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ti, m)), pa.array(np.take_along_axis(d, best, axis=1).ravel()), pa.array(ri[best].ravel())], names=["doc_ord", "delta", "neighbour"])
 
-    found = met.mapInPandas(run, "doc_ord long, delta double, neighbour long")
+    found = met.mapInArrow(run, "doc_ord long, delta double, neighbour long")
     best = Window.partitionBy("doc_ord").orderBy("delta", "neighbour")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("doc_ord", "place", "delta", "neighbour")
 
 
 def delta_vectors(docs: DataFrame, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Standard scores of test rows and train rows (docs with split), and the vocabulary, all fitted on train."""
-    train = docs.where("split = 'train'")
-    vocab = vocabulary(word_counts(train), n)
-    freq = frequencies(docs, word_counts(docs), vocab).join(docs.select("doc_ord", "split"), "doc_ord")
-    stats = scaler(freq.where("split = 'train'"))
-    z = standardize(freq, stats).join(docs.select("doc_ord", "split"), "doc_ord")
+    split = docs.select("doc_ord", "split")
+    counts = cut(word_counts(docs))
+    vocab = vocabulary(counts.join(split.where("split = 'train'"), "doc_ord", "left_semi"), n)
+    freq = cut(frequencies(docs, counts, vocab).join(split, "doc_ord"))
+    z = cut(standardize(freq, scaler(freq.where("split = 'train'"))).join(split, "doc_ord"))
     return z.where("split = 'test'").drop("split"), z.where("split = 'train'").drop("split"), vocab

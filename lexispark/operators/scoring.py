@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.operators import features
+from lexispark.session import cut
 
 
 def multinomial(train: DataFrame, n: int = 200) -> DataFrame:
     """(author, word, logp): log-probabilities of the n most frequent words, with one added to each count."""
-    counts = features.word_counts(train)
+    counts = cut(features.word_counts(train))
     vocab = features.vocabulary(counts, n).select("word")
     by = counts.join(F.broadcast(vocab), "word").join(train.select("doc_ord", "author"), "doc_ord").groupBy("author", "word").agg(F.sum("cnt").alias("cnt"))
     # At most n words for each author.

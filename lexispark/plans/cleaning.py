@@ -21,15 +21,18 @@ def _literal(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _noised(head: str, tail: str) -> tuple[Column, str]:
-    """The text in noise that names its source, for both engines."""
+def _noise(head: str = _HEAD, tail: str = _TAIL) -> Column:
+    """The text in noise that names its source."""
     (h1, h2), (t1, t2) = head.split("{}"), tail.split("{}")
-    spark = F.concat(F.lit(h1), "source", F.lit(h2), "text", F.lit(t1), "source", F.lit(t2))
-    return spark, f"{_literal(h1)} || source || {_literal(h2)} || text || {_literal(t1)} || source || {_literal(t2)}"
+    return F.concat(F.lit(h1), "source", F.lit(h2), "text", F.lit(t1), "source", F.lit(t2))
 
 
-NOISE, NOISE_SQL = _noised(_HEAD, _TAIL)
-NOISE2, NOISE2_SQL = _noised(_HEAD2, _TAIL2)
+def _noise_sql(head: str = _HEAD, tail: str = _TAIL) -> str:
+    (h1, h2), (t1, t2) = head.split("{}"), tail.split("{}")
+    return f"{_literal(h1)} || source || {_literal(h2)} || text || {_literal(t1)} || source || {_literal(t2)}"
+
+
+NOISE_SQL, NOISE2_SQL = _noise_sql(), _noise_sql(_HEAD2, _TAIL2)
 
 
 def _start(t: str) -> str:
@@ -88,7 +91,7 @@ def _digest(t: Column) -> list[Column]:
 
 def _register(name: str, step: Callable[[Column], Column], sql: Callable[[str], str]) -> None:
     query(name, f"SELECT doc_id, md5(o) AS digest, length(o)::BIGINT AS n FROM (SELECT doc_id, {sql('t')} AS o FROM (SELECT doc_id, {NOISE_SQL} AS t FROM documents))")(
-        lambda s, d: _docs(s, d).select("doc_id", NOISE.alias("t")).select(*_digest(step(F.col("t"))))
+        lambda s, d: _docs(s, d).select("doc_id", _noise().alias("t")).select(*_digest(step(F.col("t"))))
     )
 
 
@@ -105,19 +108,19 @@ for _name, (_f, _sql) in _STEPS.items():
     SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n FROM c""",
 )
 def literal_markers(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", NOISE2.alias("t")).select(*_digest(tx.strip_literal_markers(F.col("t"))))
+    return _docs(s, d).select("doc_id", _noise(_HEAD2, _TAIL2).alias("t")).select(*_digest(tx.strip_literal_markers(F.col("t"))))
 
 
 @query("c12_clean", f"WITH {_chain_sql()} SELECT doc_id, md5(t) AS digest, length(t)::BIGINT AS n FROM s{len(_ORDER)}")
 def cleaned(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", NOISE.alias("t")).select(*_digest(tx.clean(F.col("t"))))
+    return _docs(s, d).select("doc_id", _noise().alias("t")).select(*_digest(tx.clean(F.col("t"))))
 
 
 _SIZES = f"sizes AS (SELECT s0.source, s0.doc_id, length(s0.t)::BIGINT AS before_chars, length(e.t)::BIGINT AS after_chars FROM s0 JOIN s{len(_ORDER)} e USING (doc_id))"
 
 
 def _sizes(s: SparkSession, d: str) -> DataFrame:
-    own = _docs(s, d).select("doc_id", NOISE.alias("t"))
+    own = _docs(s, d).select("doc_id", _noise().alias("t"))
     return own.select("doc_id", F.length("t").cast("long").alias("before_chars"), F.length(tx.clean(F.col("t"))).cast("long").alias("after_chars"))
 
 
@@ -178,7 +181,7 @@ _ODD = rf"len(regexp_extract_all(t, '[^a-zA-Z0-9{SPACE}.,;:!?''\"\-]'))"
 )
 def scalars(s: SparkSession, d: str) -> DataFrame:
     t = F.col("t")
-    return _docs(s, d).select("doc_id", NOISE.alias("t")).select("doc_id", tx.has_marker(t).alias("marked"), F.round(tx.special_ratio(t), 9).alias("ratio"))
+    return _docs(s, d).select("doc_id", _noise().alias("t")).select("doc_id", tx.has_marker(t).alias("marked"), F.round(tx.special_ratio(t), 9).alias("ratio"))
 
 
 @query(
@@ -203,7 +206,7 @@ _ISSUES = f"""issues AS (
 
 
 def _issues(s: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 3 == 0, NOISE).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 3 == 0, _noise()).otherwise(F.col("text"))
     return _docs(s, d).select("doc_id", t.alias("t")).select("doc_id", F.explode(tx.issues(F.col("t"))).alias("issue"))
 
 
