@@ -14,17 +14,12 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one block when a group of candidates is compared in pieces.
-BLOCK_ROWS = 2048
+from lexispark.session import cut, shared_dir
 
+__all__ = ["block_pairs", "connected_components", "cut", "dealt", "forest", "group_runs", "group_starts", "map_batches", "shared_dir", "ship", "text_batches"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lexispark-"))
-    return named or sc.getCheckpointDir()
+#: Rows of one block when a group of candidates is compared in pieces.
+BLOCK_ROWS = 2048
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,12 +38,6 @@ def ship(spark: SparkSession) -> None:
     sc._lexispark_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Applies fn to each Arrow batch."""
 
