@@ -32,6 +32,17 @@ from lexispark.llm import common
 #: Chunks that a worker remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 400_000, 64
 
+#: Lower case of letters that are newer than Python's tables: first, last, distance.
+NEWER_RUNS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+NEWER_LOWER = {c: c + far for first, last, far in NEWER_RUNS for c in range(first, last + 1)}
+_NEWER = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
+
+#: First and last of runs of letters and numbers that the regex module knows and the library, with older tables, doesn't.
+UNKNOWN_RUNS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_UNKNOWN = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in UNKNOWN_RUNS) + "]")
+
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte."""
@@ -77,8 +88,16 @@ class Bpe:
         """NFC, white space to a space, lower case character by character."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _NEWER.search(text):
+                text = text.translate(NEWER_LOWER)
         return text.lower()
 
+    def cut(self, chunk: str) -> list[str]:
+        """Pieces of a chunk. Characters that the library doesn't know are neither letters nor numbers."""
+        if chunk.isascii() or not _UNKNOWN.search(chunk):
+            return self.pieces.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.pieces.finditer(_UNKNOWN.sub("\ue000", chunk))]
+
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and the bounds of each piece in it."""
         size = np.array([len(p) for p in pieces], np.int64)
@@ -118,7 +137,7 @@ class Bpe:
 
     def learn(self, chunks: list[str]) -> None:
         """Finds ids and tokens of new chunks, by way of those of their new pieces."""
-        cut = [self.pieces.findall(c) for c in chunks]
+        cut = [self.cut(c) for c in chunks]
         fresh = list({p for pieces in cut for p in pieces if p not in self.pieces_known})
         if fresh:
             sym, bounds = self.merge([p.encode("utf-8") for p in fresh])
@@ -155,7 +174,7 @@ class Bpe:
         for c in fresh:
             if len(c) > LONGEST:
                 del self.ids_known[c], self.tokens_known[c]
-                for p in self.pieces.findall(c):
+                for p in self.cut(c):
                     if len(p) > LONGEST:
                         self.pieces_known.pop(p, None)
         return out

@@ -3,7 +3,8 @@
 Documents of a source are shuffled by a hash. A source is a queue that offers its documents up to EPOCHS
 times in that order; each offer gets a virtual finish time, the source's words up to and with it divided by
 the source's target. All offers are ordered by finish time and taken until the budget is used up: the offers
-up to time 1 always fit, after it they are taken one by one as long as the total stays within the budget.
+up to time 1 always fit; after it only those that began before time 1 are left (one of each source at most, so
+none runs away from its target), and they are taken in order as long as the total stays within the budget.
 
 Targets share the budget (BUDGET times all words) by weight; weights go 5, 2, 1 through the sources in code
 point order, null last. No target is above EPOCHS times its source's words; what is over goes to the others
@@ -11,8 +12,7 @@ by weight, until none is above. This is a water level: the largest of (budget -
 fill first) / (weights of the rest), over how many of them are full.
 
 Running totals are taken in two steps, within lanes (a source and a piece of the hash range) and over the
-lanes' totals, so no source has to fit into a task. Where the budget ends is found by histograms over the
-finish time, each into the one bin that holds the end, until few offers are left in it.
+lanes' totals, so no source has to fit into a task.
 
 Defined cases: a null text has size 0; sizes of 0 are never taken; null is a source of its own; repeated rows
 are documents of their own; a table without words has targets 0; ties in the shuffle (equal ids) go by size;
@@ -28,8 +28,8 @@ from lexispark.llm import common
 
 #: Weights in turn, budget as a multiple of all words, times that a document is offered.
 WEIGHTS, BUDGET, EPOCHS = (5, 2, 1), 1.5, 2
-#: Hex digits of the hash that name a lane; bins of a histogram; offers that are ordered one by one.
-LANE_DIGITS, BINS, FEW = 3, 1024, 4096
+#: Hex digits of the hash that name a lane.
+LANE_DIGITS = 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,41 +82,23 @@ def offer(epoch: int) -> Column:
     return F.struct(finish.alias("finish"), F.col("rank"), F.lit(epoch).alias("epoch"), F.col("key"), F.col("size"))
 
 
+def began(epoch: int) -> Column:
+    """The virtual time at which an offer begins."""
+    return (F.col("cum") - F.col("size") + F.col("source_size") * (epoch - 1)) / F.col("target")
+
+
 def last_taken(queued: DataFrame) -> tuple | None:
     """The last offer that is taken after time 1; none if there is no such offer."""
-    offers = queued.where("size > 0").select(F.explode(F.array(*(offer(e) for e in range(1, EPOCHS + 1)))).alias("o")).select("o.*")
-    late = offers.where("finish > 1")
-    totals = offers.agg(F.sum(F.when(F.col("finish") <= 1, F.col("size")).otherwise(0)), F.max("finish")).first()
-    if totals[0] is None or totals[1] <= 1:
-        return None
-    words = queued.agg(F.sum("size")).first()[0]
-    left, low, high = words * BUDGET - totals[0], 1.0, totals[1]
-    while True:
-        width = (high - low) / BINS
-        own = late.where((F.col("finish") > low) & (F.col("finish") <= high))
-        if width < 1e-12:
-            break
-        place = F.least(F.greatest(F.floor((F.col("finish") - low) / width), F.lit(0)), F.lit(BINS - 1))
-        bins = own.groupBy(place.alias("bin")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("finish").alias("most")).orderBy("bin").collect()
-        end = None
-        for b in bins:
-            if b["words"] > left:
-                end = b
-                break
-            left -= b["words"]
-            low = b["most"]
-        if end is None:
-            break
-        high = end["most"]
-        if end["n"] <= FEW:
-            break
-    # Few offers, or ties: those after low are ordered one by one.
+    some = queued.where("size > 0")
+    each = F.explode(F.array(*(F.struct(offer(e).alias("o"), began(e).alias("began")) for e in range(1, EPOCHS + 1)))).alias("x")
+    offers = some.select(each).select("x.o.*", "x.began")
+    used, words = (r or 0 for r in (offers.where("finish <= 1").agg(F.sum("size")).first()[0], some.agg(F.sum("size")).first()[0]))
+    # One row of each source at most.
+    late = offers.where("finish > 1 and began < 1")
     order = Window.orderBy("finish", "rank", "epoch", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    own = late.where((F.col("finish") > low) & (F.col("finish") <= high))
-    fits = own.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= left).orderBy(F.desc("total"), F.desc("finish")).first()
-    if fits:
-        return tuple(fits)[:5]
-    return (low, 2**31 - 1, EPOCHS, "~", 2**62) if low > 1 else None
+    fits = late.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= words * BUDGET - used)
+    last = fits.orderBy(F.desc("total")).first()
+    return tuple(last)[:5] if last else None
 
 
 def taken_times(end: tuple | None) -> Column:
@@ -126,7 +108,7 @@ def taken_times(end: tuple | None) -> Column:
         o = offer(e)
         yes = o["finish"] <= 1
         if end is not None:
-            yes = yes | (o <= F.struct(F.lit(float(end[0])).alias("finish"), F.lit(int(end[1])).alias("rank"), F.lit(int(end[2])).alias("epoch"), F.lit(end[3]).alias("key"), F.lit(int(end[4])).alias("size")))
+            yes = yes | (began(e) < 1) & (o <= F.struct(F.lit(float(end[0])).alias("finish"), F.lit(int(end[1])).alias("rank"), F.lit(int(end[2])).alias("epoch"), F.lit(end[3]).alias("key"), F.lit(int(end[4])).alias("size")))
         total = total + F.when(yes, 1).otherwise(0)
     return F.when((F.col("size") > 0) & (F.col("target") > 0), total).otherwise(0)
 

@@ -83,7 +83,9 @@ class Logistic:
             h = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-9]])
             d = np.linalg.solve(h, g)
             a, b = a - np.clip(d[0], -0.5, 0.5), b - np.clip(d[1], -1, 1)
-        self.slope, self.shift = float(max(a, 0.0)), float(b)
+        if a <= 0:  # the view says nothing about these documents: their share for all
+            a, b = 0.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+        self.slope, self.shift = float(a), float(b)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

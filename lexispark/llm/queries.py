@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
     return {"op10_mixing": MIXING}
 
 
-#: One ordered pass over all offers, where the operator uses lanes and histograms.
+#: One ordered pass over all offers, where the operator uses lanes.
 MIXING = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -62,10 +62,12 @@ queued AS (
          sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.key, d.size ROWS UNBOUNDED PRECEDING) AS cum
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 offers AS (
-  SELECT row_id, size, key, rank, epoch, (cum + source_size * (epoch - 1))::DOUBLE / target AS finish
+  SELECT row_id, size, key, rank, epoch, (cum + source_size * (epoch - 1))::DOUBLE / target AS finish,
+         (cum - size + source_size * (epoch - 1))::DOUBLE / target AS began
   FROM queued, (VALUES (1), (2)) e(epoch) WHERE size > 0),
 summed AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, rank, epoch, key, size ROWS UNBOUNDED PRECEDING) AS total FROM offers),
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, epoch, key, size ROWS UNBOUNDED PRECEDING) AS total FROM offers
+  WHERE finish <= 1 OR began < 1),
 times AS (
   SELECT row_id, count(*) AS n FROM summed
   WHERE finish <= 1 OR total <= (SELECT sum(size) * 1.5::DOUBLE FROM docs) GROUP BY row_id)
