@@ -145,6 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic, float,
     # At most 2 x MAX_ROWS + POOL rows of two integers, so they may be broadcast.
     sample = some[0].union(some[1]).union(pool.select("doc_id", F.lit(None).cast("int")))
     rows = _features(own.join(F.broadcast(sample), "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "t").collect()
+    if not rows:
+        return total[1] / (total[0] + total[1])
     t, m = (np.array([np.frombuffer(r[c], np.float32) for r in rows]).reshape(len(rows), -1) for c in ("t", "m"))
     y = np.array([-1 if r["y"] is None else r["y"] for r in rows])
     has = y >= 0

@@ -9,6 +9,10 @@ bit per segment: 0, 0, 1, 1, 1, 2, 2, 3. So the first two segments of that chain
 three at most one differs. Each start and each choice of that one gives a key of 32 equal bits; rows that
 share a key are candidates, the longer chains prune them, and the Hamming distance decides.
 
+Deduplication may take several fingerprints of a document (TABLES): of shingles of different lengths, and of the
+same hashes mixed anew. Each is searched as above, and documents that link in any of them are in one component; a
+near copy whose one fingerprint misses MAX_BITS by chance is so found by another.
+
 Work is done on distinct fingerprints, in blocks (see common.block_pairs), and each block returns the links
 of a spanning forest. Nothing is capped: each pair of a group is looked at in some block.
 
@@ -34,38 +38,68 @@ from lexispark.llm import common
 MAX_BITS = 3
 #: Bits in a segment, segments in the ring, and the longest chain that is part of a key.
 SEGMENT, RING, CHAIN = 8, 8, 5
-#: Words in a shingle, for the digest query; general use takes five.
-SHINGLE = 5
+#: Words in a shingle and mixing of its hashes (0: none), for each fingerprint of a document.
+TABLES = ((5, 0), (3, 0), (3, 1), (3, 2))
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 _PIECE = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = 5, mixing: int = 0) -> int:
     """The 64-bit fingerprint of a whole text, unsigned."""
+    return all_fingerprints(text, ((shingle, mixing),))[0]
+
+
+def all_fingerprints(text: str | None, tables: tuple[tuple[int, int], ...]) -> list[int]:
+    """The fingerprint of a whole text in each table."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
-        return 0
-    shingles = [b" ".join(words)] if n <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    count = max(1, n - shingle + 1)
-    h = np.fromiter(map(_HASH, shingles), np.uint64, count)
+        return [0] * len(tables)
+    hashes = {}
+    for k in {k for k, _ in tables}:
+        shingles = [b" ".join(words)] if n <= k else map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
+        hashes[k] = np.fromiter(map(_HASH, shingles), np.uint64, max(1, n - k + 1))
+    return [majority(mixed(hashes[k], m)) for k, m in tables]
+
+
+def mixed(h: np.ndarray, m: int) -> np.ndarray:
+    """Another hash of the hashes; 0 leaves them as they are."""
+    if m:
+        h = h + np.uint64(m * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, count, _PIECE):
+    for at in range(0, len(h), _PIECE):
         bits = np.unpackbits(h[at : at + _PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def _columns(texts: pa.Array, tables: tuple[tuple[int, int], ...]) -> list[pa.Array]:
+    """A column of signed fingerprints for each table."""
+    found = np.array([all_fingerprints(x.as_py(), tables) for x in texts], np.uint64).reshape(len(texts), len(tables))
+    return [pa.array(found[:, i].copy().view(np.int64)) for i in range(len(tables))]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    common.ship(docs.sparkSession)
+def fingerprints(docs: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(doc_id, fp, fp1, ...): fingerprints as signed longs."""
+    names = print_names(tables)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_batches(batches):
-            fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1), tables)], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fn, schema)
+
+
+def print_names(tables: tuple[tuple[int, int], ...]) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, len(tables)))]
 
 
 def keys(fp: str = "fp") -> F.Column:
@@ -129,30 +163,46 @@ def links(fps: DataFrame) -> DataFrame:
     return met.mapInArrow(_edges, "a long, b long")
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def all_links(fps: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(a, b): links by any table, between fingerprints of the first one. A fingerprint of another table stands for the smallest first one beside it."""
+    out = links(fps)
+    names = print_names(tables)
+    if len(names) > 1:
+        each = common.cut(fps.select(*names).distinct())
+    for name in names[1:]:
+        own = each.select("fp", F.col(name).alias("other"))
+        least = common.cut(own.groupBy("other").agg(F.min("fp").alias("least")))
+        found = links(least.select(F.col("other").alias("fp")))
+        ends = found.join(least.select(F.col("other").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("other").alias("b"), F.col("least").alias("v")), "b")
+        beside = own.join(least, "other").where("fp <> least").select("fp", "least")
+        out = out.union(ends.select("u", "v")).union(beside)
+    return out
+
+
+def components(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -> DataFrame:
     """(doc_id, fp, root, component_id): one row per document. root is a fingerprint that stands for the component."""
-    fps = common.cut(fingerprints(docs, shingle))
-    roots = common.connected_components(links(fps))
+    fps = common.cut(fingerprints(docs, tables))
+    roots = common.connected_components(all_links(fps, tables))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = common.cut(classes)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(classes.join(named, "root").select("fp", "root", "component_id"), "fp")
+    return fps.select("doc_id", "fp").join(classes.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
 def digest(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return components(docs, shingle).select("doc_id", hexed, "component_id")
+    return components(docs, ((shingle, 0),)).select("doc_id", hexed, "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def deduplicate(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -> DataFrame:
     """One document of each component, with its columns: the one with the smallest doc_id.
 
     Of rows with equal ids, or of a component without ids, the row with the smallest hash of all its columns stays.
     """
     names = docs.columns
-    found = components(docs, shingle)
+    found = common.cut(components(docs, tables))
     first = found.where("doc_id <=> component_id").select("doc_id", "root").distinct()
     row = F.struct(*names)
     some = docs.select(F.col("doc_id").cast("long").alias("_id"), row.alias("_row"))
@@ -162,7 +212,7 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     bare = some.where("_id is null")
     printed = common.map_batches(
         bare.select("_row", F.col("_row.text").cast("string").alias("_text")),
-        lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64))], names=["_row", "fp"]),
+        lambda b: pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1), tables[:1])], names=["_row", "fp"]),
         f"_row {docs.select(row.alias('r')).schema['r'].dataType.simpleString()}, fp long",
     )
     rooted = printed.join(found.where("doc_id is null").select("fp", "root").distinct(), "fp")

@@ -8,19 +8,19 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from lexispark.llm import pii, queries, toxicity  # noqa: E402
+from lexispark.llm import pii, queries, simhash, toxicity  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_run(spark):
-    from tests_support import brute_components, brute_mix, brute_print
+    from tests_support import brute_components, brute_mix
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = toxicity.reject(docs, spark.read.parquet(f"{DATA}/labels.parquet")).select("doc_id", "text", "source").orderBy("doc_id").collect()
     assert docs.count() * 0.8 < len(kept) <= docs.count()
-    comp = brute_components([brute_print(r["text"], 5) for r in kept])
+    comp = brute_components([simhash.all_fingerprints(r["text"], simhash.TABLES) for r in kept])
     first = [(r["doc_id"], pii.redact(r["text"]), r["source"]) for i, r in enumerate(kept) if comp[i] == i]
     size, _, _, taken = brute_mix(first)
     from tokenizers import Tokenizer

@@ -20,6 +20,8 @@ def brute_print(text, k=3):
 
 
 def brute_components(prints):
+    """Components of documents that link in any of their fingerprints."""
+    prints = [p if isinstance(p, list) else [p] for p in prints]
     root = list(range(len(prints)))
 
     def find(i):
@@ -29,7 +31,7 @@ def brute_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True)):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
@@ -83,6 +85,32 @@ def test_components_of_dense_and_chained_prints(spark, monkeypatch):
             assert (want[i] == want[j]) == (got.get(signed[i], signed[i]) == got.get(signed[j], signed[j]))
 
 
+def test_tables():
+    for t in (None, "", "a b", "One two three four five six seven"):
+        got = simhash.all_fingerprints(t, simhash.TABLES)
+        assert got[0] == brute_print(t, 5) and got[1] == brute_print(t, 3)
+        assert not t or len(set(got[1:])) == 3
+
+
+def test_links_of_any_table(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for n in (1, 2, 4, 8, 12, 20, 40):
+        for _ in range(6):
+            w = list(base)
+            for _ in range(n):
+                w[rng.randrange(300)] = f"x{rng.randint(0, 500)}"
+            texts.append(" ".join(w))
+    texts += [" ".join(f"v{rng.randint(0, 500)}" for _ in range(200)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_components([simhash.all_fingerprints(t, simhash.TABLES) for t in texts])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.components(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    one = brute_components([simhash.fingerprint(t, 5) for t in texts])
+    assert len(set(want)) < len(set(one)) and len(set(want)) > 30
+
+
 def test_edge_documents(spark, edge_docs, empty_docs):
     rows = edge_docs.select("doc_id", "text").collect()
     prints = [brute_print(r["text"]) for r in rows]
@@ -97,10 +125,10 @@ def test_edge_documents(spark, edge_docs, empty_docs):
 
 
 def test_deduplicate_keeps_one_of_each_group(spark, edge_docs, empty_docs):
-    out = simhash.deduplicate(edge_docs, 3)
+    out = simhash.deduplicate(edge_docs)
     assert out.columns == edge_docs.columns
     rows = edge_docs.select("text").distinct().collect()
-    prints = [brute_print(r["text"]) for r in rows]
+    prints = [simhash.all_fingerprints(r["text"], simhash.TABLES) for r in rows]
     assert out.count() == len(set(brute_components(prints)))
     kept = [r["doc_id"] for r in out.collect()]
     assert kept.count(1) == 1 and 2 not in kept and kept.count(None) == 1

@@ -1,6 +1,6 @@
 """Brute-force versions that several tests use."""
 
 from test_mixing import brute as brute_mix
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_components
 
-__all__ = ["brute_components", "brute_mix", "brute_print"]
+__all__ = ["brute_components", "brute_mix"]
