@@ -15,7 +15,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (shingles of five words)."""
+    """One document of each group of near-duplicates stays (shingles of five and of three words)."""
     return simhash.deduplicate(docs)
 
 
