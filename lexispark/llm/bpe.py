@@ -159,9 +159,9 @@ class Bpe:
             at = m.end()
         return out + split(self.normalize(text[at:]))
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
+    def encode_batch(self, texts: list[str], remembered: int | None = None) -> list[tuple[str, str]]:
         """For each text its ids, space-joined, and its decoded text (tokens joined by a space, as there is no decoder)."""
-        if len(self.ids_known) > REMEMBERED or len(self.pieces_known) > REMEMBERED:
+        if max(len(self.ids_known), len(self.pieces_known)) > (remembered or REMEMBERED):
             self.ids_known, self.tokens_known, self.pieces_known = {}, {}, {}
         for t, i in self.special.items():
             self.ids_known[_SPECIAL + t], self.tokens_known[_SPECIAL + t] = str(i), t
@@ -214,14 +214,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fn, "doc_id long, ids array<int>, decoded string")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digest(docs: DataFrame, path: str, remembered: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. remembered bounds the chunks that a worker keeps; fewer take less memory and more time."""
 
     def sha(x: str) -> str:
         return hashlib.sha256(x.encode("utf-8")).hexdigest()
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = load(path).encode_batch([x.as_py() or "" for x in b.column(1)])
+        got = load(path).encode_batch([x.as_py() or "" for x in b.column(1)], remembered)
         n = [x.count(" ") + 1 if x else 0 for x, _ in got]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([sha(x) for x, _ in got]), pa.array([sha(d) for _, d in got])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -20,11 +20,15 @@ __all__ = ["block_pairs", "connected_components", "cut", "dealt", "forest", "gro
 
 #: Rows of one block when a group of candidates is compared in pieces.
 BLOCK_ROWS = 2048
+#: Most rows of an Arrow batch; texts may be long.
+BATCH_ROWS = 1024
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, once for each Spark context."""
+    """Gives this package to the Python workers, once for each Spark context, and keeps Arrow batches of whole texts small."""
     sc: SparkContext = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_lexispark_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

@@ -39,7 +39,7 @@ def word_numbers(words: list[bytes]) -> np.ndarray:
     """A 32-bit hash of each word."""
     out = list(map(_IDS.get, words))
     if None in out:
-        if len(_IDS) > 500_000:
+        if len(_IDS) > 100_000:
             _IDS.clear()
         for i, x in enumerate(out):
             if x is None:
