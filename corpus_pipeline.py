@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm import bpe, common, mixing, pii, queries, simhash, toxicity
 
+#: Chunks that a worker of the last stage keeps; its workers also hold what earlier stages left.
+REMEMBERED = 120_000
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above their language's toxicity threshold go."""
@@ -31,7 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers of tokens and digests of ids and decoded texts."""
-    return bpe.digest(docs, queries.tokenizer_path())
+    return bpe.digest(docs, queries.tokenizer_path(), remembered=REMEMBERED)
 
 
 STAGES = [("toxicity", toxicity_stage), ("simhash", simhash_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
