@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexispark.session import cut, shared_dir
 
-__all__ = ["block_pairs", "connected_components", "cut", "dealt", "forest", "group_runs", "group_starts", "map_batches", "shared_dir", "ship", "text_batches"]
+__all__ = ["block_pairs", "connected_components", "cut", "dealt", "forest", "group_runs", "group_starts", "map_batches", "nearest_forest", "shared_dir", "ship", "text_batches"]
 
 #: Rows of one block when a group of candidates is compared in pieces.
 BLOCK_ROWS = 2048
@@ -135,6 +135,23 @@ def forest(labels: np.ndarray, rows: np.ndarray, links: np.ndarray) -> None:
             labels[np.isin(labels, found[1:])] = found[0]
 
 
+def nearest_forest(apart: np.ndarray, first: int, most: int) -> list[tuple[int, int]]:
+    """Links (i, j) of a spanning forest, the nearest first: apart[i, j] is the distance of member i and member first + j."""
+    total = first + apart.shape[1]
+    labels, out = np.arange(max(total, len(apart))), []
+    for d in range(most + 1):
+        rows, cols = np.nonzero(apart == d)
+        bounds = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows))
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            i, near = int(rows[s]), cols[s:e] + first
+            found, at = np.unique(labels[near], return_index=True)
+            new = found != labels[i]
+            if new.any():
+                out += [(i, int(j)) for j in near[at[new]]]
+                labels[np.isin(labels, found[new])] = labels[i]
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node that can be reached.
 

@@ -3,22 +3,24 @@
 A fingerprint has 64 bits; a bit is 1 if it is set in over half of the XXH64 hashes (seed 42) of a text's
 word shingles. Fingerprints link at MAX_BITS or fewer differing bits.
 
-The fingerprint is a ring of eight segments of eight bits. If two differ in 3 bits or fewer, some start of
-the ring has chains of 1, 2, 3, ... consecutive segments whose cumulative differences stay within 3/8 of a
-bit per segment: 0, 0, 1, 1, 1, 2, 2, 3. So the first two segments of that chain are equal and of the next
-three at most one differs. Each start and each choice of that one gives a key of 32 equal bits; rows that
-share a key are candidates, the longer chains prune them, and the Hamming distance decides.
+The fingerprint is a ring of five segments of 13, 13, 13, 13 and 12 bits. If two differ in 3 bits or fewer,
+some start of the ring has chains of 1, 2, 3, ... consecutive segments whose cumulative differences stay
+within 3/5 of a bit per segment: 0, 1, 1, 2, 3. So the first segment of that chain is equal, and so is the
+second or the third. Each start and each of the two gives a key of 25 or 26 equal bits; rows that share a key
+are candidates, the longer chains prune them, and the Hamming distance decides.
 
-Deduplication may take several fingerprints of a document (TABLES): of shingles of different lengths, and of the
-same hashes mixed anew. Each is searched as above, and documents that link in any of them are in one component; a
-near copy whose one fingerprint misses MAX_BITS by chance is so found by another.
+Deduplication takes several fingerprints of a document (TABLES): of shingles of different lengths, and of the
+same hashes mixed anew. Documents that link in any of them are candidates; the Jaccard similarity of their sets
+of five-word shingles, SIMILAR at least, decides.
 
 Work is done on distinct fingerprints, in blocks (see common.block_pairs), and each block returns the links
-of a spanning forest. Nothing is capped: each pair of a group is looked at in some block.
+of a spanning forest, nearest fingerprints first. Nothing is capped: each pair of a group is looked at in some block.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links as any other;
 repeated rows are one group; a null doc_id is grouped with the rest but is never a component_id (null if no
-row of the component has an id); an empty table gives no rows; extra columns are ignored.
+row of the component has an id); an empty table gives no rows; extra columns are ignored. Texts of equal first
+fingerprint are one class; its document with the smallest id stands for it when similarities are taken, and a
+class without any id is joined by its fingerprints alone.
 """
 
 from __future__ import annotations
@@ -36,10 +38,14 @@ from lexispark.llm import common
 
 #: Differing bits at which fingerprints still link.
 MAX_BITS = 3
-#: Bits in a segment, segments in the ring, and the longest chain that is part of a key.
-SEGMENT, RING, CHAIN = 8, 8, 5
+#: Bits of the segments of the ring.
+SEGMENTS = (13, 13, 13, 13, 12)
+#: Keys hold what lies within three segments; above it is the number of the table, start and segments.
+KEY_BITS = 40
 #: Words in a shingle and mixing of its hashes (0: none), for each fingerprint of a document.
-TABLES = ((5, 0), (3, 0), (3, 1), (3, 2))
+TABLES = ((5, 0), (3, 0), (3, 1), (3, 2), (2, 0), (2, 1), (2, 2))
+#: Words in the shingles that similarities are taken of, and the least similarity of a link.
+SHINGLE, SIMILAR = 5, 0.8
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 _PIECE = 1 << 15
 
@@ -57,11 +63,31 @@ def all_fingerprints(text: str | None, tables: tuple[tuple[int, int], ...]) -> l
         return [0] * len(tables)
     hashes = {}
     for k in {k for k, _ in tables}:
-        shingles = [b" ".join(words)] if n <= k else map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
-        hashes[k] = np.fromiter(map(_HASH, shingles), np.uint64, max(1, n - k + 1))
+        hashes[k] = shingle_hashes(words, k)
     return [majority(mixed(hashes[k], m)) for k, m in tables]
 
 
+def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
+    """The hashes of all k-word shingles, repeats included."""
+    n = len(words)
+    shingles = [b" ".join(words)] if n <= k else map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))
+    return np.fromiter(map(_HASH, shingles), np.uint64, max(1, n - k + 1))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The lower halves of the distinct shingles' hashes, sorted; none of a text without words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return np.unique(shingle_hashes(words, SHINGLE).astype(np.uint32)) if words else np.zeros(0, np.uint32)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingles; 1 of two empty ones."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return 0.0  # below SIMILAR whatever they share
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) else 1.0
+
+
 def mixed(h: np.ndarray, m: int) -> np.ndarray:
     """Another hash of the hashes; 0 leaves them as they are."""
     if m:
@@ -102,87 +128,112 @@ def print_names(tables: tuple[tuple[int, int], ...]) -> list[str]:
     return ["fp", *(f"fp{i}" for i in range(1, len(tables)))]
 
 
-def keys(fp: str = "fp") -> F.Column:
-    """An array of the keys of a fingerprint: for each start of the ring and each of the three later segments left out."""
-    out = []
-    for start in range(RING):
-        turn = start * SEGMENT
-        x = F.col(fp)
-        ring = F.shiftrightunsigned(x, turn).bitwiseOR(F.shiftleft(x, 64 - turn)) if turn else x
-        for left_out in range(2, CHAIN):
-            mask = (1 << SEGMENT * CHAIN) - 1 - (((1 << SEGMENT) - 1) << SEGMENT * left_out)
-            tag = (start * 3 + left_out - 2) << SEGMENT * CHAIN
+def chain(start: int) -> np.ndarray:
+    """Where each segment ends, counted in bits from the start of the chain."""
+    return np.cumsum(SEGMENTS[start:] + SEGMENTS[:start])
+
+
+def turn(start: int) -> int:
+    return sum(SEGMENTS[:start])
+
+
+def keys(fp: str, table: int = 0) -> F.Column:
+    """An array of the keys of a fingerprint: for each start of the ring, its segment with the next one or the one after."""
+    out, x = [], F.col(fp)
+    for start in range(len(SEGMENTS)):
+        t = turn(start)
+        ring = F.shiftrightunsigned(x, t).bitwiseOR(F.shiftleft(x, 64 - t)) if t else x
+        one, two, three = (1 << int(e) for e in chain(start)[:3])
+        for which, mask in enumerate((two - 1, (one - 1) | (three - two))):
+            tag = (table * len(SEGMENTS) + start) * 2 + which << KEY_BITS
             out.append(ring.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(tag)))
     return F.array(*out)
 
 
 def within(diff: np.ndarray, start: int) -> np.ndarray:
     """Which differing bits stay within the budgets of all chains from the start."""
-    turn = np.uint64(start * SEGMENT)
-    ring = (diff >> turn) | (diff << np.uint64((64 - start * SEGMENT) % 64)) if start else diff
+    t = np.uint64(turn(start))
+    ring = (diff >> t) | (diff << (np.uint64(64) - t)) if start else diff
     ok = np.ones(diff.shape, bool)
-    for n in range(CHAIN, RING):
-        ok &= np.bitwise_count(ring & np.uint64((1 << SEGMENT * n) - 1)) <= n * MAX_BITS // RING
+    for n, end in enumerate(chain(start)[:-1], 1):
+        ok &= np.bitwise_count(ring & np.uint64((1 << int(end)) - 1)) <= n * MAX_BITS // len(SEGMENTS)
     return ok
 
 
-def linked(a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
-    """links[i, j]: a[i] and b[j] pass the chains from the start and the full Hamming check."""
+def distances(a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
+    """d[i, j]: differing bits of a[i] and b[j] if they pass the chains from the start and the full Hamming check, else 255."""
     diff = a[:, None] ^ b[None, :]
-    return within(diff, start) & (np.bitwise_count(diff) <= MAX_BITS)
+    bits = np.bitwise_count(diff)
+    return np.where(within(diff, start) & (bits <= MAX_BITS), bits, np.uint8(255))
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by = ["key", "lo", "hi"]
     for t in common.group_runs(batches, by):
-        key, lo, hi, b = (t.column(c).to_numpy() for c in (*by, "b"))
-        fp = t.column("fp").to_numpy().view(np.uint64)
+        key, lo, hi, b, node = (t.column(c).to_numpy() for c in (*by, "b", "node"))
+        fp = t.column("print").to_numpy().view(np.uint64)
         bounds = np.append(common.group_starts(t, by), t.num_rows)
         u, v = [], []
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            start = int(key[s]) >> SEGMENT * CHAIN
-            own, labels = fp[s:e], np.arange(e - s)
+            start = (int(key[s]) >> KEY_BITS) // 2 % len(SEGMENTS)
             cutoff = int(np.searchsorted(b[s:e], hi[s])) if lo[s] != hi[s] else e - s
-            cols = slice(cutoff, e - s) if lo[s] != hi[s] else slice(0, e - s)
-            for at in range(0, cutoff, 128):
-                rows = np.arange(at, min(at + 128, cutoff))
-                links = np.zeros((len(rows), e - s), bool)
-                links[:, cols] = linked(own[rows], own[cols], start // 3)
-                links[np.arange(len(rows)), rows] = False
-                common.forest(labels, rows, links)
-            to = np.flatnonzero(labels != np.arange(e - s))
-            u.append(own[to])
-            v.append(own[labels[to]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], names=["a", "b"])
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough of them to connect whatever links connect."""
-    keyed = fps.select("fp").distinct().select("fp", F.explode(keys()).alias("key"))
-    met = common.dealt(common.block_pairs(keyed, "key", "fp"), "key", "fp")
-    return met.mapInArrow(_edges, "a long, b long")
-
-
-def all_links(fps: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(a, b): links by any table, between fingerprints of the first one. A fingerprint of another table stands for the smallest first one beside it."""
-    out = links(fps)
+            first = cutoff if lo[s] != hi[s] else 0
+            apart = np.concatenate([distances(fp[s + at : s + min(at + 128, cutoff)], fp[s + first : e], start) for at in range(0, cutoff, 128)] or [np.zeros((0, e - s - first), np.uint8)])
+            for i, j in common.nearest_forest(apart, first, MAX_BITS):
+                u.append(node[s + i])
+                v.append(node[s + j])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v)], names=["a", "b"])
+
+
+def links(fps: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(a, b): links by any table, between fingerprints of the first one; enough of them to connect whatever links connect.
+
+    A fingerprint of another table stands for the smallest first one beside it; the others beside it link to that.
+    """
     names = print_names(tables)
-    if len(names) > 1:
-        each = common.cut(fps.select(*names).distinct())
-    for name in names[1:]:
-        own = each.select("fp", F.col(name).alias("other"))
-        least = common.cut(own.groupBy("other").agg(F.min("fp").alias("least")))
-        found = links(least.select(F.col("other").alias("fp")))
-        ends = found.join(least.select(F.col("other").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("other").alias("b"), F.col("least").alias("v")), "b")
-        beside = own.join(least, "other").where("fp <> least").select("fp", "least")
-        out = out.union(ends.select("u", "v")).union(beside)
-    return out
-
-
-def components(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -> DataFrame:
-    """(doc_id, fp, root, component_id): one row per document. root is a fingerprint that stands for the component."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col(n).alias("print")) for i, n in enumerate(names))))
+    own = fps.select("fp", each.alias("_")).select(F.col("fp").alias("own"), "_.*").distinct()
+    least = common.cut(own.groupBy("table", "print").agg(F.min("own").alias("node")))
+    some = F.lit(None).cast("array<long>")
+    for i in range(len(names)):
+        some = F.when(F.col("table") == i, keys("print", i)).otherwise(some)
+    keyed = least.select("print", "node", F.explode(some).alias("key"))
+    found = common.dealt(common.block_pairs(keyed, "key", "print"), "key", "print").mapInArrow(_edges, "a long, b long")
+    if len(names) == 1:
+        return found
+    return found.union(own.where("table > 0").join(least, ["table", "print"]).where("own <> node").select("own", "node"))
+
+
+def similar(edges: DataFrame, fps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links whose ends have similar sets of shingles."""
+    edges = common.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct().join(first, "fp")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ends, "doc_id").select("fp", "text")
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        # Rows of a repeated id may hold other texts.
+        own = [(fp, shingle_set(x)) for fp, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if fingerprint(x, *TABLES[0]) == fp % (1 << 64)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1].tobytes() for x in own], pa.binary())], names=["fp", "set"])
+
+    held = common.cut(common.map_batches(texts, sets, "fp long, set binary").dropDuplicates(["fp"]))
+    met = edges.join(held.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a", "left").join(held.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b", "left")
+
+    def check(b: pa.RecordBatch) -> pa.RecordBatch:
+        ok = [x is None or y is None or jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return common.map_batches(met.select("a", "b", "sa", "sb"), check, "a long, b long")
+
+
+def components(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES, verified: bool = True) -> DataFrame:
+    """(doc_id, fp, root, component_id): one row per document. root is a fingerprint that stands for the component.
+
+    If verified, links need similar sets of shingles too, and the first table is TABLES[0].
+    """
     fps = common.cut(fingerprints(docs, tables))
-    roots = common.connected_components(all_links(fps, tables))
+    found = links(fps, tables)
+    roots = common.connected_components(similar(found, fps, docs) if verified else found)
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = common.cut(classes)
@@ -193,11 +244,11 @@ def components(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) ->
 def digest(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return components(docs, ((shingle, 0),)).select("doc_id", hexed, "component_id")
+    return components(docs, ((shingle, 0),), verified=False).select("doc_id", hexed, "component_id")
 
 
 def deduplicate(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -> DataFrame:
-    """One document of each component, with its columns: the one with the smallest doc_id.
+    """One document of each verified component, with its columns: the one with the smallest doc_id.
 
     Of rows with equal ids, or of a component without ids, the row with the smallest hash of all its columns stays.
     """

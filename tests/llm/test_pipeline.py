@@ -20,7 +20,7 @@ def test_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = toxicity.reject(docs, spark.read.parquet(f"{DATA}/labels.parquet")).select("doc_id", "text", "source").orderBy("doc_id").collect()
     assert docs.count() * 0.8 < len(kept) <= docs.count()
-    comp = brute_components([simhash.all_fingerprints(r["text"], simhash.TABLES) for r in kept])
+    comp = brute_components([simhash.all_fingerprints(r["text"], simhash.TABLES) for r in kept], [r["text"] for r in kept])
     first = [(r["doc_id"], pii.redact(r["text"]), r["source"]) for i, r in enumerate(kept) if comp[i] == i]
     size, _, _, taken = brute_mix(first)
     from tokenizers import Tokenizer

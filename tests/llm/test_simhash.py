@@ -19,8 +19,17 @@ def brute_print(text, k=3):
     return sum((sum(x >> b & 1 for x in h) * 2 > len(h)) << b for b in range(64))
 
 
-def brute_components(prints):
-    """Components of documents that link in any of their fingerprints."""
+def brute_similarity(a, b):
+    sets = []
+    for t in (a, b):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    both = len(sets[0] & sets[1])
+    return both / (len(sets[0]) + len(sets[1]) - both) if sets[0] or sets[1] else 1.0
+
+
+def brute_components(prints, texts=None):
+    """Components of documents that link in any of their fingerprints, and whose texts are similar if given."""
     prints = [p if isinstance(p, list) else [p] for p in prints]
     root = list(range(len(prints)))
 
@@ -31,7 +40,7 @@ def brute_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True)):
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True)) and (not texts or brute_similarity(texts[i], texts[j]) >= 0.8):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
@@ -56,7 +65,7 @@ def test_shared_keys_cover_all_pairs_in_reach(spark):
     df = spark.createDataFrame(signed, "a long, b long")
     met = df.select(F.arrays_overlap(simhash.keys("a"), simhash.keys("b")).alias("met"), F.explode(F.array_intersect(simhash.keys("a"), simhash.keys("b"))).alias("key"), "a", "b")
     assert df.select(F.arrays_overlap(simhash.keys("a"), simhash.keys("b")).alias("m")).where("m").count() == 3000
-    found = {(r["a"], r["b"]) for r in met.collect() if simhash.linked(np.array([r["a"]]).view(np.uint64), np.array([r["b"]]).view(np.uint64), (r["key"] >> 40) // 3)[0, 0]}
+    found = {(r["a"], r["b"]) for r in met.collect() if simhash.distances(np.array([r["a"]]).view(np.uint64), np.array([r["b"]]).view(np.uint64), (r["key"] >> 40) // 2)[0, 0] <= 3}
     assert found == set(signed)
 
 
@@ -76,8 +85,8 @@ def test_components_of_dense_and_chained_prints(spark, monkeypatch):
     signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
     fps = spark.createDataFrame([(p,) for p in signed], "fp long")
     common.ship(spark)
-    keyed = fps.select("fp", F.explode(simhash.keys()).alias("key"))
-    edges = common.dealt(common.block_pairs(keyed, "key", "fp", 16), "key", "fp").mapInArrow(simhash._edges, "a long, b long")
+    keyed = fps.select(F.col("fp").alias("print"), F.col("fp").alias("node"), F.explode(simhash.keys("fp")).alias("key"))
+    edges = common.dealt(common.block_pairs(keyed, "key", "print", 16), "key", "print").mapInArrow(simhash._edges, "a long, b long")
     got = {r["node"]: r["root"] for r in common.connected_components(edges).collect()}
     want = brute_components(prints)
     for i in range(len(prints)):
@@ -89,7 +98,7 @@ def test_tables():
     for t in (None, "", "a b", "One two three four five six seven"):
         got = simhash.all_fingerprints(t, simhash.TABLES)
         assert got[0] == brute_print(t, 5) and got[1] == brute_print(t, 3)
-        assert not t or len(set(got[1:])) == 3
+        assert got[4] == brute_print(t, 2) and (not t or len(set(got[1:])) == (6 if len(t) > 3 else len(set(got[1:]))))
 
 
 def test_links_of_any_table(spark):
@@ -104,7 +113,7 @@ def test_links_of_any_table(spark):
             texts.append(" ".join(w))
     texts += [" ".join(f"v{rng.randint(0, 500)}" for _ in range(200)) for _ in range(30)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    want = brute_components([simhash.all_fingerprints(t, simhash.TABLES) for t in texts])
+    want = brute_components([simhash.all_fingerprints(t, simhash.TABLES) for t in texts], texts)
     got = {r["doc_id"]: r["component_id"] for r in simhash.components(docs).collect()}
     assert [got[i] for i in range(len(texts))] == want
     one = brute_components([simhash.fingerprint(t, 5) for t in texts])
@@ -129,7 +138,24 @@ def test_deduplicate_keeps_one_of_each_group(spark, edge_docs, empty_docs):
     assert out.columns == edge_docs.columns
     rows = edge_docs.select("text").distinct().collect()
     prints = [simhash.all_fingerprints(r["text"], simhash.TABLES) for r in rows]
-    assert out.count() == len(set(brute_components(prints)))
+    assert out.count() == len(set(brute_components(prints, [r["text"] for r in rows])))
     kept = [r["doc_id"] for r in out.collect()]
     assert kept.count(1) == 1 and 2 not in kept and kept.count(None) == 1
     assert simhash.deduplicate(empty_docs).count() == 0
+
+
+def test_nearest_forest_takes_the_nearest_links():
+    apart = np.array([[0, 2, 1, 255], [2, 0, 1, 255], [1, 1, 0, 255], [255, 255, 255, 0]], np.uint8)
+    assert sorted(common.nearest_forest(apart, 0, 3)) == [(0, 2), (1, 2)]
+    assert sorted(common.nearest_forest(np.array([[3, 255], [1, 2]], np.uint8), 2, 3)) == [(0, 2), (1, 2), (1, 3)]
+
+
+def test_similarity_decides():
+    base = [f"w{i}" for i in range(104)]
+    for n in (0, 1, 2, 3, 5):
+        other = [f"x{i}" if i % 20 == 10 and i < 20 * n else w for i, w in enumerate(base)]
+        a, b = " ".join(base), " ".join(other).upper()
+        want = brute_similarity(a, b)
+        got = simhash.jaccard(simhash.shingle_set(a), simhash.shingle_set(b))
+        assert (got >= simhash.SIMILAR) == (want >= 0.8) and abs(got - want) < 1e-12
+    assert simhash.jaccard(simhash.shingle_set(None), simhash.shingle_set("a")) == 0
