@@ -135,10 +135,13 @@ def forest(labels: np.ndarray, rows: np.ndarray, links: np.ndarray) -> None:
             labels[np.isin(labels, found[1:])] = found[0]
 
 
-def nearest_forest(apart: np.ndarray, first: int, most: int) -> list[tuple[int, int]]:
-    """Links (i, j) of a spanning forest, the nearest first: apart[i, j] is the distance of member i and member first + j."""
+def nearest_forest(apart: np.ndarray, first: int, most: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) of a spanning forest, the nearest first: apart[i, j] is the distance of member i and member first + j.
+
+    Members of equal labels, if given, are connected already.
+    """
     total = first + apart.shape[1]
-    labels, out = np.arange(max(total, len(apart))), []
+    labels, out = np.arange(max(total, len(apart))) if labels is None else labels.copy(), []
     for d in range(most + 1):
         rows, cols = np.nonzero(apart == d)
         bounds = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows))

@@ -15,6 +15,8 @@ of five-word shingles, SIMILAR at least, decides.
 
 Work is done on distinct fingerprints, in blocks (see common.block_pairs), and each block returns the links
 of a spanning forest, nearest fingerprints first. Nothing is capped: each pair of a group is looked at in some block.
+Where similarity decides, only similar pairs connect: blocks return forests over what isn't connected yet, four times
+as many in each round, their pairs are verified, and a block is left when it holds no other pair of two components.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links as any other;
 repeated rows are one group; a null doc_id is grouped with the rest but is never a component_id (null if no
@@ -107,15 +109,22 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def described(text: str | None, tables: tuple[tuple[int, int], ...]) -> list[int]:
+    """The node of a text, as a signed long, and its fingerprint in each table."""
+    prints = all_fingerprints(text, tables)
+    return [int(np.uint64(prints[0]).astype(np.int64)), *prints]
+
+
 def _columns(texts: pa.Array, tables: tuple[tuple[int, int], ...]) -> list[pa.Array]:
-    """A column of signed fingerprints for each table."""
-    found = np.array([all_fingerprints(x.as_py(), tables) for x in texts], np.uint64).reshape(len(texts), len(tables))
-    return [pa.array(found[:, i].copy().view(np.int64)) for i in range(len(tables))]
+    """Columns of nodes and of signed fingerprints for each table."""
+    found = [described(x.as_py(), tables) for x in texts]
+    prints = np.array([x[1:] for x in found], np.uint64).reshape(len(texts), len(tables))
+    return [pa.array([x[0] for x in found], pa.int64()), *(pa.array(prints[:, i].copy().view(np.int64)) for i in range(len(tables)))]
 
 
 def fingerprints(docs: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(doc_id, fp, fp1, ...): fingerprints as signed longs."""
-    names = print_names(tables)
+    """(doc_id, node, fp, fp1, ...): nodes and fingerprints as signed longs."""
+    names = ["node", *print_names(tables)]
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1), tables)], names=["doc_id", *names])
@@ -167,22 +176,62 @@ def distances(a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
     return np.where(within(diff, start) & (bits <= MAX_BITS), bits, np.uint8(255))
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple[int, int, int], int, np.ndarray, dict[str, np.ndarray]]]:
+    """Of each block: (key, lo, hi), the first member of the second side, the distances, the columns."""
     by = ["key", "lo", "hi"]
     for t in common.group_runs(batches, by):
-        key, lo, hi, b, node = (t.column(c).to_numpy() for c in (*by, "b", "node"))
+        key, lo, hi, b = (t.column(c).to_numpy() for c in (*by, "b"))
+        more = {c: t.column(c).to_numpy() for c in names}
         fp = t.column("print").to_numpy().view(np.uint64)
         bounds = np.append(common.group_starts(t, by), t.num_rows)
-        u, v = [], []
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
             start = (int(key[s]) >> KEY_BITS) // 2 % len(SEGMENTS)
             cutoff = int(np.searchsorted(b[s:e], hi[s])) if lo[s] != hi[s] else e - s
             first = cutoff if lo[s] != hi[s] else 0
             apart = np.concatenate([distances(fp[s + at : s + min(at + 128, cutoff)], fp[s + first : e], start) for at in range(0, cutoff, 128)] or [np.zeros((0, e - s - first), np.uint8)])
-            for i, j in common.nearest_forest(apart, first, MAX_BITS):
-                u.append(node[s + i])
-                v.append(node[s + j])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v)], names=["a", "b"])
+            yield (int(key[s]), int(lo[s]), int(hi[s])), first, apart, {c: x[s:e] for c, x in more.items()}
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    u, v = [], []
+    for _, first, apart, own in _blocks(batches, ["node"]):
+        for i, j in common.nearest_forest(apart, first, MAX_BITS):
+            u.append(own["node"][i])
+            v.append(own["node"][j])
+        if len(u) >= _PIECE:
+            yield _numbers(("a", "b"), (u, v))
+            u, v = [], []
+    yield _numbers(("a", "b"), (u, v))
+
+
+def _numbers(names: tuple[str, ...], columns: tuple[list, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=list(names))
+
+
+def forests(apart: np.ndarray, first: int, labels: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Links of up to so many forests without a common link, between members of unequal labels, and whether other links are left."""
+    apart = np.where(labels[: len(apart), None] == labels[None, first : first + apart.shape[1]], np.uint8(255), apart)
+    out = []
+    for _ in range(most):
+        new = common.nearest_forest(apart, first, MAX_BITS, labels)
+        if not new:
+            break
+        i, j = np.array(new).T
+        apart[i, j - first] = 255
+        if not first:
+            apart[j, i] = 255
+        out += new
+    return out, bool((apart <= MAX_BITS).any())
+
+
+def _next_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b) for links, (key, lo, hi) for blocks with links left."""
+    for block, first, apart, own in _blocks(batches, ["node", "label"]):
+        found, left = forests(apart, first, own["label"], most)
+        node, n = own["node"], len(found)
+        pairs = [[node[i] for i, _ in found], [node[j] for _, j in found]]
+        if n or left:
+            yield _numbers(("a", "b", "key", "lo", "hi"), (*(x + [None] * left for x in pairs), *([None] * n + [x] * left for x in block)))
 
 
 def links(fps: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
@@ -204,41 +253,75 @@ def links(fps: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
     return found.union(own.where("table > 0").join(least, ["table", "print"]).where("own <> node").select("own", "node"))
 
 
-def similar(edges: DataFrame, fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links whose ends have similar sets of shingles."""
-    edges = common.cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    ends = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct().join(first, "fp")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ends, "doc_id").select("fp", "text")
+def similar_links(fps: DataFrame, docs: DataFrame, tables: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(node, root): components of the nodes that link in any table and have similar sets of shingles; nodes by themselves may lack."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col(n).alias("print")) for i, n in enumerate(print_names(tables)))))
+    own = fps.select("node", each.alias("_")).select("node", "_.*").distinct()
+    some = F.lit(None).cast("array<long>")
+    for i in range(len(tables)):
+        some = F.when(F.col("table") == i, keys("print", i)).otherwise(some)
+    keyed = own.select("print", "node", F.explode(some).alias("key"))
+    placed = common.cut(common.block_pairs(keyed, "key", "node"))
+    left, most, held, tried, roots = placed.withColumn("label", F.col("node")), 1, None, None, None
+    while True:
+        step = partial(_next_links, most=most)
+        found = common.cut(common.dealt(left, "key", "node").mapInArrow(step, "a long, b long, key long, lo long, hi long"))
+        pairs = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = common.cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        # The first forests hold each node that links at all.
+        held = similar_sets(pairs, fps, docs) if held is None else held
+        ok = similar(pairs, held)
+        roots = common.connected_components(ok if roots is None else ok.union(roots.select("node", "root")))
+        blocks = found.where("key is not null").select("key", "lo", "hi")
+        if blocks.isEmpty():
+            return roots
+        tried = pairs if tried is None else common.cut(tried.union(pairs))
+        left = placed.join(blocks, ["key", "lo", "hi"]).join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        most *= 4
+
+
+def similar_sets(pairs: DataFrame, fps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set): the sets of shingles of the ends of pairs."""
+    first = fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(first, "node")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    met = texts.join(ends, "doc_id").select("node", "text")
+    # Nodes without any id are looked up by their texts; there are none in sound tables.
+    met = met.union(texts.where("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text"))
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         # Rows of a repeated id may hold other texts.
-        own = [(fp, shingle_set(x)) for fp, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if fingerprint(x, *TABLES[0]) == fp % (1 << 64)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1].tobytes() for x in own], pa.binary())], names=["fp", "set"])
+        own = [(described(x, TABLES[:1])[0], n, x) for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        own = [(node, shingle_set(x)) for node, n, x in own if n is None or n == node]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1].tobytes() for x in own], pa.binary())], names=["node", "set"])
+
+    return common.cut(common.map_batches(met, sets, "node long, set binary").dropDuplicates(["node"]))
+
 
-    held = common.cut(common.map_batches(texts, sets, "fp long, set binary").dropDuplicates(["fp"]))
-    met = edges.join(held.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a", "left").join(held.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b", "left")
+def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose ends have similar sets of shingles."""
+    met = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [x is None or y is None or jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        ok = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return common.map_batches(met.select("a", "b", "sa", "sb"), check, "a long, b long")
 
 
 def components(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES, verified: bool = True) -> DataFrame:
-    """(doc_id, fp, root, component_id): one row per document. root is a fingerprint that stands for the component.
+    """(doc_id, node, fp, root, component_id): one row per document. root is a node that stands for the component.
 
-    If verified, links need similar sets of shingles too, and the first table is TABLES[0].
+    If verified, links need similar sets of shingles too, and the first table is TABLES[0]; if not, fingerprints are the nodes.
     """
-    fps = common.cut(fingerprints(docs, tables))
-    found = links(fps, tables)
-    roots = common.connected_components(similar(found, fps, docs) if verified else found)
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps = fingerprints(docs, tables)
+    fps = common.cut(fps if verified else fps.withColumn("node", F.col("fp")))
+    roots = similar_links(fps, docs, tables) if verified else common.connected_components(links(fps, tables))
+    classes = fps.groupBy("node").agg(F.min("doc_id").alias("least"))
+    classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = common.cut(classes)
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.select("doc_id", "fp").join(classes.join(named, "root").select("fp", "root", "component_id"), "fp")
+    return fps.select("doc_id", "node", "fp").join(classes.join(named, "root").select("node", "root", "component_id"), "node")
 
 
 def digest(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -263,10 +346,10 @@ def deduplicate(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -
     bare = some.where("_id is null")
     printed = common.map_batches(
         bare.select("_row", F.col("_row.text").cast("string").alias("_text")),
-        lambda b: pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1), tables[:1])], names=["_row", "fp"]),
-        f"_row {docs.select(row.alias('r')).schema['r'].dataType.simpleString()}, fp long",
+        lambda b: pa.RecordBatch.from_arrays([b.column(0), *_columns(b.column(1), tables[:1])], names=["_row", "node", "fp"]),
+        f"_row {docs.select(row.alias('r')).schema['r'].dataType.simpleString()}, node long, fp long",
     )
-    rooted = printed.join(found.where("doc_id is null").select("fp", "root").distinct(), "fp")
+    rooted = printed.join(found.where("doc_id is null").select("node", "root").distinct(), "node")
     rest = rooted.join(orphans, F.col("root") == F.col("_root")).select("_row", "root")
     one = kept.select("_row", "root").union(rest).groupBy("root").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return one.select("_row.*")

@@ -159,3 +159,35 @@ def test_similarity_decides():
         got = simhash.jaccard(simhash.shingle_set(a), simhash.shingle_set(b))
         assert (got >= simhash.SIMILAR) == (want >= 0.8) and abs(got - want) < 1e-12
     assert simhash.jaccard(simhash.shingle_set(None), simhash.shingle_set("a")) == 0
+
+
+def changed(words, at):
+    return " ".join("x" + w if i in at else w for i, w in enumerate(words))
+
+
+def test_a_farther_similar_pair_is_found_where_nearest_links_fail(spark, monkeypatch):
+    # A is nearest to B and C but similar to neither; B and C are similar. The prints are set by hand.
+    b = [f"w{i}" for i in range(104)]
+    texts = {"A": changed(b, range(0, 104, 9)), "B": " ".join(b), "C": changed(b, {50})}
+    assert brute_similarity(texts["B"], texts["C"]) >= 0.8 > max(brute_similarity(texts["A"], texts[x]) for x in "BC")
+    prints = {"A": 0b111 << 40, "B": 0b110 << 40, "C": 0b101 << 40}
+    docs = spark.createDataFrame([(i, texts[x]) for i, x in enumerate("ABC")], "doc_id long, text string")
+    nodes = dict(zip("ABC", (simhash.described(texts[x], simhash.TABLES[:1])[0] for x in "ABC"), strict=True))
+    fps = spark.createDataFrame([(i, nodes[x], prints[x]) for i, x in enumerate("ABC")], "doc_id long, node long, fp long")
+    roots = {r["node"]: r["root"] for r in simhash.similar_links(fps, docs, simhash.TABLES[:1]).collect()}
+    assert roots[nodes["B"]] == roots[nodes["C"]] and roots.get(nodes["A"], nodes["A"]) != roots[nodes["B"]]
+
+
+def test_forests_come_to_all_pairs():
+    rng = np.random.default_rng(4)
+    apart = rng.integers(0, 8, (30, 30)).astype(np.uint8)
+    apart = np.minimum(apart, apart.T)
+    apart[apart > 3] = 255
+    labels = np.arange(30) // 2
+    want = {(i, j) for i in range(30) for j in range(i) if apart[i, j] <= 3 and labels[i] != labels[j]}
+    one, left = simhash.forests(apart, 0, labels, 1)
+    assert left and len(one) < len(want)
+    every, left = simhash.forests(apart, 0, labels, 64)
+    assert not left and {(max(p), min(p)) for p in every} == want and len(every) == len(want)
+    across, left = simhash.forests(apart[:10, 10:], 10, labels, 64)
+    assert not left and set(across) == {(i, j) for j, i in want if i < 10 <= j}
