@@ -13,7 +13,7 @@ Deduplication takes several fingerprints of a document (TABLES): of shingles of
 same hashes mixed anew. Documents that link in any of them are candidates; the Jaccard similarity of their sets
 of five-word shingles, SIMILAR at least, decides.
 
-Work is done on distinct fingerprints, in blocks (see common.block_pairs), and each block returns the links
+Work is done on distinct fingerprints, or nodes, in blocks (see common.block_pairs), and each block returns the links
 of a spanning forest, nearest fingerprints first. Nothing is capped: each pair of a group is looked at in some block.
 Where similarity decides, only similar pairs connect: blocks return forests over what isn't connected yet, four times
 as many in each round, their pairs are verified, and a block is left when it holds no other pair of two components.
@@ -59,14 +59,17 @@ def fingerprint(text: str | None, shingle: int = 5, mixing: int = 0) -> int:
 
 def all_fingerprints(text: str | None, tables: tuple[tuple[int, int], ...]) -> list[int]:
     """The fingerprint of a whole text in each table."""
+    return _majorities(all_hashes(text, tables), tables)
+
+
+def all_hashes(text: str | None, tables: tuple[tuple[int, int], ...]) -> dict[int, np.ndarray]:
+    """The hashes of a whole text's shingles by their number of words; empty for a text without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    n = len(words)
-    if not n:
-        return [0] * len(tables)
-    hashes = {}
-    for k in {k for k, _ in tables}:
-        hashes[k] = shingle_hashes(words, k)
-    return [majority(mixed(hashes[k], m)) for k, m in tables]
+    return {k: shingle_hashes(words, k) for k in {k for k, _ in tables}} if words else {}
+
+
+def _majorities(hashes: dict[int, np.ndarray], tables: tuple[tuple[int, int], ...]) -> list[int]:
+    return [majority(mixed(hashes[k], m)) if hashes else 0 for k, m in tables]
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -110,9 +113,14 @@ def majority(h: np.ndarray) -> int:
 
 
 def described(text: str | None, tables: tuple[tuple[int, int], ...]) -> list[int]:
-    """The node of a text, as a signed long, and its fingerprint in each table."""
-    prints = all_fingerprints(text, tables)
-    return [int(np.uint64(prints[0]).astype(np.int64)), *prints]
+    """The node of a text, as a signed long, and its fingerprint in each table.
+
+    Texts have one node if their first fingerprints and their sets of shingles are equal.
+    """
+    hashes = all_hashes(text, tables)
+    prints = _majorities(hashes, tables)
+    held = np.unique(hashes[SHINGLE]) if SHINGLE in hashes else np.zeros(0, np.uint64)
+    return [int(np.uint64(_HASH(held.tobytes() + prints[0].to_bytes(8, "little"))).astype(np.int64)), *prints]
 
 
 def _columns(texts: pa.Array, tables: tuple[tuple[int, int], ...]) -> list[pa.Array]:

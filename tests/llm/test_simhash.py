@@ -191,3 +191,18 @@ def test_forests_come_to_all_pairs():
     assert not left and {(max(p), min(p)) for p in every} == want and len(every) == len(want)
     across, left = simhash.forests(apart[:10, 10:], 10, labels, 64)
     assert not left and set(across) == {(i, j) for j, i in want if i < 10 <= j}
+
+
+def test_equal_fingerprints_of_other_texts_are_told_apart(spark):
+    # One shingle makes up over half of each text, so it alone decides all fingerprints.
+    rng = random.Random(21)
+    own = [" ".join(f"{x}{rng.randint(0, 500)}" for _ in range(40)) for x in "abcdef"]
+    texts = [f"{x} " + "_ " * 120 for x in own]
+    texts += [texts[0].upper(), texts[1] + "_ " * 50, texts[2] + "end"]
+    assert len({tuple(simhash.all_fingerprints(t, simhash.TABLES)) for t in texts}) == 1
+    want = brute_components([0] * len(texts), texts)
+    assert want == [0, 1, 2, 3, 4, 5, 0, 1, 2]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, t) for t in (own[0] + " _" * 99, texts[3])], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.components(docs).where("doc_id is not null").collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == [0, 1, 2, 3, 4, 5]
