@@ -35,7 +35,7 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινρ", "ABEKMHOPCTXaeopcyxijsdhqwABEZHIKMNOPTYXaoivp", strict=True))
 #: Words that stand for "@" and "." when in brackets.
 AT_WORDS, DOT_WORDS = ("at", "arroba", "@"), ("dot", "punkt", "point", "punto", ".")
-#: Digit words in a row from which they are read as digits.
+#: Digit words, runs of digits and "plus" in a row from which they are read as digits, if one of them is a word.
 LEAST_SPELLED = 7
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -49,7 +49,9 @@ _BRACKETED = re.compile(r"\s*[\[({<]\s*(" + "|".join(map(re.escape, AT_WORDS + D
 _WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+((?:( +dot +)[A-Za-z0-9-]+)+)", re.I)
 _DOT = re.compile(r" +dot +", re.I)
 _NUMBER = "|".join(sorted(DIGITS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?:{_NUMBER}|[0-9]+|plus|\+)[\s,.-]{{1,3}}){{{LEAST_SPELLED - 1},}}(?:{_NUMBER}|[0-9]+)(?![A-Za-z])", re.I)
+# A start within a run of digits only where a letter forbids its first digit; so each run is looked at a few times at most.
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?![0-9])|(?<![0-9])|(?<=[A-Za-z][0-9]))(?:(?:{_NUMBER}|[0-9]++|plus|\+)[\s,.-]{{1,3}}){{{LEAST_SPELLED - 1},}}(?:{_NUMBER}|[0-9]+)(?![A-Za-z])", re.I)
+_SPELLED_WORD = re.compile(rf"{_NUMBER}|plus", re.I)
 _SPELLED_PART = re.compile(rf"({_NUMBER}|plus|[0-9]+|\+)([\s,.-]*)", re.I)
 
 
@@ -141,6 +143,8 @@ def look_alikes(t: Tape) -> Tape:
 def spelled_digits(t: Tape) -> Tape:
     edits = []
     for m in _SPELLED.finditer(t.text):
+        if not _SPELLED_WORD.search(m[0]):
+            continue
         for p in _SPELLED_PART.finditer(m[0]):
             w = p[1].lower()
             edits.append((m.start() + p.start(), m.start() + (p.end() if p.end() < len(m[0]) else p.end(1)), DIGITS.get(w, "+" if w == "plus" else w)))
@@ -163,7 +167,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and _ODD.search(text) or _BRACKETED.search(text):
         return True
     low = text.lower()
-    return " dot " in low and " at " in low or sum(map(low.count, DIGITS)) >= LEAST_SPELLED
+    return " dot " in low and " at " in low or any(_SPELLED_WORD.search(m[0]) for m in _SPELLED.finditer(text))
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:

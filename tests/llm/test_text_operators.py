@@ -83,6 +83,21 @@ def test_disguises_map_back(text, found):
     assert ",".join(map(str, pii.spans(text)[1])) == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("call plus 44 seven nine 11 123 456 78 x", "phone:5:37"),
+        ("plus four four 20 seven 946 0 958", "phone:0:33"),
+        ("4111 1111, 11, 11, 11, 1, one", "card:0:29"),
+        ("4111, 1111, 11, 11, 11, 1, 1", ""),
+        ("one two three four five six seven, 4111, 1111, 11, 11, 11, 1, 1", ""),
+    ],
+)
+def test_mixed_digit_words_alone(text, found):
+    for before in ("", "none of the phones there: one, two; "):
+        assert ",".join(f"{s.kind}:{s.start - len(before)}:{s.end - len(before)}" for s in pii.spans(before + text)[1]) == found
+
+
 def test_long_runs_take_linear_time():
     for t in ("1" * 500_000, "a" * 500_000 + "@", "a@" * 200_000, "+1" * 200_000, "( " * 200_000, "1." * 200_000):
         pii.spans(t)
