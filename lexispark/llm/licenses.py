@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, with DataFrame functions only.
 
 Texts are lower-cased and cut into words (ASCII letters and digits, and any other character beyond ASCII). A
-keyword prefilter lets only texts through that hold a word which every rule needs; for the others nothing but
-words is counted. Each rule is a regular expression over the space-joined words, it begins at an anchor word,
+keyword prefilter, derived from the rules, lets only texts through that hold all the words which some rule needs;
+for the others nothing but words is counted. Each rule is a regular expression over the space-joined words, it begins at an anchor word,
 and it is tried only where that anchor stands and where the words that follow hold the rule's keyword. The
 rules are the license families below, written out by the phrasings below, and some whole notices.
 
@@ -20,6 +20,8 @@ length are scanned whole; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,6 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word in a text of any case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Texts without any of these hold no detection; groups of which all must be there.
-GATES = (("licen",), ("cc", "by"), ("copyright",), ("copyleft",), ("public", "domain"), ("spdx",), ("free", "software"), ("redistribution",), ("permission",), ("rights", "reserved"), ("creative", "commons"), ("gpl",))
 #: Longest signature in words.
 SPAN = 24
 
@@ -120,6 +120,32 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
     return sorted(out, key=lambda r: r[4])
 
 
+def needed(rx: str) -> list[str]:
+    """Words, or beginnings of words, that each match of a rule's expression holds."""
+    rx = rx.replace("licen[cs]e", "licen").replace(" ?", " ")
+    before = None
+    while rx != before:
+        before = rx
+        rx = re.sub(r"\(\?:[^()]*\)\?", " ", rx)  # optional
+        rx = re.sub(r"\(\?:([^()|]*)\)(?!\?)", r"\1", rx)  # always there
+    rx = re.sub(r"\(\?:[^()]*\)", " ", rx)  # alternatives
+    return re.findall(r"[a-z0-9]{2,}", re.sub(r"\[[^]]*\](?:\{[0-9]\})?", " ", rx))
+
+
+def gates() -> dict[tuple[str, ...], set[str]]:
+    """Words that must all be in a text, and, if there are any, keywords of which one must be; no rule or base phrase matches without one of these."""
+    out: dict[tuple[str, ...], set[str]] = {}
+    for rx, anchor, keyword in [(p, None, None) for p, _ in BASE] + [(rx, a, k) for a, _, k, rx, _, _ in rules()]:
+        words = needed(rx)
+        if any("licen" in w for w in words):
+            out["licen",] = set()
+        elif "under" in words and words[0] == anchor:
+            out.setdefault((anchor, "under"), set()).add(keyword)
+        else:
+            out[tuple(dict.fromkeys([*words, *([keyword] if keyword else [])]))] = set()
+    return {g: k for g, k in out.items() if not any(not k2 and set(g2) < set(g) for g2, k2 in out.items())}
+
+
 def _quoted(x: str) -> str:
     return "r'" + x + "'"
 
@@ -157,10 +183,10 @@ def scan(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), text.alias("_text"))
     low = F.lower("_text")
     passes = F.lit(False)
-    for group in GATES:
-        every = F.lit(True)
-        for k in group:
-            every = every & low.contains(k)
+    for group, words in gates().items():
+        every = low.rlike("|".join(sorted(words))) if words else F.lit(True)
+        for k in reversed(group):
+            every = low.contains(k) & every
         passes = passes | every
     own = own.withColumn("_words", F.regexp_count("_text", F.lit(WORD)).cast("long")).withColumn("_gated", F.when(passes, low).otherwise(""))
     own = own.withColumn("_norm", F.trim(F.regexp_replace("_gated", GAPS, " "))).drop("_text", "_gated")

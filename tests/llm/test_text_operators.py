@@ -153,6 +153,28 @@ def test_licenses(spark, edge_docs, empty_docs):
     assert "Python" not in licenses.digest(df)._jdf.queryExecution().toString()
 
 
+def example(rx, whole):
+    """A text that the expression matches: with all optional parts or with none."""
+    rx, before = re.sub(r"\[(.)[^]]*\](?:\{([0-9])\})?", lambda m: m[1] * int(m[2] or 1), rx), None
+    rx = rx.replace(" ?", " " if whole else "")
+    while rx != before:
+        before = rx
+        rx = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] and not whole else m[1].split("|")[0], rx, count=1)
+    return rx.split("|")[0]
+
+
+def test_each_license_rule_alone(spark):
+    texts = [(example(rx, whole), keyword) for _, _, keyword, rx, _, _ in licenses.rules() for whole in (False, True)]
+    texts = [t if keyword in t else f"{t} {keyword}" for t, keyword in texts]
+    texts += ["released under the MPL 2.0", "available under BSD 3-clause", "distributed under the terms of Apache 2.0", "CC0 1.0", "WTFPL", "0BSD"]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.digest(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_licenses(t), t
+        assert got[i][5], t
+
+
 def brute_rules(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
