@@ -155,8 +155,9 @@ def test_licenses(spark, edge_docs, empty_docs):
 
 def example(rx, whole):
     """A text that the expression matches: with all optional parts or with none."""
+    rx = rx.replace("licen[cs]e", "license")
     rx, before = re.sub(r"\[(.)[^]]*\](?:\{([0-9])\})?", lambda m: m[1] * int(m[2] or 1), rx), None
-    rx = rx.replace(" ?", " ")  # "gpl2" is one word, not the anchor "gpl"
+    rx = rx.replace(" ?", " ").replace("licen[cs]e", "license")  # "gpl2" and "licence" are not the anchors
     while rx != before:
         before = rx
         rx = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] and not whole else m[1].split("|")[0], rx, count=1)
