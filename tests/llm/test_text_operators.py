@@ -167,7 +167,7 @@ def example(rx, whole):
 def test_each_license_rule_alone(spark):
     texts = [(example(rx, whole), keyword) for _, _, keyword, rx, _, _ in licenses.rules() for whole in (False, True)]
     texts = [t if keyword in t else f"{t} {keyword}" for t, keyword in texts]
-    texts += ["released under the MPL 2.0", "available under BSD 3-clause", "distributed under the terms of Apache 2.0", "CC0 1.0", "WTFPL", "0BSD"]
+    texts += ["released under the MPL 2.0", "available under BSD 3-clause", "distributed under the terms of the Apache 2.0", "CC0 1.0", "WTFPL", "0BSD"]
     texts = list(dict.fromkeys(texts))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: tuple(r)[1:] for r in licenses.digest(df).collect()}
