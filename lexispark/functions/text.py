@@ -25,8 +25,8 @@ LETTERS = r"(?<![\p{L}\p{N}_])[a-z]+(?![\p{L}\p{N}_])"
 
 
 def trim_unicode(t: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(F.regexp_replace(t, rf"\A[{SPACE}]+", ""), rf"[{SPACE}]+\z", "")
+    """Without white space at either end. A run is looked at from its first character only, so time is in proportion to the text."""
+    return F.regexp_replace(F.regexp_replace(t, rf"\A[{SPACE}]++", ""), rf"(?<![{SPACE}])[{SPACE}]++\z", "")
 
 
 def strip_bom(t: Column) -> Column:
@@ -34,15 +34,16 @@ def strip_bom(t: Column) -> Column:
 
 
 def strip_boilerplate(t: Column) -> Column:
-    """The text between the markers. Patterns are tried in their order; both ends are looked for in the whole text."""
+    """The text between the markers. Patterns are tried in their order; both ends are looked for in the whole text.
 
-    def parts(pattern: str) -> Column:
-        return F.split(t, "(?iud)" + pattern, 2)
-
-    n = F.length(t)
-    begin = F.coalesce(*(F.when(F.size(parts(p)) > 1, n - F.length(F.element_at(parts(p), -1))) for p in START_PATTERNS), F.lit(0))
-    end = F.coalesce(*(F.when(F.size(parts(p)) > 1, F.length(F.element_at(parts(p), 1))) for p in END_PATTERNS), n)
-    return trim_unicode(F.substring(t, begin + 1, F.greatest(end - begin, F.lit(0))))
+    Each marker holds a word that has one spelling in lower case, so texts without it are only trimmed.
+    """
+    start = F.coalesce(*(F.regexp_substr(t, F.lit("(?iud)" + p)) for p in START_PATTERNS))
+    stop = F.coalesce(*(F.regexp_substr(t, F.lit("(?iud)" + p)) for p in END_PATTERNS))
+    # Nothing equal to the leftmost match stands before it.
+    begin = F.coalesce(F.instr(t, start) - 1 + F.length(start), F.lit(0))
+    end = F.coalesce(F.instr(t, stop) - 1, F.length(t))
+    return trim_unicode(F.when(has_marker(t), F.substring(t, begin + 1, F.greatest(end - begin, F.lit(0)))).otherwise(t))
 
 
 def strip_literal_markers(t: Column) -> Column:
@@ -76,7 +77,7 @@ def collapse_blanks(t: Column) -> Column:
 
 
 def strip_line_ends(t: Column) -> Column:
-    return F.regexp_replace(t, r" +\n", "\n")
+    return F.regexp_replace(t, r"(?<! ) ++\n", "\n")
 
 
 def collapse_line_feeds(t: Column) -> Column:
@@ -144,8 +145,23 @@ def percent(x: Column) -> Column:
     return F.format_string("%.2f%%", x * 100)
 
 
-def issues(t: Column, ratio: float = 0.01, words: int = 20000) -> Column:
-    """Array of what speaks against a text: marker, special characters, too few words."""
-    short = F.concat(F.lit("Short text: "), thousands(word_count(t)), F.lit(" words"))
-    odd = F.concat(F.lit("High special char ratio: "), percent(special_ratio(t)))
-    return F.array_compact(F.array(F.when(has_marker(t), F.lit("Contains Gutenberg text")), F.when(special_ratio(t) > ratio, odd), F.when(word_count(t) < words, short)))
+def tei_body(t: Column) -> Column:
+    """The body of a TEI document as text: without tags, words joined that a hyphen parts at a line's end, entities of markup resolved."""
+    body = F.regexp_extract(t, r"(?s)<body(?:\s[^<>]*+)?>(.*?)</body>", 1)
+    plain = F.regexp_replace(F.regexp_replace(body, r"<[^<>]*+>", ""), r"-\n[ \t]*+", "")
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(entity), F.lit(c))
+    return plain
+
+
+def title(t: Column) -> Column:
+    """Each run of letters with its first letter in upper case and the others in lower case."""
+    words = F.regexp_extract_all(t, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, F.length(w))))), "")
+
+
+def issues(marked: Column, share: Column, count: Column, ratio: float = 0.01, words: int = 20000) -> Column:
+    """Array of what speaks against a text, from has_marker, special_ratio and word_count: marker, special characters, too few words."""
+    short = F.concat(F.lit("Short text: "), thousands(count), F.lit(" words"))
+    odd = F.concat(F.lit("High special char ratio: "), percent(share))
+    return F.array_compact(F.array(F.when(marked, F.lit("Contains Gutenberg text")), F.when(share > ratio, odd), F.when(count < words, short)))

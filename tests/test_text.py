@@ -1,5 +1,7 @@
 """Edge texts with values typed by hand."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ def one(spark, f, text):
         (tx.special_ratio, "", None),
         (tx.special_ratio, "ab#é", 0.5),
         (lambda t: tx.thousands(F.lit(1234.9)), "", "1,234"),
+        (tx.title, "o'brien MARY-ann 2nd élan", "O'Brien Mary-Ann 2Nd Élan"),
         (lambda t: tx.percent(F.lit(0.12345)), "", "12.35%"),
         (lambda t: tx.sample(t, 2), " a  b c", "a b"),
         (lambda t: tx.clean(t, from_file=True), "﻿x\r\n12\r\ny_z  `q \r\n\r\n\r\n\r\nend ", "x\nyz 'q\n\nend"),
@@ -60,5 +63,15 @@ def test_clean_twice_changes_nothing_more_at_the_ends(spark):
 
 
 def test_issues(spark):
-    got = one(spark, tx.issues, "Project Gutenberg ####")
+    got = one(spark, lambda t: tx.issues(tx.has_marker(t), tx.special_ratio(t), tx.word_count(t)), "Project Gutenberg ####")
     assert got == ["Contains Gutenberg text", "High special char ratio: 18.18%", "Short text: 3 words"]
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    n = 1_000_000
+    began = time.time()
+    for run in (" " * n, "\t" * n, "\n" * n, " \t" * (n // 2), "a" + " " * n + "b" + " " * n + "\n", "*** START OF THE PROJECT GUTENBERG EBOOK " + " " * n):
+        for f in (tx.trim_unicode, tx.strip_line_ends, tx.clean, tx.collapse_space, tx.strip_boilerplate):
+            one(spark, lambda t, f=f: F.length(f(t)), run)
+    assert one(spark, tx.strip_line_ends, "a" + " " * n + "\nb ") == "a\nb "
+    assert time.time() - began < 60
