@@ -23,13 +23,13 @@ TOKENS = r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+'), lam
 
 
 def counts_sql(source: str) -> str:
-    return rf"""tok AS (SELECT doc_ord, {TOKENS.format(t="text")} AS t FROM {source}),
+    return rf"""tok AS MATERIALIZED (SELECT doc_ord, {TOKENS.format(t="text")} AS t FROM {source}),
 words AS (SELECT doc_ord, unnest(t) AS word, unnest(range(len(t))) AS pos FROM tok),
-wc AS (SELECT doc_ord, word, count(*) AS cnt, min(pos) AS pos FROM words GROUP BY doc_ord, word)"""
+wc AS MATERIALIZED (SELECT doc_ord, word, count(*) AS cnt, min(pos) AS pos FROM words GROUP BY doc_ord, word)"""
 
 
 def vocab_sql(source: str, n: int) -> str:
-    return f"""vocab AS (SELECT word, sum(cnt)::BIGINT AS cnt, row_number() OVER (ORDER BY sum(cnt) DESC, min({{'d': doc_ord, 'p': pos}})) AS rank
+    return f"""vocab AS MATERIALIZED (SELECT word, sum(cnt)::BIGINT AS cnt, row_number() OVER (ORDER BY sum(cnt) DESC, min({{'d': doc_ord, 'p': pos}})) AS rank
   FROM {source} GROUP BY word QUALIFY rank <= {n})"""
 
 

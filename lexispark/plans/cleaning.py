@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.plans.base import META, SPACE, TOKENS, WORDS, query
+from lexispark.session import spread
 from lexispark.sources.corpus import corpus
 
 _HEAD = "\ufeffFront matter\r\n*** Start of the Project Gutenberg eBook {} ***\r\n 12 \n12\n13\nXIV\nMCM\n"
@@ -82,7 +83,7 @@ def _chain_sql() -> str:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def _digest(t: Column) -> list[Column]:
@@ -186,11 +187,12 @@ def scalars(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "t09_t11_formats",
-    f"WITH {META} SELECT upper(title[1]) || lower(title[2:]) AS label, upper(author) AS author, format('{{:,}}', sum(word_count)::BIGINT) AS total, format('{{:,}}', trunc(avg(word_count))::BIGINT) AS mean, printf('%.2f%%', count(DISTINCT doc_ord) * 100.0::DOUBLE / 1000) AS pct FROM meta GROUP BY title, meta.author",
+    rf"WITH {META} SELECT array_to_string(list_transform(regexp_extract_all(title || '''s ' || meta.author || '-x2y é', '\p{{L}}+|\P{{L}}+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS label, upper(author) AS author, format('{{:,}}', sum(word_count)::BIGINT) AS total, format('{{:,}}', trunc(avg(word_count))::BIGINT) AS mean, printf('%.2f%%', count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY meta.author)) AS pct FROM meta GROUP BY title, meta.author",
 )
 def formats(s: SparkSession, d: str) -> DataFrame:
     g = _meta(s, d).groupBy("title", "author").agg(F.sum("word_count").alias("t"), F.avg("word_count").alias("m"), F.count(F.lit(1)).alias("n"))
-    return g.select(F.initcap("title").alias("label"), F.upper("author").alias("author"), tx.thousands(F.col("t")).alias("total"), tx.thousands(F.col("m")).alias("mean"), tx.percent(F.col("n") / 1000).alias("pct"))
+    name, share = F.concat("title", F.lit("'s "), "author", F.lit("-x2y é")), F.col("n") / F.sum("n").over(Window.partitionBy("author"))
+    return g.select(tx.title(name).alias("label"), F.upper("author").alias("author"), tx.thousands(F.col("t")).alias("total"), tx.thousands(F.col("m")).alias("mean"), tx.percent(share).alias("pct"))
 
 
 def _meta(s: SparkSession, d: str) -> DataFrame:
@@ -207,7 +209,9 @@ _ISSUES = f"""issues AS (
 
 def _issues(s: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 3 == 0, _noise()).otherwise(F.col("text"))
-    return _docs(s, d).select("doc_id", t.alias("t")).select("doc_id", F.explode(tx.issues(F.col("t"))).alias("issue"))
+    own = _docs(s, d).select("doc_id", t.alias("t"))
+    found = own.select("doc_id", tx.has_marker(F.col("t")).alias("marked"), tx.special_ratio(F.col("t")).alias("share"), tx.word_count(F.col("t")).alias("count"))
+    return found.select("doc_id", F.explode(tx.issues(F.col("marked"), F.col("share"), F.col("count"))).alias("issue"))
 
 
 @query("p06_q1_issues", f"WITH {_ISSUES} SELECT * FROM issues")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.operators import features
-from lexispark.plans.base import CORPUS, META, counts_sql, query, vocab_sql
+from lexispark.plans.base import CORPUS, META, TOKENS, counts_sql, query, vocab_sql
+from lexispark.session import cut, spread
 from lexispark.sources import corpus as src
 
 
@@ -83,10 +84,18 @@ def histogram(s: SparkSession, d: str) -> DataFrame:
     return m.join(F.broadcast(r), F.lit(True)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a14_box_plot", f"WITH {META} SELECT author, quantile_cont(word_count::DOUBLE, 0.25) AS q1, quantile_cont(word_count::DOUBLE, 0.5) AS q2, quantile_cont(word_count::DOUBLE, 0.75) AS q3 FROM meta GROUP BY author")
+@query("a14_box_plot", f"""WITH {META}, q AS (SELECT author, quantile_cont(word_count::DOUBLE, 0.25) AS q1, quantile_cont(word_count::DOUBLE, 0.5) AS q2, quantile_cont(word_count::DOUBLE, 0.75) AS q3 FROM meta GROUP BY author)
+SELECT author, q1, q2, q3, min(word_count) FILTER (WHERE word_count >= q1 - 1.5::DOUBLE * (q3 - q1)) AS low, max(word_count) FILTER (WHERE word_count <= q3 + 1.5::DOUBLE * (q3 - q1)) AS high,
+  count(*) FILTER (WHERE word_count < q1 - 1.5::DOUBLE * (q3 - q1) OR word_count > q3 + 1.5::DOUBLE * (q3 - q1)) AS beyond FROM meta JOIN q USING (author) GROUP BY author, q1, q2, q3""")
 def box_plot(s: SparkSession, d: str) -> DataFrame:
-    q = meta(s, d).groupBy("author").agg(F.percentile("word_count", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select("author", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    """Quartiles, whiskers (the last values within one and a half box lengths) and how many values lie beyond."""
+    m = cut(meta(s, d).select("author", "word_count"))
+    q = m.groupBy("author").agg(F.percentile("word_count", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = q.select("author", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)))
+    reach, w = (F.col("q3") - F.col("q1")) * 1.5, F.col("word_count")
+    within = (w >= F.col("q1") - reach) & (w <= F.col("q3") + reach)
+    g = m.join(q, "author").groupBy("author", "q1", "q2", "q3")
+    return g.agg(F.min(F.when(w >= F.col("q1") - reach, w)).alias("low"), F.max(F.when(w <= F.col("q3") + reach, w)).alias("high"), F.count(F.when(~within, 1)).alias("beyond"))
 
 
 @query("p01_p03_k05_subset", f"WITH {META} SELECT title, year, word_count AS words FROM meta WHERE author = 'fr' ORDER BY year, doc_ord")
@@ -117,15 +126,14 @@ def head(s: SparkSession, d: str) -> DataFrame:
 
 
 def _works_and_files(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents as works, documents with an even id as the files that are there."""
-    docs = s.read.parquet(f"{d}/documents.parquet")
+    """All documents as works, and the texts of those with a label as the files that are there."""
+    docs = spread(s.read.parquet(f"{d}/documents.parquet"))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path")
     labels = s.read.parquet(f"{d}/labels.parquet").select("doc_id")
-    listed = docs.join(labels, "doc_id").select("doc_id", F.col("lang").alias("author"), path)
-    return listed, docs.where(F.col("doc_id") % 2 == 0).select(path, "text")
+    return docs.select("doc_id", F.col("lang").alias("author"), path), docs.join(labels, "doc_id", "left_semi").select(path, "text")
 
 
-_LISTED = "works AS (SELECT doc_id, lang AS author, source || '/' || doc_id || '.txt' AS file_path FROM documents JOIN labels USING (doc_id)), files AS (SELECT source || '/' || doc_id || '.txt' AS file_path, text FROM documents WHERE doc_id % 2 = 0)"
+_LISTED = "works AS (SELECT doc_id, lang AS author, source || '/' || doc_id || '.txt' AS file_path FROM documents), files AS (SELECT source || '/' || doc_id || '.txt' AS file_path, text FROM documents SEMI JOIN labels USING (doc_id))"
 
 
 @query("s05_j01_load", f"WITH {_LISTED} SELECT file_path, doc_id, author, length(text)::BIGINT AS n FROM works JOIN files USING (file_path)")
@@ -149,17 +157,23 @@ def metadata(s: SparkSession, d: str) -> DataFrame:
     return src.metadata_of(*_works_and_files(s, d)).select("file_path", "doc_id", "author", "word_count")
 
 
-@query("set_union", "SELECT DISTINCT lang AS label FROM documents WHERE doc_id % 5 = 0 UNION SELECT DISTINCT source FROM documents WHERE doc_id % 5 <> 0")
+@query("set_union", "SELECT lang AS label FROM documents UNION SELECT source FROM documents")
 def union(s: SparkSession, d: str) -> DataFrame:
     """Union of two label sets."""
-    docs = s.read.parquet(f"{d}/documents.parquet")
-    return docs.where("doc_id % 5 = 0").select(F.col("lang").alias("label")).union(docs.where("doc_id % 5 <> 0").select("source")).distinct()
+    docs = spread(s.read.parquet(f"{d}/documents.parquet"))
+    return docs.select(F.col("lang").alias("label")).union(docs.select("source")).distinct()
 
 
-@query("x03_style", r"""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '\S+')) AS w FROM documents)
-SELECT doc_id, round(len(regexp_extract_all(text, '[.!?]')) * 1000.0::DOUBLE / w, 6) AS stops, round(len(regexp_extract_all(text, ',')) * 1000.0::DOUBLE / w, 6) AS commas, round(w::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+'))), 6) AS sentence FROM t WHERE w > 0""")
+_FUNCTION_WORDS = ("the", "of", "and", "to", "in", "a", "that", "it", "is", "was")
+_STYLE = r"""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '\S+')) AS w, {tokens} AS k FROM documents)
+SELECT doc_id, round(len(regexp_extract_all(text, '[.!?]')) * 1000.0::DOUBLE / w, 6) AS stops, round(len(regexp_extract_all(text, ',')) * 1000.0::DOUBLE / w, 6) AS commas, round(w::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+'))), 6) AS sentence, {words} FROM t WHERE w > 0"""
+
+
+@query("x03_style", _STYLE.format(tokens=TOKENS.format(t="text"), words=", ".join(f"round(len(list_filter(k, lambda x: x = '{w}')) * 1000.0::DOUBLE / w, 6) AS word_{w}" for w in _FUNCTION_WORDS)))
 def style(s: SparkSession, d: str) -> DataFrame:
-    """Punctuation per 1,000 words and mean words in a sentence."""
+    """Punctuation and function words per 1,000 words, and mean words in a sentence."""
     c = lambda p: F.regexp_count("text", F.lit(p))
-    t = s.read.parquet(f"{d}/documents.parquet").withColumn("w", c(r"\S+")).where("w > 0")
-    return t.select("doc_id", F.round(c("[.!?]") * 1000.0 / F.col("w"), 6).alias("stops"), F.round(c(",") * 1000.0 / F.col("w"), 6).alias("commas"), F.round(F.col("w").cast("double") / F.greatest(F.lit(1), c("[.!?]+")), 6).alias("sentence"))
+    t = spread(s.read.parquet(f"{d}/documents.parquet")).withColumn("w", c(r"\S+")).where("w > 0").withColumn("k", tx.letter_tokens(F.col("text")))
+    words = lambda w: F.size(F.filter("k", lambda x: x == F.lit(w)))
+    share = [F.round(words(w) * 1000.0 / F.col("w"), 6).alias(f"word_{w}") for w in _FUNCTION_WORDS]
+    return t.select("doc_id", F.round(c("[.!?]") * 1000.0 / F.col("w"), 6).alias("stops"), F.round(c(",") * 1000.0 / F.col("w"), 6).alias("commas"), F.round(F.col("w").cast("double") / F.greatest(F.lit(1), c("[.!?]+")), 6).alias("sentence"), *share)

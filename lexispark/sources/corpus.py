@@ -6,17 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
+from lexispark.session import spread
 
 #: Columns of corpus metadata, in file order.
 METADATA = "author string, title string, year int, genre string, volume int, word_count int, source string, file_path string, notes string"
+#: What stands for "/" in the name of a written text's folder.
+FOLDED = "__"
 LABELS = "author_to_id map<string,int>, id_to_author map<string,string>"
 
 
 def read_texts(spark: SparkSession, folder: str, bom: bool = True) -> DataFrame:
-    """(path, text) of all .txt files below a folder; with bom a byte-order mark is dropped."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    out = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return out.withColumn("text", tx.strip_bom(F.col("text"))) if bom else out
+    """(path, text) of all .txt files below a folder that are UTF-8; with bom a byte-order mark is dropped."""
+    return scan_texts(spark, folder, bom).where("error is null").drop("error")
+
+
+def scan_texts(spark: SparkSession, folder: str, bom: bool = True) -> DataFrame:
+    """(path, text, error) of all .txt files below a folder; a file that isn't UTF-8 has no text and says so in error.
+
+    Files that vanish or break while they are read are passed over, so one bad file doesn't end the scan.
+    """
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    files = found.format("binaryFile").load(folder).select("path", "content")
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(valid, F.col("content").cast("string"))
+    return files.select("path", (tx.strip_bom(text) if bom else text).alias("text"), F.when(~valid, "not UTF-8").alias("error"))
 
 
 def relative_path(path: Column, folder: str) -> Column:
@@ -24,8 +37,9 @@ def relative_path(path: Column, folder: str) -> Column:
     return F.substring_index(path, folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=METADATA)
+def read_metadata(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    """With infer the types are taken from the file, which reads it twice; without, columns that aren't wanted aren't parsed."""
+    return spark.read.csv(path, header=True, inferSchema=True) if infer else spark.read.csv(path, header=True, schema=METADATA)
 
 
 def write_metadata(df: DataFrame, path: str) -> None:
@@ -53,6 +67,22 @@ def metadata_of(works: DataFrame, files: DataFrame) -> DataFrame:
     return works.drop("word_count").join(counted, "file_path")
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """A table with a header, as one file where it is small: summaries have a row for each author."""
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """A file for each row (columns file_path, text; each path once), in a folder that is named by its path. A line feed ends the file."""
+    named = F.regexp_replace("file_path", "/", FOLDED)
+    texts.select(named.alias("file"), "text").write.mode("overwrite").partitionBy("file").text(folder)
+
+
+def written_path(path: Column) -> Column:
+    """The file_path that write_texts was given, from the path of the file."""
+    return F.regexp_replace(F.url_decode(F.regexp_extract(path, "/file=([^/]*)/[^/]*$", 1)), FOLDED, "/")
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """One JSON object with both directions, from (author, label)."""
     pairs = F.sort_array(F.collect_list(F.struct("author", F.col("label").cast("int").alias("label"))))
@@ -76,11 +106,15 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split)
 
 
+def write_parquet(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a corpus: doc_ord, author, title, year, text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.select(F.col("doc_id").alias("doc_ord"), F.col("lang").alias("author"), F.col("source").alias("title"), (F.lit(1700) + F.col("doc_id") % 115).cast("int").alias("year"), "text")
