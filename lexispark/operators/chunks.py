@@ -8,18 +8,30 @@ from pyspark.sql import functions as F
 from lexispark.functions import text as tx
 
 
-def windows(tokens: str, size: int, stride: int, least: int) -> Column:
-    """Array of (chunk_ix, start_pos, n_tokens, tokens).
+def bounds(n: str, size: int, stride: int, least: int) -> str:
+    """SQL for an array of (start_pos, n_tokens) of the windows of a text with n tokens.
 
     Windows start at 0, stride, 2 stride, ... up to the first that reaches the end; those with fewer than
-    least tokens (1 at least) are left out, and chunk_ix counts those that stay.
+    least tokens (1 at least) are left out.
     """
-    return F.expr(f"""
-      transform(filter(transform(
-          sequence(0L, greatest(0L, cast(ceil((size({tokens}) - {size}) / {stride}D) as bigint))),
-          k -> named_struct('start_pos', k * {stride}, 'tokens', slice({tokens}, cast(k * {stride} + 1 as int), {size}))),
-        w -> size(w.tokens) >= greatest({least}, 1)),
-      (w, i) -> named_struct('chunk_ix', i, 'start_pos', w.start_pos, 'n_tokens', size(w.tokens), 'tokens', w.tokens))""")
+    return f"""filter(transform(
+      sequence(0L, greatest(0L, cast(ceil(({n} - {size}) / {stride}D) as bigint))),
+      k -> named_struct('start_pos', k * {stride}, 'n_tokens', cast(least({size}, {n} - k * {stride}) as int))),
+      w -> w.n_tokens >= greatest({least}, 1))"""
+
+
+def windows(tokens: str, size: int, stride: int, least: int) -> Column:
+    """Array of (chunk_ix, start_pos, n_tokens, tokens) of the windows; chunk_ix counts those that stay."""
+    return F.expr(f"""transform({bounds(f"size({tokens})", size, stride, least)}, (w, i) -> named_struct(
+      'chunk_ix', i, 'start_pos', w.start_pos, 'n_tokens', w.n_tokens, 'tokens', slice({tokens}, cast(w.start_pos + 1 as int), {size})))""")
+
+
+def spans(docs: DataFrame, size: int = 512, stride: int = 256, least: int = 64, tokenizer=tx.space_tokens) -> DataFrame:
+    """(chunk_ix, start_pos, n_tokens) for each window of each document, without its tokens, beside the document's other columns."""
+    keep = [c for c in docs.columns if c != "text"]
+    counted = docs.select(*keep, F.size(tokenizer(F.col("text"))).cast("long").alias("_n"))
+    found = F.expr(f"transform({bounds('_n', size, stride, least)}, (w, i) -> named_struct('chunk_ix', i, 'start_pos', w.start_pos, 'n_tokens', w.n_tokens))")
+    return counted.select(*keep, F.inline(found))
 
 
 def chunk(docs: DataFrame, size: int = 512, stride: int = 256, least: int = 64, tokenizer=tx.space_tokens) -> DataFrame:

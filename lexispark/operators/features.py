@@ -7,6 +7,7 @@ vocabulary, which has a fixed number of words. Distances are taken between block
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,40 @@ def nearest(test: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("doc_ord", "place", "delta", "neighbour")
 
 
+@dataclass
+class Delta:
+    """Nearest-neighbour classifier by mean absolute difference of standard scores of the n most frequent words."""
+
+    n: int = 100
+    vocab: DataFrame | None = None
+    stats: DataFrame | None = None
+    train: DataFrame | None = None
+
+    def fit(self, docs: DataFrame) -> Delta:
+        """Vocabulary, means, deviations and vectors of (doc_ord, author, text)."""
+        counts = cut(word_counts(docs))
+        self.vocab = cut(vocabulary(counts, self.n))
+        freq = cut(frequencies(docs, counts, self.vocab))
+        self.stats = cut(scaler(freq))
+        self.train = cut(standardize(freq, self.stats).join(docs.select("doc_ord", "author"), "doc_ord"))
+        return self
+
+    def vectors(self, docs: DataFrame) -> DataFrame:
+        """(doc_ord, z)."""
+        return standardize(frequencies(docs, word_counts(docs), self.vocab), self.stats)
+
+    def neighbours(self, docs: DataFrame, k: int = 1) -> DataFrame:
+        """(doc_ord, place, delta, neighbour, author) with the neighbour's author."""
+        near = nearest(cut(self.vectors(docs)), self.train.select("doc_ord", "z"), k)
+        return near.join(self.train.select(F.col("doc_ord").alias("neighbour"), "author"), "neighbour")
+
+    def predict(self, docs: DataFrame, k: int = 1) -> DataFrame:
+        """(doc_ord, pred, votes): the author of most of the k nearest; of equals the one with the nearest."""
+        c = self.neighbours(docs, k).groupBy("doc_ord", "author").agg(F.count(F.lit(1)).alias("votes"), F.min("place").alias("place"))
+        best = c.groupBy("doc_ord").agg(F.min(F.struct((-F.col("votes")).alias("less"), "place", "author", "votes")).alias("r"))
+        return best.select("doc_ord", F.col("r.author").alias("pred"), "r.votes")
+
+
 def delta_vectors(docs: DataFrame, n: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Standard scores of test rows and train rows (docs with split), and the vocabulary, all fitted on train."""
     split = docs.select("doc_ord", "split")

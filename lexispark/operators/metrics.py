@@ -18,15 +18,35 @@ def pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def label_counts(rows: DataFrame) -> DataFrame:
+    """(label, support, guessed, tp): how often each label is true, predicted, and both."""
+    p, none, n = pairs(rows), F.lit(0).cast("long"), F.col("cnt")
+    right = F.when(F.col("truth") == F.col("pred"), n).otherwise(none)
+    sides = F.array(F.struct(F.col("truth").alias("label"), n.alias("t"), none.alias("q"), right.alias("tp")), F.struct(F.col("pred").alias("label"), none.alias("t"), n.alias("q"), none.alias("tp")))
+    return p.select(F.inline(sides)).groupBy("label").agg(F.sum("t").alias("support"), F.sum("q").alias("guessed"), F.sum("tp").alias("tp"))
+
+
 def report(rows: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) for each label in truth or predictions; what would divide by zero is 0."""
-    p = pairs(rows)
-    each = p.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("cnt").alias("t"), F.lit(0).cast("long").alias("q"), F.when(F.col("truth") == F.col("pred"), F.col("cnt")).otherwise(0).alias("tp")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("t"), F.col("cnt").alias("q"), F.lit(0).cast("long").alias("tp")))).alias("x")).select("x.*")
-    s = each.groupBy("label").agg(F.sum("t").alias("support"), F.sum("q").alias("guessed"), F.sum("tp").alias("tp"))
-    zero = F.lit(0.0)
+    s, zero = label_counts(rows), F.lit(0.0)
     return s.select("label", F.coalesce(F.try_divide("tp", "guessed"), zero).alias("precision"), F.coalesce(F.try_divide("tp", "support"), zero).alias("recall"), F.coalesce(F.try_divide(F.col("tp") * 2.0, F.col("support") + F.col("guessed")), zero).alias("f1"), "support")
 
 
+def false_positives(rows: DataFrame) -> DataFrame:
+    """(label, others, wrong, rate): rows of other labels, those of them that are predicted as this one, and their share."""
+    others = F.sum("support").over(Window.partitionBy()) - F.col("support")  # a row for each label
+    s = label_counts(rows).select("label", others.alias("others"), (F.col("guessed") - F.col("tp")).alias("wrong"))
+    return s.withColumn("rate", F.coalesce(F.try_divide("wrong", "others"), F.lit(0.0)))
+
+
+def threshold_curve(rows: DataFrame, steps: int = 10) -> DataFrame:
+    """(step, n, accuracy): rows with a confidence of step / steps at least, and their accuracy."""
+    last = F.least(F.floor(F.round("confidence", 9) * steps), F.lit(steps - 1)).cast("int")
+    by = rows.groupBy(last.alias("last")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("truth") == F.col("pred")).cast("long")).alias("right"))
+    each = by.select(F.explode(F.sequence(F.lit(0), F.col("last"))).alias("step"), "n", "right")
+    return each.groupBy("step").agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("accuracy"))
+
+
 def averages(rows: DataFrame) -> DataFrame:
     """Macro and weighted rows: (kind, precision, recall, f1, support)."""
     r = report(rows)
@@ -36,11 +56,13 @@ def averages(rows: DataFrame) -> DataFrame:
     return macro.union(weighted)
 
 
-def confusion(rows: DataFrame) -> DataFrame:
-    """(truth, pred, cnt) for each two labels, zero where there are no rows."""
+def confusion(rows: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """(truth, pred, cnt) for each two labels, zero where there are no rows; labels are those of every, or of the rows."""
     p = pairs(rows)
-    labels = p.select(F.explode(F.array("truth", "pred")).alias("label")).distinct()
-    grid = labels.select(F.col("label").alias("truth")).join(labels.select(F.col("label").alias("pred")), F.lit(True))
+    # One row with all labels, which are as few as the report's rows.
+    labels = every.toDF("label") if every is not None else p.select(F.explode(F.array("truth", "pred")).alias("label"))
+    labels = labels.agg(F.collect_set("label").alias("labels"))
+    grid = labels.select("labels", F.explode("labels").alias("truth")).select("truth", F.explode("labels").alias("pred"))
     return grid.join(p, ["truth", "pred"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
 

@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.operators import features
+from lexispark.functions import text as tx
+from lexispark.operators import chunks, features
 from lexispark.session import cut
 
+#: Most authors that a model may have.
+MOST_LABELS = 10_000
+
 
 def multinomial(train: DataFrame, n: int = 200) -> DataFrame:
     """(author, word, logp): log-probabilities of the n most frequent words, with one added to each count."""
@@ -18,27 +22,73 @@ def multinomial(train: DataFrame, n: int = 200) -> DataFrame:
     vocab = features.vocabulary(counts, n).select("word")
     by = counts.join(F.broadcast(vocab), "word").join(train.select("doc_ord", "author"), "doc_ord").groupBy("author", "word").agg(F.sum("cnt").alias("cnt"))
     # At most n words for each author.
-    grid = train.select("author").distinct().join(F.broadcast(vocab), F.lit(True))
+    words = [r["word"] for r in vocab.orderBy("word").collect()]
+    every = F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
+    grid = train.select("author").distinct().select("author", F.explode(every).alias("word"))
     full = grid.join(by, ["author", "word"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)) + 1)
     total = F.sum("cnt").over(Window.partitionBy("author"))
     return full.select("author", "word", F.ln(F.col("cnt") / total).alias("logp"))
 
 
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """(doc_ord, chunk_ix, word, cnt) from chunks with tokens: ASCII words within the tokens."""
-    from lexispark.functions import text as tx
-
-    words = chunks.select("doc_ord", "chunk_ix", F.explode(tx.letter_tokens(F.array_join("tokens", " "))).alias("word"))
-    return words.groupBy("doc_ord", "chunk_ix", "word").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def logits(chunks: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_ord, chunk_ix, author_pred, logit): mean log-probability per known word; zero for chunks without one."""
-    cw = chunk_words(chunks)
-    hits = cw.join(model, "word").groupBy("doc_ord", "chunk_ix", "author").agg((F.sum(F.col("cnt") * F.col("logp")) / F.sum("cnt")).alias("logit"))
-    grid = chunks.select("doc_ord", "chunk_ix").join(model.select("author").distinct(), F.lit(True))
-    out = grid.join(hits, ["doc_ord", "chunk_ix", "author"], "left")
-    return out.select("doc_ord", "chunk_ix", F.col("author").alias("author_pred"), F.coalesce("logit", F.lit(0.0)).alias("logit"))
+def authors_of(model: DataFrame) -> list[str]:
+    """The model's authors in order; label sets are small, and one of over MOST_LABELS is refused."""
+    out = [r["author"] for r in model.select("author").distinct().orderBy("author").limit(MOST_LABELS + 1).collect()]
+    if len(out) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} authors")
+    return out
+
+
+def logits(docs: DataFrame, model: DataFrame, size: int, stride: int, least: int, first: int = 0) -> DataFrame:
+    """(doc_ord, chunk_ix, scores): for each window of the documents, an array of (author_pred, logit) in the order of the authors.
+
+    A logit is the mean log-probability per known word; zero without one. Each token is matched once, however many
+    windows hold it; windows of a text are counted, not cut out. With first, only so many windows of each document.
+    """
+    ranked = authors_of(model)
+    order = F.array(*(F.lit(a) for a in ranked)) if ranked else F.array().cast("array<string>")
+    # As many rows as the vocabulary, each with a number for each author: both are bounded.
+    table = model.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("author", "logp"))).alias("m"))
+    table = table.select("word", F.transform(order, lambda a: F.col("m")[a]).alias("logps"))
+    tokens = docs.select("doc_ord", F.posexplode(tx.space_tokens(F.col("text"))).alias("pos", "token"))
+    words = tokens.select("doc_ord", "pos", F.explode(tx.letter_tokens(F.col("token"))).alias("word"))
+    known = words.join(F.broadcast(table.select("word")), "word")
+    # Windows were numbered by their starts, and those left out are the last ones.
+    lowest = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / F.lit(stride)) + 1)
+    highest = F.floor(F.col("pos") / F.lit(stride))
+    held = F.when(lowest <= highest, F.sequence(lowest, highest).cast("array<int>"))  # strides over the size leave gaps
+    per = known.select("doc_ord", F.explode(held).alias("chunk_ix"), "word")
+    counted = per.groupBy("doc_ord", "chunk_ix", "word").agg(F.count(F.lit(1)).alias("cnt")).join(F.broadcast(table), "word")
+    each = counted.select("doc_ord", "chunk_ix", "cnt", F.posexplode("logps").alias("i", "logp"))
+    sums = each.groupBy("doc_ord", "chunk_ix", "i").agg((F.sum(F.col("cnt") * F.col("logp")) / F.sum("cnt")).alias("logit"))
+    found = sums.groupBy("doc_ord", "chunk_ix").agg(F.map_from_entries(F.collect_list(F.struct("i", "logit"))).alias("m"))
+    spans = chunks.spans(docs.select("doc_ord", "text"), size, stride, least).select("doc_ord", "chunk_ix")
+    spans = spans.where(F.col("chunk_ix") < first) if first else spans
+    full = F.transform(order, lambda a, i: F.struct(a.alias("author_pred"), F.coalesce(F.try_element_at("m", i), F.lit(0.0)).alias("logit")))
+    return spans.join(found, ["doc_ord", "chunk_ix"], "left").select("doc_ord", "chunk_ix", full.alias("scores"))
+
+
+def leave_one_work_out(docs: DataFrame, n: int = 200) -> DataFrame:
+    """(author, title, pred): each work scored by the model of all other works; the vocabulary is that of all.
+
+    A work's own counts are taken off its author's, so there is one pass over the texts, whatever the number of works.
+    """
+    counts = cut(features.word_counts(docs))
+    words = [r["word"] for r in features.vocabulary(counts, n).orderBy("word").collect()]
+    every = F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
+    long = counts.where(F.col("word").isin(words)).join(docs.select("doc_ord", "author", "title"), "doc_ord")
+    dense = lambda g: F.transform(every, lambda w: F.coalesce(F.try_element_at(g, w), F.lit(0)))
+    pairs = lambda *by: long.groupBy(*by, "word").agg(F.sum("cnt").alias("cnt")).groupBy(*by).agg(dense(F.map_from_entries(F.collect_list(F.struct("word", "cnt")))).alias("v"))
+    authors = docs.select("author").distinct()
+    ranked = authors_of(authors)
+    zero = F.transform(every, lambda w: F.lit(0).cast("long"))
+    full = authors.join(pairs("author"), "author", "left").select(F.col("author").alias("pred"), F.coalesce("v", zero).alias("all"))
+    works = docs.select("author", "title").distinct().join(pairs("author", "title"), ["author", "title"], "left").withColumn("own", F.coalesce("v", zero)).drop("v")
+    met = works.withColumn("pred", F.explode(F.array(*(F.lit(a) for a in ranked)))).join(full, "pred")
+    rest = met.withColumn("rest", F.zip_with("all", "own", lambda a, o: a - F.when(F.col("author") == F.col("pred"), o).otherwise(0) + 1))
+    rest = rest.withColumn("total", F.aggregate("rest", F.lit(0).cast("long"), lambda x, y: x + y))
+    score = F.aggregate(F.zip_with("own", "rest", lambda o, r: o * F.ln(r / F.col("total"))), F.lit(0.0), lambda x, y: x + y)
+    least = F.min(F.struct((-F.round(score, 6)).alias("k"), "pred"))
+    return rest.groupBy("author", "title").agg(least.alias("r")).select("author", "title", "r.pred")
 
 
 def softmax(array: Column) -> Column:
@@ -48,26 +98,28 @@ def softmax(array: Column) -> Column:
 
 
 def probabilities(scored: DataFrame) -> DataFrame:
-    """logits with prob: softmax over the authors of a chunk."""
-    own = Window.partitionBy("doc_ord", "chunk_ix")
-    e = scored.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(own)))
-    return e.withColumn("prob", F.col("e") / F.sum("e").over(own)).drop("e")
+    """(doc_ord, chunk_ix, probs): an array of (author_pred, prob), the softmax over the authors of a window."""
+    probs = scored.select("doc_ord", "chunk_ix", "scores", softmax(F.col("scores.logit")).alias("p"))
+    return probs.select("doc_ord", "chunk_ix", F.zip_with("scores", "p", lambda s, p: F.struct(s["author_pred"].alias("author_pred"), p.alias("prob"))).alias("probs"))
 
 
-def predictions(probs: DataFrame) -> DataFrame:
-    """(doc_ord, chunk_ix, pred, confidence): the likeliest author (of equals, to nine places, the first) and its probability."""
-    best = Window.partitionBy("doc_ord", "chunk_ix").orderBy(F.desc(F.round("prob", 9)), "author_pred")
-    top = probs.withColumn("rk", F.row_number().over(best)).where("rk = 1")
-    return top.select("doc_ord", "chunk_ix", F.col("author_pred").alias("pred"), F.col("prob").alias("confidence"))
+def probability_rows(probs: DataFrame) -> DataFrame:
+    """(doc_ord, chunk_ix, author_pred, prob)."""
+    return probs.select("doc_ord", "chunk_ix", F.inline("probs"))
 
 
 def probability_maps(probs: DataFrame) -> DataFrame:
     """(doc_ord, chunk_ix, probs): a map from author to probability."""
-    pairs = F.sort_array(F.collect_list(F.struct("author_pred", "prob")))
-    return probs.groupBy("doc_ord", "chunk_ix").agg(F.map_from_entries(pairs).alias("probs"))
+    return probs.select("doc_ord", "chunk_ix", F.map_from_entries("probs").alias("probs"))
+
+
+def predictions(probs: DataFrame) -> DataFrame:
+    """(doc_ord, chunk_ix, pred, confidence): the likeliest author (of equals, to nine places, the first) and its probability."""
+    ranks = F.transform("probs", lambda p: F.struct((-F.round(p["prob"], 9)).alias("k"), p["author_pred"].alias("pred"), p["prob"].alias("confidence")))
+    return probs.select("doc_ord", "chunk_ix", F.array_min(ranks).alias("_")).select("doc_ord", "chunk_ix", "_.pred", "_.confidence")
 
 
-def score_with(chunks: DataFrame, score: Callable[[list[str]], tuple[list[str], list[float]]]) -> DataFrame:
+def score_with(windows: DataFrame, score: Callable[[list[str]], tuple[list[str], list[float]]]) -> DataFrame:
     """(doc_ord, chunk_ix, pred, confidence) by any function from chunk texts to labels and confidences, in batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,4 +127,4 @@ def score_with(chunks: DataFrame, score: Callable[[list[str]], tuple[list[str],
             pred, sure = score([" ".join(t) for t in pdf["tokens"]])
             yield pd.DataFrame({"doc_ord": pdf["doc_ord"], "chunk_ix": pdf["chunk_ix"], "pred": pred, "confidence": sure})
 
-    return chunks.select("doc_ord", "chunk_ix", "tokens").mapInPandas(run, "doc_ord long, chunk_ix int, pred string, confidence double")
+    return windows.select("doc_ord", "chunk_ix", "tokens").mapInPandas(run, "doc_ord long, chunk_ix int, pred string, confidence double")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexispark.operators import chunks as ch
 from lexispark.operators import features, metrics, ranking, scoring, splits
 from lexispark.plans.base import CORPUS, SPACE, SPLIT, TOKENS, counts_sql, query, vocab_sql
+from lexispark.plans.base import SQL as QUERIES_SQL
+from lexispark.session import cut
 from lexispark.sources.corpus import corpus
 
 
@@ -42,7 +44,7 @@ cut AS (SELECT *, CASE WHEN rk <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rk <=
 
 
 def _three(s: SparkSession, d: str) -> DataFrame:
-    c = _chunked(s, d, 128, 64, 16).drop("tokens")
+    c = ch.spans(corpus(s, d), 128, 64, 16).select("doc_ord", "author", "chunk_ix")
     return splits.split_three(c.withColumn("key", ranking.md5_key(42, F.col("doc_ord"), F.col("chunk_ix"))), "key", "doc_ord", "chunk_ix")
 
 
@@ -106,10 +108,10 @@ def sweep(s: SparkSession, d: str) -> DataFrame:
 _TRAIN = f"""{SPLIT}, {counts_sql("docs")},
 train_wc AS (SELECT wc.* FROM wc JOIN docs USING (doc_ord) WHERE split = 'train'),
 {vocab_sql("train_wc", 100)},
-fx AS (SELECT t.doc_ord, v.rank, CASE WHEN len(t.t) > 0 THEN coalesce(wc.cnt, 0) * 1000.0::DOUBLE / len(t.t) ELSE 0 END AS freq
+fx AS MATERIALIZED (SELECT t.doc_ord, v.rank, CASE WHEN len(t.t) > 0 THEN coalesce(wc.cnt, 0) * 1000.0::DOUBLE / len(t.t) ELSE 0 END AS freq
   FROM tok t CROSS JOIN vocab v LEFT JOIN wc ON wc.doc_ord = t.doc_ord AND wc.word = v.word),
-stats AS (SELECT rank, avg(freq) AS mu, CASE WHEN stddev_pop(freq) = 0 THEN 1 ELSE stddev_pop(freq) END AS sd FROM fx JOIN docs USING (doc_ord) WHERE split = 'train' GROUP BY rank),
-z AS (SELECT doc_ord, split, rank, (freq - mu) / sd AS z FROM fx JOIN stats USING (rank) JOIN docs USING (doc_ord)),
+stats AS MATERIALIZED (SELECT rank, avg(freq) AS mu, CASE WHEN stddev_pop(freq) = 0 THEN 1 ELSE stddev_pop(freq) END AS sd FROM fx JOIN docs USING (doc_ord) WHERE split = 'train' GROUP BY rank),
+z AS MATERIALIZED (SELECT doc_ord, split, rank, (freq - mu) / sd AS z FROM fx JOIN stats USING (rank) JOIN docs USING (doc_ord)),
 vec AS (SELECT doc_ord, split, list(z ORDER BY rank) AS v FROM z GROUP BY doc_ord, split)"""
 _NEAR = f"""{_TRAIN},
 dist AS (SELECT a.doc_ord, b.doc_ord AS neighbour, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))) / len(a.v), 9) AS delta
@@ -204,11 +206,10 @@ rows_ AS (SELECT b.*, t.author AS truth, t.title FROM best b JOIN test_docs t US
 
 
 def _probs(s: SparkSession, d: str, size: int = 128, stride: int = 64, least: int = 16, first: int = 0) -> tuple[DataFrame, DataFrame]:
-    docs = split_docs(s, d)
+    docs = cut(split_docs(s, d))
     test = docs.where("split = 'test'")
-    c = ch.chunk(test, size, stride, least)
-    c = c.where(F.col("chunk_ix") < first) if first else c
-    return scoring.probabilities(scoring.logits(c, scoring.multinomial(docs.where("split = 'train'")))), test
+    model = cut(scoring.multinomial(docs.where("split = 'train'")))
+    return scoring.probabilities(scoring.logits(test, model, size, stride, least, first)), test
 
 
 def _rows(s: SparkSession, d: str, *window: int) -> DataFrame:
@@ -226,7 +227,7 @@ def model(s: SparkSession, d: str) -> DataFrame:
 
 @query("m04_m06_probabilities", f"WITH {_S} SELECT doc_ord, chunk_ix, author_pred, round(prob, 6) AS prob FROM pr")
 def probabilities(s: SparkSession, d: str) -> DataFrame:
-    return _probs(s, d)[0].select("doc_ord", "chunk_ix", "author_pred", F.round("prob", 6).alias("prob"))
+    return scoring.probability_rows(_probs(s, d)[0]).select("doc_ord", "chunk_ix", "author_pred", F.round("prob", 6).alias("prob"))
 
 
 @query("m05_k09_j04_predictions", f"WITH {_S}, label_ids AS (SELECT author AS pred, (row_number() OVER (ORDER BY author) - 1)::INTEGER AS label FROM authors) SELECT doc_ord, chunk_ix, pred, label, truth, round(confidence, 6) AS confidence FROM rows_ JOIN label_ids USING (pred)")
@@ -345,8 +346,7 @@ for _size in (512, 256, 128):
 def strategies(s: SparkSession, d: str) -> DataFrame:
     """Mean, confidence-weighted and threshold aggregates beside the vote."""
     probs, test = _probs(s, d)
-    sure = F.max("prob").over(Window.partitionBy("doc_ord", "chunk_ix"))
-    p = probs.withColumn("confidence", sure).join(test.select("doc_ord", F.col("author").alias("truth"), "title"), "doc_ord")
+    p = probs.select("doc_ord", "chunk_ix", F.array_max("probs.prob").alias("confidence"), F.inline("probs")).join(test.select("doc_ord", F.col("author").alias("truth"), "title"), "doc_ord")
     return p.groupBy("truth", "title", "author_pred").agg(F.round(F.avg("prob"), 6).alias("mean_prob"), F.round(F.sum(F.col("prob") * F.col("confidence")) / F.sum("confidence"), 6).alias("weighted_prob"), F.count(F.when(F.col("prob") >= 0.7, 1)).alias("sure_chunks"))
 
 

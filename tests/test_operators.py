@@ -1,5 +1,8 @@
 """Splits, windows, features and metrics against small values and plain Python."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,8 +105,27 @@ def test_softmax_and_scorers(spark):
     assert s == [0.5, 0.5]
     docs = spark.createDataFrame([(1, "x", "aa bb aa"), (2, "y", "bb bb cc")], "doc_ord long, author string, text string")
     c = chunks.chunk(docs, 3, 3, 1)
-    probs = scoring.probabilities(scoring.logits(c, scoring.multinomial(docs)))
+    probs = scoring.probabilities(scoring.logits(docs, scoring.multinomial(docs), 3, 3, 1))
     assert {r["doc_ord"]: r["pred"] for r in scoring.predictions(probs).collect()} == {1: "x", 2: "y"}
     assert all(abs(sum(r["probs"].values()) - 1) < 1e-12 for r in scoring.probability_maps(probs).collect())
     own = scoring.score_with(c, lambda texts: (["k"] * len(texts), [float(len(t)) for t in texts]))
     assert [(r["pred"], r["confidence"]) for r in own.collect()] == [("k", 8.0), ("k", 8.0)]
+
+
+@pytest.mark.parametrize("window", [(5, 2, 1), (4, 4, 2), (3, 5, 1), (8, 4, 4)])
+def test_logits_are_means_over_each_window(spark, window):
+    rng = random.Random(8)
+    words = ["aa", "bb", "cc's", "dd-ee", "é", "zz9"]
+    docs = spark.createDataFrame([(i, "xyz"[i % 3], " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((0, 1, 3, 4, 5, 9, 23, 40))], "doc_ord long, author string, text string")
+    model = scoring.multinomial(docs.where("doc_ord < 6"), 4).cache()
+    logp = {(r["author"], r["word"]): r["logp"] for r in model.collect()}
+    known = {w for _, w in logp}
+    want = {}
+    for r in chunks.chunk(docs, *window).collect():
+        own = [w for t in r["tokens"] for w in re.findall(r"(?<!\w)[a-z]+(?!\w)", t) if w in known]
+        for a in sorted({a for a, _ in logp}):
+            want[r["doc_ord"], r["chunk_ix"], a] = sum(logp[a, w] for w in own) / len(own) if own else 0.0
+    got = {(r["doc_ord"], r["chunk_ix"], s["author_pred"]): s["logit"] for r in scoring.logits(docs, model, *window).collect() for s in r["scores"]}
+    assert got == pytest.approx(want) and len(got) > 10
+    first = scoring.logits(docs, model, *window, first=2)
+    assert {(r["doc_ord"], r["chunk_ix"]) for r in first.collect()} == {(a, b) for a, b, _ in want if b < 2}
