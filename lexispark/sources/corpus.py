@@ -23,7 +23,8 @@ def read_texts(spark: SparkSession, folder: str, bom: bool = True) -> DataFrame:
 def scan_texts(spark: SparkSession, folder: str, bom: bool = True) -> DataFrame:
     """(path, text, error) of all .txt files below a folder; a file that isn't UTF-8 has no text and says so in error.
 
-    Files that vanish or break while they are read are passed over, so one bad file doesn't end the scan.
+    Files that vanish or break while they are read are passed over, so one bad file doesn't end the scan; files of
+    no bytes have no row, as Spark's readers leave them out.
     """
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     files = found.format("binaryFile").load(folder).select("path", "content")

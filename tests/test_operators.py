@@ -129,3 +129,34 @@ def test_logits_are_means_over_each_window(spark, window):
     assert got == pytest.approx(want) and len(got) > 10
     first = scoring.logits(docs, model, *window, first=2)
     assert {(r["doc_ord"], r["chunk_ix"]) for r in first.collect()} == {(a, b) for a, b, _ in want if b < 2}
+
+
+def test_delta_classifier(spark):
+    rows = [(1, "x", "a a a b c"), (2, "x", "a a b b c"), (3, "y", "b c c c c"), (4, "y", "c c c b b"), (5, "y", "c c c c a")]
+    docs = spark.createDataFrame(rows, "doc_ord long, author string, text string")
+    model = features.Delta(3).fit(docs)
+    new = spark.createDataFrame([(10, "a a a b b"), (11, "c c c c b"), (12, "")], "doc_ord long, text string")
+    assert {r["doc_ord"]: r["pred"] for r in model.predict(new).where("doc_ord < 12").collect()} == {10: "x", 11: "y"}
+    near = {(r["doc_ord"], r["place"]): r["author"] for r in model.neighbours(new, 3).collect()}
+    votes = {r["doc_ord"]: (r["pred"], r["votes"]) for r in model.predict(new, 3).collect()}
+    for i in (10, 11, 12):
+        own = [near[i, p] for p in (1, 2, 3)]
+        best = max(set(own), key=lambda a: (own.count(a), -own.index(a)))
+        assert votes[i] == (best, own.count(best))
+
+
+def test_rates_and_curve(spark):
+    rows = spark.createDataFrame([("a", "a", 0.95), ("a", "b", 0.3), ("b", "b", 1.0), ("c", "b", 0.5)], "truth string, pred string, confidence double")
+    got = {r["label"]: tuple(r)[1:] for r in metrics.false_positives(rows).collect()}
+    assert got["a"] == (2, 0, 0.0) and got["b"] == (3, 2, pytest.approx(2 / 3)) and got["c"] == (3, 0, 0.0)
+    curve = {r["step"]: (r["n"], r["accuracy"]) for r in metrics.threshold_curve(rows).collect()}
+    assert curve[0] == (4, 0.5) and curve[4] == (3, pytest.approx(2 / 3)) and curve[9] == (2, 1.0)
+    every = spark.createDataFrame([("a",), ("z",), ("b",)], "author string")
+    assert metrics.confusion(rows.where("truth <> 'c'"), every).agg(F.sum("cnt"), F.count("*")).first()[:] == (3, 9)
+
+
+def test_leave_one_work_out(spark):
+    docs = spark.createDataFrame([(1, "x", "t", "aa aa bb"), (2, "x", "u", "aa bb aa"), (3, "y", "t", "cc cc bb"), (4, "y", "v", "cc bb cc"), (5, "z", "only", "dd dd dd")], "doc_ord long, author string, title string, text string")
+    got = {(r["author"], r["title"]): r["pred"] for r in scoring.leave_one_work_out(docs).collect()}
+    # The only work of z has no model of its own author but an even one.
+    assert got[("x", "t")] == got[("x", "u")] == "x" and got[("y", "t")] == got[("y", "v")] == "y" and got[("z", "only")] == "z"

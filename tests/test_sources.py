@@ -1,5 +1,8 @@
 """Files and tables there and back."""
 
+import pyspark.sql.functions as F
+
+from lexispark import session
 from lexispark.operators import splits
 from lexispark.sources import corpus as src
 
@@ -34,3 +37,43 @@ def test_labels_and_splits(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in one._jdf.queryExecution().toString()
     src.write_results(docs, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_bad_files_are_reported_and_passed_over(spark, tmp_path):
+    (tmp_path / "good.txt").write_text("fine é", encoding="utf-8")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "bad.txt").write_bytes(b"caf\xe9 \xff")
+    rows = {r["path"].rsplit("/", 1)[-1]: (r["text"], r["error"]) for r in src.scan_texts(spark, str(tmp_path)).collect()}
+    assert rows == {"good.txt": ("fine é", None), "bad.txt": (None, "not UTF-8")}
+    assert src.read_texts(spark, str(tmp_path)).count() == 1
+
+
+def test_texts_there_and_back(spark, tmp_path):
+    texts = [("a/b c.txt", "one\ntwo"), ("é/100%.txt", ""), ("x.txt", "\ufeffmark")]
+    src.write_texts(spark.createDataFrame(texts, "file_path string, text string"), str(tmp_path / "out"))
+    back = src.read_texts(spark, str(tmp_path / "out"), bom=False)
+    got = {r[0]: r[1] for r in back.select(src.written_path(F.col("path")), "text").collect()}
+    assert got == {p: t + "\n" for p, t in texts}
+
+
+def test_summary_file(spark, tmp_path):
+    src.write_table(spark.createDataFrame([("a", "1,234"), ("b", None)], "author string, total string"), str(tmp_path / "s"))
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "s"), header=True).collect()} == {("a", "1,234"), ("b", None)}
+    assert len(list((tmp_path / "s").glob("part-*"))) == 1
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "nine"))
+    one, nine = (session.spread(spark.read.parquet(str(tmp_path / n))) for n in ("one", "nine"))
+    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and one.count() == 100
+    assert "Exchange" not in nine._jdf.queryExecution().toString()
+
+
+def test_scratch_folders_are_deleted(spark):
+    folder = session.scratch(spark, "test")
+    spark.range(3).write.parquet(folder)
+    assert spark.read.parquet(folder).count() == 3
+    session.remove(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
