@@ -1,4 +1,4 @@
-"""Shared pieces: checkpoints, sorted runs of groups, blocked comparison of groups, connected components."""
+"""Shared pieces: checkpoints, bit filters, sorted runs of groups, blocked comparison of groups, connected components."""
 
 from __future__ import annotations
 
@@ -10,25 +10,38 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.session import cut, shared_dir
 
-__all__ = ["block_pairs", "connected_components", "cut", "dealt", "forest", "group_runs", "group_starts", "map_batches", "nearest_forest", "shared_dir", "ship", "text_batches"]
+__all__ = ["block_pairs", "connected_components", "cut", "dealt", "filtered", "forest", "group_runs", "group_starts", "map_batches", "nearest_forest", "shared_dir", "ship", "text_batches", "with_blocks"]
 
 #: Rows of one block when a group of candidates is compared in pieces.
 BLOCK_ROWS = 2048
-#: Most rows of an Arrow batch; texts may be long.
-BATCH_ROWS = 1024
+#: Most rows and bytes of an Arrow batch, and of the slices that are worked on at once; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+#: Bits of a filter.
+FILTER_BITS = 1 << 24
+#: A node with over this share of the ends of all edges is a hub; there are at most twice as many as it goes into 1.
+HUB_SHARE = 1 / 512
+#: Edges of a partition while components are found.
+EDGE_ROWS = 100_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, once for each Spark context, and keeps Arrow batches of whole texts small."""
+    """Gives this package to the Python workers, once for each Spark context, and keeps Arrow batches of whole texts small.
+
+    The limits of batches stay set in the session, as they are read when a job runs; smaller ones are left as they are.
+    """
     sc: SparkContext = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     if getattr(sc, "_lexispark_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -53,11 +66,31 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller slices of the batches, so that what is derived from long texts stays small."""
+def text_batches(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of so many rows and, but for a single longer row, bytes of text; so what is derived stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+                ends += pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(ends), 0
+        while at < batch.num_rows:
+            full = (ends[at - 1] if at else 0) + most
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, full, side="right"))), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def filtered(rows: DataFrame, held: DataFrame, names: list[str], column: str) -> DataFrame:
+    """rows with a boolean column: false only where the names' values (not null) aren't among those of held.
+
+    The filter is broadcast: it has at most FILTER_BITS / 64 rows of two numbers, whatever the input. Where
+    held has more rows than that, it lets more through.
+    """
+    place, bit = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS)), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(names)}), 64L) as int))")
+    bits = held.groupBy(F.floor(place / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = rows.join(F.broadcast(bits), F.floor(place / 64) == F.col("_word"), "left")
+    return met.withColumn(column, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
 
 
 def group_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -103,15 +136,28 @@ def same_key(a: pa.Table, b: pa.Table, keys: list[str]) -> bool:
     return all(a.column(k)[0] == b.column(k)[0] for k in keys)
 
 
-def block_pairs(keyed: DataFrame, key: str, member: str, block: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(keyed: DataFrame, key: str, member: str, block: int | None = None, finer: Callable[[DataFrame], DataFrame] | None = None, most: int = 8) -> DataFrame:
     """Rows of groups of two and more, dealt out for blocked comparison.
 
     A group of n rows gets ceil(n / block) blocks by the hash of the member; each two blocks (lo, hi) meet
     in one place, so that no task needs more than about two blocks of a group. Groups of one row go.
+    Groups of over `most` blocks are first split by finer, if given: it returns the rows under finer keys,
+    under some of which each pair that matters meets again.
     """
+    block = block or BLOCK_ROWS
     counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    own = keyed.join(counts, key).withColumn("nb", blocks).drop("n")
+    if finer:
+        counts = cut(counts)
+        large = counts.where(F.col("n") > block * most)
+        if not large.isEmpty():
+            split = finer(keyed.join(large.select(key), key, "left_semi"))
+            rest = keyed.join(counts.where(F.col("n") <= block * most), key)
+            return _in_blocks(rest, member, block).unionByName(block_pairs(split, key, member, block))
+    return _in_blocks(keyed.join(counts, key), member, block)
+
+
+def _in_blocks(counted: DataFrame, member: str, block: int) -> DataFrame:
+    own = counted.withColumn("nb", F.ceil(F.col("n") / F.lit(block)).cast("long")).drop("n")
     own = own.withColumn("b", F.pmod(F.xxhash64(member, F.lit(7)), F.col("nb")))
     one = F.array(F.lit(0).cast("long"))
     met = F.when(F.col("nb") == 1, one).otherwise(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
@@ -160,7 +206,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps over the edge table, each round cut by a checkpoint; no
     links reach the driver but for a count and a digest by which the end is seen. Equal ends, nulls and
-    repeated edges do no harm.
+    repeated edges do no harm. A hub's edges aren't gathered: its smallest neighbour is broadcast to them.
+    Tables of few edges go into few partitions, EDGE_ROWS in each, whatever the number of shuffle partitions.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = cut(e)
@@ -169,10 +216,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(state) == before or state[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
-        before = tuple(state)
+        before, hub, parts = tuple(state), max(64, int(state[0] * HUB_SHARE)), -(-state[0] // EDGE_ROWS)
+        e = e.coalesce(parts)
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(down.select("u", "m")).distinct())
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.coalesce(parts))
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, down, hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.union(down.select("u", "m")).distinct().coalesce(parts))
+
+
+def with_blocks(rows: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Rows (g, v) with nb, the number of blocks that the members (g, node; each once) of a group go into."""
+    sizes = cut(members.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
+    hub = max(64, int((sizes.agg(F.sum("n")).first()[0] or 0) * HUB_SHARE))
+    sizes = sizes.select(F.col("g").alias("u"), F.ceil(F.col("n") / F.lit(block)).cast("long").alias("m"), "n")
+    return _with_least(rows.withColumnRenamed("g", "u"), sizes, hub).withColumnsRenamed({"u": "g", "m": "nb"})
+
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """(u, v, m): edges (u, v) with m of least (u, m, n); rows of a u with n over hub stay where they are.
+
+    There are few such u: each takes over hub of the rows that least was counted from.
+    """
+    hubs = least.where(F.col("n") > hub).select("u", "m")
+    there = F.broadcast(hubs)
+    near = edges.join(there, "u").select("u", "v", "m")
+    rest = edges.join(there, "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return near.union(rest.select("u", "v", "m"))

@@ -5,22 +5,23 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from lexispark.llm import pii, queries, simhash, toxicity  # noqa: E402
+from lexispark.llm import pii, queries, toxicity  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_run(spark):
-    from tests_support import brute_components, brute_mix
+    from tests_support import brute_duplicates, brute_mix
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = toxicity.reject(docs, spark.read.parquet(f"{DATA}/labels.parquet")).select("doc_id", "text", "source").orderBy("doc_id").collect()
     assert docs.count() * 0.8 < len(kept) <= docs.count()
-    comp = brute_components([simhash.all_fingerprints(r["text"], simhash.TABLES) for r in kept], [r["text"] for r in kept])
+    comp = brute_duplicates([r["text"] for r in kept])
     first = [(r["doc_id"], pii.redact(r["text"]), r["source"]) for i, r in enumerate(kept) if comp[i] == i]
     size, _, _, taken = brute_mix(first)
     from tokenizers import Tokenizer
@@ -35,6 +36,41 @@ def test_run(spark):
     assert got == +want
 
 
+def brute_pipeline(rows):
+    """Digests of (doc_id, text, lang, source) rows that the first stage kept, by loops."""
+    from tests_support import brute_duplicates, brute_mix
+    from tokenizers import Tokenizer
+
+    comp = brute_duplicates([r[1] for r in rows])
+    groups = {}
+    for r, c in zip(rows, comp, strict=True):
+        groups.setdefault(c, []).append(r)
+    first = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    kept = [(r[0], pii.redact(r[1]), r[3]) for r in first]
+    size, _, _, taken = brute_mix(kept)
+    library, out = Tokenizer.from_file(queries.tokenizer_path()), Counter()
+    for (i, text, _), k, t in zip(kept, size, taken, strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        if k:
+            out[(i, len(ids), *sha)] += t // k
+    return +out
+
+
+def test_run_takes_edge_rows(spark, tmp_path, edge_docs):
+    """Nulls, null and repeated ids, repeated rows, long and empty texts and clashing columns through all stages; a trained
+    first stage and one that learns nothing."""
+    wide = edge_docs.withColumn("_score", F.lit("x")).withColumn("row", F.lit(1)).withColumn("_threshold", F.lit(0)).withColumn("h1", F.lit(3))
+    wide.where("text is null or length(text) < 100000").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text", "lang", "source").collect()]
+    for labels in ([(20 + i, 1, i % 2) for i in range(40)] + [(None, 1, 1), (21, None, None)], []):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+        model = toxicity.fit(wide, spark.read.parquet(str(tmp_path / "labels.parquet")).where(~toxicity.held_out()))
+        kept = [r for r in rows if model.scores([toxicity.word_ids(r[1])])[0] < model.threshold(r[2])]
+        got = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+        assert got == brute_pipeline(kept) and len(got) > 10
+
+
 def test_stages_take_empty_tables(spark, empty_docs):
     docs = empty_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
