@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Documents of a source are shuffled by a hash. A source is a queue that offers its documents up to EPOCHS
+Documents of a source are shuffled by a hash of id and text. A source is a queue that offers its documents up to EPOCHS
 times in that order; each offer gets a virtual finish time, the source's words up to and with it divided by
 the source's target. All offers are ordered by finish time and taken until the budget is used up: the offers
 up to time 1 always fit; after it only those that began before time 1 are left (one of each source at most, so
@@ -15,7 +15,8 @@ Running totals are taken in two steps, within lanes (a source and a piece of the
 lanes' totals, so no source has to fit into a task.
 
 Defined cases: a null text has size 0; sizes of 0 are never taken; null is a source of its own; repeated rows
-are documents of their own; a table without words has targets 0; ties in the shuffle (equal ids) go by size;
+are documents of their own; a table without words has targets 0; ties in the shuffle (equal ids and texts) are alike; a text of any length is one
+document, taken or not as a whole;
 an empty table gives no rows; extra columns are ignored by the digest and kept by mix().
 """
 
@@ -38,8 +39,9 @@ def size() -> Column:
 
 
 def shuffled() -> Column:
-    """The shuffle key of a document."""
-    return F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    """The shuffle key of a document: of its id and its text, so rows of one id, or without one, are dealt to all lanes."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -61,19 +63,23 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def queues(rows: DataFrame) -> DataFrame:
     """Rows (source, size, key, ...) with rank, source_size, target and cum, the source's words up to and with the row."""
-    lane = F.substring("key", 1, LANE_DIGITS)
-    rows = rows.withColumn("lane", lane)
+    rows = rows.withColumn("lane", F.substring("key", 1, LANE_DIGITS))
     lanes = rows.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     lanes = common.cut(lanes)
     by_source = targets(lanes.groupBy("source").agg(F.sum("lane_size").alias("source_size")))
     ahead = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     lanes = lanes.withColumn("ahead", F.coalesce(F.sum("lane_size").over(ahead), F.lit(0))).drop("lane_size")
-    known = lanes.alias("a").join(by_source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("_source"), F.col("lane").alias("_lane"), "ahead", "rank", "source_size", "target")
+    known = lanes.alias("a").join(by_source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(slot("a.source", "a.lane"), "ahead", "rank", "source_size", "target")
     known = common.cut(known)
-    within = Window.partitionBy("source", "lane").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_within", F.sum("size").over(within))
-    out = rows.join(known, F.col("source").eqNullSafe(F.col("_source")) & (F.col("lane") == F.col("_lane")))
-    return out.withColumn("cum", F.col("ahead") + F.col("_within")).drop("_source", "_lane", "lane", "ahead", "_within")
+    # Running totals and the join go by the same column, so rows are shuffled once.
+    within = Window.partitionBy("slot").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", slot("source", "lane")).withColumn("_within", F.sum("size").over(within))
+    return rows.join(known, "slot").withColumn("cum", F.col("ahead") + F.col("_within")).drop("slot", "lane", "ahead", "_within")
+
+
+def slot(source: str, lane: str) -> Column:
+    """A lane of a source, null too, as one value; lanes have one length."""
+    return F.concat(lane, F.coalesce(F.concat(F.lit("="), source), F.lit(""))).alias("slot")
 
 
 def offer(epoch: int) -> Column:

@@ -24,7 +24,8 @@ def brute(docs):
             break
         full |= over
     offers, cum = [], {}
-    for key, k, n, i in sorted((hashlib.md5(f"mix:{'null' if d[0] is None else d[0]}".encode()).hexdigest(), k, names.index(d[2]), i) for i, (d, k) in enumerate(zip(docs, size, strict=True))):
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for key, k, n, i in sorted((md5(f"mix:{'null' if d[0] is None else d[0]}:{md5(d[1] or '')}"), k, names.index(d[2]), i) for i, (d, k) in enumerate(zip(docs, size, strict=True))):
         cum[n] = cum.get(n, 0) + k
         if k:
             offers += [((cum[n] + e * total[names[n]]) / target[names[n]], n, e, key, k, i) for e in (0, 1) if cum[n] - k + e * total[names[n]] < target[names[n]]]
