@@ -3,15 +3,17 @@
 Plain detectors find email addresses, IP addresses, card numbers and phone numbers in the text as it is. Then
 a chain of transducers rewrites the text, each carrying for every character that it emits the span of source
 characters that it stands for: look-alike letters and digits of other scripts, zero-width characters, spelled
-digits ("four two"), and "at" and "dot" in words or brackets. The detectors run again on the rewritten text,
-and what they find is mapped back to source spans. Spans that lie within a plain span are dropped; plain
-spans stay.
+digits ("four two"), and "at" and "dot" in words or brackets, also mixed with "@" and ".". A plain "at" before
+a plain domain is read as "@" only after a name with a dot, digit or underscore, as "look at x.org" is no
+address. The detectors run again on the rewritten text, and what they find is mapped back to source spans.
+Spans that lie within a plain span are dropped; plain spans stay.
 
-The detectors take time in proportion to the text: each run of digits is looked at once, and addresses are
-grown from their "@".
+Detectors and transducers take time in proportion to the text: each run of digits, digit words or white space
+is looked at a few times at most, and addresses are grown from their "@".
 
-Defined cases: a null text counts as empty and has no spans; texts of any length are searched whole; repeated
-rows are treated alike; extra columns are ignored.
+Defined cases: a null text counts as empty and has no spans (and stays null when redacted); an empty table
+gives no rows; texts of any length are searched whole; of spans that begin at one place the longest is replaced;
+repeated rows are treated alike, and null ids stay; extra columns are ignored by the digest and kept otherwise.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,12 +48,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ODD = re.compile("[Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‍⁠﻿！-～①-⒛⁰-₉²³¹\U0001d400-\U0001d7ff]")
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(" + "|".join(map(re.escape, AT_WORDS + DOT_WORDS)) + r")\s*[\])}>]\s*", re.I)
-_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+((?:( +dot +)[A-Za-z0-9-]+)+)", re.I)
-_DOT = re.compile(r" +dot +", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*+(" + "|".join(map(re.escape, AT_WORDS + DOT_WORDS)) + r")\s*+[\])}>]", re.I)
+_WORDED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)(?:@|( ++at ++))[A-Za-z0-9-]++((?:(?:\.| ++dot ++)[A-Za-z0-9-]++)++)", re.I)
+_AT = re.compile(r" at ++[a-z0-9-]++(?:\.[a-z0-9-]| ++dot )")
+_DOT = re.compile(r" ++dot ++", re.I)
+_NAMED = re.compile(r"[A-Za-z0-9][._0-9]")
 _NUMBER = "|".join(sorted(DIGITS, key=len, reverse=True))
-# A start within a run of digits only where a letter forbids its first digit; so each run is looked at a few times at most.
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:(?![0-9])|(?<![0-9])|(?<=[A-Za-z][0-9]))(?:(?:{_NUMBER}|[0-9]++|plus|\+)[\s,.-]{{1,3}}){{{LEAST_SPELLED - 1},}}(?:{_NUMBER}|[0-9]+)(?![A-Za-z])", re.I)
+_ITEM = rf"(?:{_NUMBER}|[0-9]++|plus|\+)"
+# Runs of items; a start within a run of digits only where a letter forbids its first digit. Nothing is looked at again.
+_RUN = re.compile(rf"(?<![A-Za-z])(?:(?![0-9])|(?<![0-9])|(?<=[A-Za-z][0-9])){_ITEM}(?:[\s,.-]{{1,3}}+{_ITEM})++", re.I)
 _SPELLED_WORD = re.compile(rf"{_NUMBER}|plus", re.I)
 _SPELLED_PART = re.compile(rf"({_NUMBER}|plus|[0-9]+|\+)([\s,.-]*)", re.I)
 
@@ -140,34 +146,60 @@ def look_alikes(t: Tape) -> Tape:
     return t.rewrite([(m.start(), m.end(), n) for m in _ODD.finditer(t.text) if (n := plain_letter(m[0])) != m[0]])
 
 
+def spelled_runs(text: str) -> Iterator[list[re.Match]]:
+    """The items of each run that is read as digits: its last one is a digit that no letter follows."""
+    for m in _RUN.finditer(text):
+        items = list(_SPELLED_PART.finditer(text, *m.span()))
+        while items and (items[-1][1].lower() in ("+", "plus") or text[items[-1].end(1) : items[-1].end(1) + 1].isalpha() and text[items[-1].end(1)].isascii()):
+            items.pop()
+        if len(items) >= LEAST_SPELLED and any(_SPELLED_WORD.match(p[1]) for p in items):
+            yield items
+
+
 def spelled_digits(t: Tape) -> Tape:
     edits = []
-    for m in _SPELLED.finditer(t.text):
-        if not _SPELLED_WORD.search(m[0]):
-            continue
-        for p in _SPELLED_PART.finditer(m[0]):
+    for items in spelled_runs(t.text):
+        for p in items:
             w = p[1].lower()
-            edits.append((m.start() + p.start(), m.start() + (p.end() if p.end() < len(m[0]) else p.end(1)), DIGITS.get(w, "+" if w == "plus" else w)))
+            edits.append((p.start(), p.end() if p is not items[-1] else p.end(1), DIGITS.get(w, "+" if w == "plus" else w)))
     return t.rewrite(edits)
 
 
-def at_and_dot(t: Tape) -> Tape:
-    t = t.rewrite([(m.start(), m.end(), "@" if m[1].lower() in AT_WORDS else ".") for m in _BRACKETED.finditer(t.text)])
-    if " dot " not in t.text.lower():
-        return t
+def bracketed(t: Tape) -> Tape:
+    edits, floor = [], 0
+    for m in _BRACKETED.finditer(t.text):
+        start, end = m.span()
+        while start > floor and t.text[start - 1].isspace():
+            start -= 1
+        while end < len(t.text) and t.text[end].isspace():
+            end += 1
+        edits.append((start, end, "@" if m[1].lower() in AT_WORDS else "."))
+        floor = end
+    return t.rewrite(edits)
+
+
+def worded(t: Tape) -> Tape:
     edits = []
     for m in _WORDED.finditer(t.text):
-        edits.append((*m.span(1), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(t.text, *m.span(2))]
+        dots = [(d.start(), d.end(), ".") for d in _DOT.finditer(t.text, *m.span(3))]
+        plain = not dots and all(t.end[i] - t.start[i] == 1 for i in range(*m.span(3)) if t.text[i] == ".")
+        if m[2] and (not plain or _NAMED.search(m[1])):
+            edits.append((*m.span(2), "@"))
+        if dots:
+            edits += dots
     return t.rewrite(edits)
 
 
+def at_and_dot(t: Tape) -> Tape:
+    return worded(bracketed(t))
+
+
 def disguised(text: str) -> bool:
-    """Whether some transducer has anything to rewrite."""
+    """Whether some transducer may have anything to rewrite."""
     if not text.isascii() and _ODD.search(text) or _BRACKETED.search(text):
         return True
     low = text.lower()
-    return " dot " in low and " at " in low or any(_SPELLED_WORD.search(m[0]) for m in _SPELLED.finditer(text))
+    return " dot " in low and ("@" in low or " at " in low) or bool(_AT.search(low)) or any(spelled_runs(text))
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
