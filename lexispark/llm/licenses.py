@@ -2,20 +2,21 @@
 
 Texts are lower-cased and cut into words (ASCII letters and digits, and any other character beyond ASCII). A
 keyword prefilter, derived from the rules, lets only texts through that hold all the words which some rule needs;
-for the others nothing but words is counted. Each rule is a regular expression over the space-joined words, it begins at an anchor word,
-and it is tried only where that anchor stands and where the words that follow hold the rule's keyword. The
-rules are the license families below, written out by the phrasings below, and some whole notices.
+for the others nothing but words is counted. Each rule is a regular expression over the space-joined words, it
+begins at an anchor word, and it is tried only where that anchor stands and where the words that follow hold the
+rule's keyword, the longest word that it needs. The rules are the hand-written signatures of license_rules, by
+priority, and behind them, for names in other phrasings, the license families below in the phrasings below.
 
 Detections of a text are intervals of words. One that lies within another of the same or a higher priority
-(a lower number) is suppressed; of equal intervals the higher priority stays, then the first label. What is
-left gives the labels, beside those of the base phrases, which always stay; the score is the largest
+(a lower number) is suppressed; of equal intervals the higher priority stays, then the rule that comes first. What
+is left gives the labels, beside those of the base phrases, which always stay; the score is the largest
 confidence of what is left.
 
 No row meets another, so there is no shuffle and no skew; work on a text grows with its length, as a
 detection is held against those only that begin within SPAN words before it.
 
-Defined cases: null and empty texts have no words and score 0; repeated rows are scanned alike; texts of any
-length are scanned whole; extra columns are ignored.
+Defined cases: null and empty texts have no words and score 0; an empty table gives no rows; repeated rows are
+scanned alike; texts of any length are scanned whole; null ids stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm import license_rules
+
 #: Base phrases and their labels, as the contract fixes them.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: What separates words in a lower-cased text.
@@ -83,40 +86,28 @@ FAMILIES = (
     ("ofl", "sil", "sil", r"sil open font"),
     ("proprietary", "proprietary", "proprietary", r"proprietary"),
 )
-#: Phrasings: priority, confidence, anchor (none: the family's), what comes before and after the name.
+#: Phrasings behind the signatures: priority, confidence, anchor (none: the family's), what comes before and after the name.
 _UNDER = r" under (?:the )?(?:terms of the |conditions of the )?"
 PHRASINGS = (
-    (1, 0.95, "licensed", "licensed" + _UNDER, r"(?: licen[cs]e)?"),
-    (1, 0.95, "released", "released" + _UNDER, r"(?: licen[cs]e)?"),
-    (1, 0.95, "distributed", "distributed" + _UNDER, r"(?: licen[cs]e)?"),
-    (1, 0.95, "available", "available" + _UNDER, r"(?: licen[cs]e)?"),
-    (2, 0.9, "under", r"under (?:the )?(?:terms of the )?", r" licen[cs]e"),
-    (2, 0.9, "spdx", r"spdx licen[cs]e identifier ", r""),
-    (3, 0.8, None, "", r" licen[cs]e"),
-    (3, 0.7, "license", r"licen[cs]e (?:is )?(?:the )?", r""),
+    (5, 0.75, "licensed", "licensed" + _UNDER, r"(?: licen[cs]e)?"),
+    (5, 0.75, "released", "released" + _UNDER, r"(?: licen[cs]e)?"),
+    (5, 0.75, "distributed", "distributed" + _UNDER, r"(?: licen[cs]e)?"),
+    (5, 0.75, "available", "available" + _UNDER, r"(?: licen[cs]e)?"),
+    (5, 0.7, "under", r"under (?:the )?(?:terms of the )?", r" licen[cs]e"),
+    (5, 0.7, "spdx", r"spdx licen[cs]e identifier ", r""),
+    (6, 0.65, None, "", r" licen[cs]e"),
+    (6, 0.6, "license", r"license (?:is )?(?:the )?", r""),
 )
 #: Names that mean a license by themselves, without the word.
 ALONE = ("cc0", "wtfpl", "unlicense", "0bsd", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "agpl-3", "lgpl", "gpl-2", "gpl-3")
-#: Whole notices: label, anchor, keyword, expression; they have priority 0 and confidence 1.
-NOTICES = (
-    ("mit", "permission", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", "copy", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", "binary", r"redistribution and use in source and binary forms with or without modification"),
-    ("gpl", "free", "software", r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("apache-2", "you", "apache", r"you may not use this file except in compliance with the license"),
-    ("public-domain", "public", "domain", r"public domain"),
-    ("all-rights-reserved", "all", "reserved", r"all rights reserved"),
-    ("copyright", "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("copyleft", "copyleft", "copyleft", r"copyleft"),
-)
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
     """(anchor, label, keyword, expression, priority, confidence), in order of priority."""
-    out = [(a, label, k, rx, 0, 1.0) for label, a, k, rx in NOTICES]
+    out = [(re.match("[a-z0-9]+", rx)[0], label, max(needed(rx), key=len), rx, priority, sure) for label, rx, priority, sure in license_rules.signatures()]
     for priority, sure, anchor, before, after in PHRASINGS:
         out += [(anchor or a, label, k, f"{before}(?:{name}){after}", priority, sure) for label, a, k, name in FAMILIES]
-    out += [(a, label, k, f"(?:{name})", 4, 0.6) for label, a, k, name in FAMILIES if label in ALONE]
+    out += [(a, label, k, f"(?:{name})", 7, 0.5) for label, a, k, name in FAMILIES if label in ALONE]
     return sorted(out, key=lambda r: r[4])
 
 
@@ -136,10 +127,10 @@ def gates() -> dict[tuple[str, ...], set[str]]:
     """Words that must all be in a text, and, if there are any, keywords of which one must be; no rule or base phrase matches without one of these."""
     out: dict[tuple[str, ...], set[str]] = {}
     for rx, anchor, keyword in [(p, None, None) for p, _ in BASE] + [(rx, a, k) for a, _, k, rx, _, _ in rules()]:
-        words = needed(rx)
+        words = sorted(needed(rx), key=len, reverse=True)
         if any("licen" in w for w in words):
             out["licen",] = set()
-        elif "under" in words and words[0] == anchor:
+        elif "under" in words and anchor in words and keyword not in words:
             out.setdefault((anchor, "under"), set()).add(keyword)
         else:
             out[tuple(dict.fromkeys([*words, *([keyword] if keyword else [])]))] = set()
@@ -159,22 +150,27 @@ def rule_map() -> tuple[str, list[str]]:
 
 
 def detections(words: str) -> tuple[Column, int]:
-    """Array of (first, past, priority, n, label, sure) of an array of words, sorted so that what contains comes first; how many rows back that can be."""
+    """Array of (first, short, priority, n, label, sure) of an array of words, sorted so that what contains comes first; how many rows back that can be.
+
+    short is minus the number of words, so that of those with one start the longest comes first. Of one start only
+    those stay that no longer one of the same or a higher priority contains: one for each priority at most.
+    """
     table, anchors = rule_map()
     here = ", ".join(f"'{a}'" for a in anchors)
-    most = max(sum(r[0] == a for r in rules()) for a in anchors)
     found = f"""
-      array_sort(flatten(transform(
-        filter(sequence(1, size({words})), i -> array_contains(array({here}), {words}[i - 1])),
-        i -> filter(
+      filter(
+        transform(
           transform(
-            transform(
-              filter({table}[{words}[i - 1]], r -> contains(array_join(slice({words}, i, {SPAN}), ' '), r.keyword)),
-              r -> named_struct('r', r, 'hit', regexp_extract(array_join(slice({words}, i, {SPAN}), ' '), r.rx, 0))),
-            x -> named_struct('first', i - 1, 'short', if(x.hit = '', 0, length(replace(x.hit, ' ', '')) - length(x.hit) - 1), 'priority', x.r.priority, 'n', x.r.n, 'label', x.r.label, 'sure', x.r.sure)),
-          x -> x.short < 0))))"""
-    # short is minus the number of words, so that of those with one start the longest comes first.
-    return F.expr(found), most * (SPAN + 1)
+            filter({table}[{words}[i - 1]], r -> contains(array_join(slice({words}, i, {SPAN}), ' '), r.keyword)),
+            r -> named_struct('r', r, 'hit', regexp_extract(array_join(slice({words}, i, {SPAN}), ' '), r.rx, 0))),
+          x -> named_struct('first', i - 1, 'short', if(x.hit = '', 0, length(replace(x.hit, ' ', '')) - length(x.hit) - 1), 'priority', x.r.priority, 'n', x.r.n, 'label', x.r.label, 'sure', x.r.sure)),
+        x -> x.short < 0)"""
+    every = f"""
+      flatten(transform(
+        filter(sequence(1, size({words})), i -> array_contains(array({here}), {words}[i - 1])),
+        i -> element_at(transform(array(array_sort({found})), own ->
+          filter(own, (d, k) -> not exists(slice(own, 1, k), e -> e.priority <= d.priority))), 1)))"""
+    return F.expr(every), len({r[4] for r in rules()}) * (SPAN + 1)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -196,10 +192,9 @@ def scan(docs: DataFrame) -> DataFrame:
     found, window = detections("_split")
     own = own.withColumn("_all", F.when(F.size("_split") > 0, found))
     stays = f"""
-      filter(transform(_all, (d, i) -> named_struct('d', d, 'before', slice(_all, greatest(1, i + 1 - {window}), least(i, {window})))),
-        x -> not exists(x.before, e -> e.first <= x.d.first and e.first - e.short >= x.d.first - x.d.short and e.priority <= x.d.priority))"""
-    # Of one interval the higher priority comes first in the sort, so what it contains follows it.
-    return own.withColumn("detections", F.expr(f"transform({stays}, x -> x.d)"))
+      filter(_all, (d, i) -> not exists(slice(_all, greatest(1, i + 1 - {window}), least(i, {window})),
+        e -> e.first <= d.first and e.first - e.short >= d.first - d.short and e.priority <= d.priority))"""
+    return own.withColumn("detections", F.expr(stays))
 
 
 def places(phrase: str) -> tuple[Column, Column, Column]:
