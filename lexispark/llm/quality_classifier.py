@@ -2,31 +2,36 @@
 
 The text view describes a whole text by the square roots of its byte shares and by shares of words, lines and
 repeats; the metadata view knows its language, its source and its length class only. A logistic model of each
-view is fitted on the labelled documents. In each round either view labels the documents of an unlabelled pool
-that it is surest of (calibrated probability at or beyond SURE), and the other view is fitted anew with them.
-Last, either view is calibrated on labelled documents set aside, and the two are combined as independent given
-the label: the sum of their log-odds less the log-odds of the label's share. All documents are scored.
-
-Fitted on a bounded sample: at most MAX_ROWS labelled documents of each label and POOL unlabelled documents,
-those with the smallest hashes of their ids.
-
-Defined cases: a null text counts as empty; null language, source and length are classes of their own; null
-labels and ids aren't learnt from; without both labels each score is the share of label 1 (1 with no labels,
-so nothing is rejected); repeated rows are scored alike; extra columns are ignored.
+view is fitted on labelled documents. In each round either view scores all documents beyond that sample and
+labels those that it is surest of (calibrated probability at or beyond SURE, PER_ROUND for each label), and the
+other view is fitted anew with them. Last, either view is calibrated on labelled documents set aside, and the two
+are combined as independent given the label: the sum of their log-odds less the log-odds of the label's share.
+All documents are scored.
+
+Labels are learnt from a bounded sample: MAX_ROWS documents of each label at most, those with the smallest hashes
+of their ids, one row for each id. The rounds look at all rows; each task returns its surest ones, so that at most
+4 x PER_ROUND of them reach the driver in a round.
+
+Defined cases: a null text counts as empty, a text of any length is read whole; null language, source and length
+are classes of their own; null labels and ids, and ids with both labels, aren't learnt from; of an id that occurs
+in several rows one is learnt from (by the hash of its values), and ties of sureness go by a hash of the id;
+without both labels each score is the share of label 1 (1 with no labels, so nothing is rejected); repeated rows
+are scored alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm import common
 
-MAX_ROWS, POOL, ROUNDS, PER_ROUND, SURE = 3000, 4000, 4, 200, 0.97
+MAX_ROWS, ROUNDS, PER_ROUND, SURE = 3000, 3, 200, 0.97
 #: Score from which a document is kept.
 CUT = 0.5
 LANGS, SOURCES, LENGTHS = 16, 128, 24
@@ -92,39 +97,103 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]) -> tuple[Logistic, Logistic, float]:
-    """The two calibrated models and the log-odds of label 1."""
+#: What a view learns from beyond the sample: label and features of both views by id.
+Extra = dict[int, tuple[int, np.ndarray, np.ndarray]]
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, surest: Callable[[list[Logistic], list[Extra]], list[Extra]]) -> tuple[Logistic, Logistic, float]:
+    """The two calibrated models and the log-odds of label 1.
+
+    surest takes the models of a round and what either view has learnt from so far; it returns what each view gets
+    from the other one.
+    """
     aside = np.arange(len(y)) % 4 == 3
     if len(y) < 40 or y[aside].min() == y[aside].max() or y[~aside].min() == y[~aside].max():
         aside = np.zeros(len(y), bool)
     check = aside if aside.any() else np.ones(len(y), bool)
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view learns from
-    models = []
+    extra: list[Extra] = [{}, {}]
     for n in range(ROUNDS + 1):
         models = []
         for v in (0, 1):
-            rows = np.array(list(extra[v]), int)
-            m = Logistic(np.concatenate([views[v][~aside], pool[v][rows]]), np.concatenate([y[~aside], [extra[v][r] for r in rows]]))
+            more = [extra[v][i] for i in sorted(extra[v])]
+            m = Logistic(np.array([*views[v][~aside], *(r[1 + v] for r in more)]), np.array([*y[~aside], *(r[0] for r in more)], float))
             m.calibrate(views[v][check], y[check])
             models.append(m)
-        if n == ROUNDS or not len(pool[0]):
-            break
-        for v in (0, 1):
-            p = sigmoid(models[v].logit(pool[v]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-sure, kind="stable")
-                fresh = [int(i) for i in order if sure[i] >= SURE and int(i) not in extra[1 - v]]
-                extra[1 - v] |= dict.fromkeys(fresh[:PER_ROUND], label)
+        if n < ROUNDS:
+            extra = [old | new for old, new in zip(extra, surest(models, extra), strict=True)]
     return models[0], models[1], float(np.log(y.mean() / (1 - y.mean())))
 
 
+def both_views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    t = np.array([text_view(x.as_py()) for x in b.column("text")], np.float32).reshape(b.num_rows, 256 + 6)
+    m = [meta_view(*(x.as_py() for x in r)) for r in zip(b.column("lang"), b.column("source"), b.column("n_chars"), strict=True)]
+    return t, np.array(m, np.float32).reshape(b.num_rows, LANGS + SOURCES + LENGTHS)
+
+
+#: A candidate: which view labels what (view * 2 + label), its sureness below zero, hash and number of its id, features.
+_SURE = "which int, less double, key long, doc_id long, t binary, m binary"
+
+
+def _first(rows: list[tuple], n: int) -> list[tuple]:
+    """The n first rows of distinct ids."""
+    out, seen = [], set()
+    for r in sorted(rows):
+        if r[3] not in seen:
+            seen.add(r[3])
+            out.append(r)
+    return out[:n]
+
+
+def surest_rows(docs: DataFrame, models: list[Logistic], passed: tuple[set[int], set[int]]) -> list[tuple]:
+    """Of all rows, for each view and label the PER_ROUND surest ones whose ids the other view isn't to pass over."""
+    held = docs.sparkSession.sparkContext.broadcast((models, passed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (models, passed), best = held.value, [[] for _ in range(4)]
+        for b in common.text_batches(batches):
+            ids, views = b.column("doc_id").to_pylist(), both_views(b)
+            for v in (0, 1):
+                p = np.round(sigmoid(models[v].logit(views[v])), 9)
+                for label, sure in ((0, 1 - p), (1, p)):
+                    own = best[v * 2 + label]
+                    for i in np.flatnonzero(sure >= SURE):
+                        if ids[i] is not None and ids[i] not in passed[1 - v]:
+                            own.append((v * 2 + label, -float(sure[i]), zlib.crc32(str(ids[i]).encode()), ids[i], views[0][i].tobytes(), views[1][i].tobytes()))
+                    if len(own) > 4 * PER_ROUND:
+                        best[v * 2 + label] = _first(own, PER_ROUND)
+        rows = [r for own in best for r in _first(own, PER_ROUND)]
+        if rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(("which", "less", "key", "doc_id", "t", "m"), r, strict=True)) for r in rows], schema=_sure_schema())
+
+    common.ship(docs.sparkSession)
+    found = docs.mapInArrow(run, _SURE)
+    one = found.groupBy("which", "doc_id").agg(F.min(F.struct("less", "key", "t", "m")).alias("r"))
+    rank = Window.partitionBy("which", "lane").orderBy("r.less", "r.key", "doc_id")
+    # First in lanes, so that no task ranks what all tasks have found.
+    lanes = one.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(64))).withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= PER_ROUND)
+    last = Window.partitionBy("which").orderBy("r.less", "r.key", "doc_id")
+    top = lanes.withColumn("rk", F.row_number().over(last)).where(F.col("rk") <= PER_ROUND)
+    return sorted((r["which"], r["r"]["less"], r["r"]["key"], r["doc_id"], bytes(r["r"]["t"]), bytes(r["r"]["m"])) for r in top.collect())
+
+
+def _sure_schema() -> pa.Schema:
+    return pa.schema([("which", pa.int32()), ("less", pa.float64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("t", pa.binary()), ("m", pa.binary())])
+
+
+def gains(rows: list[tuple]) -> list[Extra]:
+    """What each view gets: rows that the other one is sure of."""
+    out: list[Extra] = [{}, {}]
+    for which, _, _, ident, t, m in rows:
+        out[1 - which // 2][ident] = (which % 2, np.frombuffer(t, np.float32), np.frombuffer(m, np.float32))
+    return out
+
+
 def _features(docs: DataFrame) -> DataFrame:
-    """doc_id, y and both views of bounded samples, as bytes."""
+    """doc_id, y and both views, as bytes."""
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = [text_view(x.as_py()).tobytes() for x in b.column("text")]
-        m = [meta_view(*(x.as_py() for x in r)).tobytes() for r in zip(b.column("lang"), b.column("source"), b.column("n_chars"), strict=True)]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "y", "t", "m"])
+        t, m = (pa.array([r.tobytes() for r in x], pa.binary()) for x in both_views(b))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), t, m], names=["doc_id", "y", "t", "m"])
 
     return common.map_batches(docs.select("doc_id", "y", "text", "lang", "source", "n_chars"), fn, "doc_id long, y int, t binary, m binary")
 
@@ -136,23 +205,28 @@ def _plain(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Logistic, Logistic, float, float] | float:
     """Models, prior of the sample and its shift to all labelled documents; or the share of label 1 where there is one label only."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     total = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(total) < 2:
         return 0.0 if 0 in total else 1.0
     own = _plain(docs)
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS) for y in (0, 1)]
-    pool = own.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
-    # At most 2 x MAX_ROWS + POOL rows of two integers, so they may be broadcast.
-    sample = some[0].union(some[1]).union(pool.select("doc_id", F.lit(None).cast("int")))
-    rows = _features(own.join(F.broadcast(sample), "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "t").collect()
+    # At most 2 x MAX_ROWS rows of two integers, so they may be broadcast; then one row for each id.
+    met = own.join(F.broadcast(some[0].union(some[1])), "doc_id")
+    met = met.groupBy("doc_id", "y").agg(F.min_by(F.struct("text", "lang", "source", "n_chars"), F.xxhash64("text", "lang", "source", "n_chars", F.col("text").isNull(), F.col("lang").isNull())).alias("r"))
+    rows = _features(met.select("doc_id", "y", "r.*")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     if not rows:
         return total[1] / (total[0] + total[1])
-    t, m = (np.array([np.frombuffer(r[c], np.float32) for r in rows]).reshape(len(rows), -1) for c in ("t", "m"))
-    y = np.array([-1 if r["y"] is None else r["y"] for r in rows])
-    has = y >= 0
-    if not has.any() or y[has].min() == y[has].max():
+    t, m = (np.array([np.frombuffer(r[c], np.float32) for r in rows]) for c in ("t", "m"))
+    y = np.array([r["y"] for r in rows], float)
+    if y.min() == y.max():
         return total[1] / (total[0] + total[1])
-    a, b, prior = co_train((t[has], m[has]), y[has].astype(float), (t[~has], m[~has]))
+    sample = {r["doc_id"] for r in rows}
+
+    def surest(models: list[Logistic], extra: list[Extra]) -> list[Extra]:
+        return gains(surest_rows(own, models, tuple(sample | set(e) for e in extra)))
+
+    a, b, prior = co_train((t, m), y, surest)
     return a, b, prior, float(np.log(total[1] / total[0])) - prior
 
 
@@ -166,8 +240,8 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
             out = [np.full(b.num_rows, model)] * 3
         else:
             text, meta, prior, shift = model
-            zt = text.logit(np.array([text_view(x.as_py()) for x in b.column("text")]).reshape(b.num_rows, -1)) if b.num_rows else np.zeros(0)
-            zm = meta.logit(np.array([meta_view(*(x.as_py() for x in r)) for r in zip(b.column("lang"), b.column("source"), b.column("n_chars"), strict=True)]).reshape(b.num_rows, -1)) if b.num_rows else np.zeros(0)
+            t, m = both_views(b)
+            zt, zm = text.logit(t), meta.logit(m)
             out = [sigmoid(zt + shift), sigmoid(zm + shift), sigmoid(zt + zm - prior + shift)]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.round(x, 9)) for x in out), pa.array(out[2] >= CUT)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 

@@ -1,6 +1,8 @@
 """Toxicity and quality classifiers: held-out accuracy and edge cases."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -86,6 +88,28 @@ def test_quality_classifier(labelled, edge_docs, empty_docs):
     assert quality_classifier.digest(empty_docs, some).count() == 0
 
 
+def plain_surest(rows, sample, per_round):
+    """The surest rows of a list of (id, text features, metadata features), by loops."""
+
+    def surest(models, extra):
+        out = [{}, {}]
+        for v in (0, 1):
+            p = np.round(quality_classifier.sigmoid(models[v].logit(np.array([r[1 + v] for r in rows]))), 9)
+            for label in (0, 1):
+                best = []
+                for (i, t, m), x in zip(rows, p, strict=True):
+                    sure = x if label else 1 - x
+                    if sure >= quality_classifier.SURE and i is not None and i not in sample and i not in extra[1 - v]:
+                        best.append((-sure, zlib.crc32(str(i).encode()), i, t.tobytes(), m.tobytes(), t, m))
+                best.sort(key=lambda r: r[:5])
+                for _, _, i, _, _, t, m in best:
+                    if sum(x[0] == label for x in out[1 - v].values()) < per_round and i not in out[1 - v]:
+                        out[1 - v][i] = (label, t, m)
+        return out
+
+    return surest
+
+
 def test_views_teach_each_other():
     """A view that can't tell the labelled documents apart learns from the other's sure labels."""
     rng = np.random.default_rng(1)
@@ -95,6 +119,141 @@ def test_views_teach_each_other():
     pool_y = np.repeat([0.0, 1.0], 300)
     pool = rng.normal(size=(600, 3)) + pool_y[:, None] * 6, rng.normal(size=(600, 3)) * 0.1 + pool_y[:, None] * 6
     order = rng.permutation(120)
-    text, meta, _ = quality_classifier.co_train((a[order], b[order]), y[order], pool)
+    rows = [(i, pool[0][i], pool[1][i]) for i in range(600)]
+    text, meta, _ = quality_classifier.co_train((a[order], b[order]), y[order], plain_surest(rows, set(), 200))
     assert ((text.logit(pool[0]) > 0) == (pool_y == 1)).mean() > 0.98
     assert np.corrcoef(meta.w[:-1] @ ((pool[1] - meta.mean) / meta.scale).T, pool_y)[0, 1] > 0.9
+
+
+def brute_text_view(text):
+    raw = (text or "").encode()
+    out = [math.sqrt(raw.count(bytes([b])) / max(1, len(raw))) for b in range(256)]
+    words, lines = re.findall(rb"[^ \t\n\v\f\r]+", raw), [x for x in raw.split(b"\n") if re.search(rb"[^ \t\n\v\f\r]", x)]
+    n, k = max(1, len(words)), max(1, len(lines))
+    out += [min(4, x) for x in (math.log(1 + len(words)) / 8, len(raw) / n / 20, len(set(words)) / n, len(set(lines)) / k, math.log(1 + n / k) / 5, sum(map(len, lines)) / max(1, len(raw)))]
+    return out
+
+
+def test_views_by_loops(edge_docs):
+    for r in edge_docs.collect():
+        assert np.allclose(quality_classifier.text_view(r["text"]), brute_text_view(r["text"]), atol=1e-6)
+        m = quality_classifier.meta_view(r["lang"], r["source"], r["n_chars"])
+        want = {zlib.crc32(f"lang {r['lang']}".encode()) % 16, 16 + zlib.crc32(f"source {r['source']}".encode()) % 128, 144 + (0 if r["n_chars"] is None else min(23, 1 + r["n_chars"].bit_length()))}
+        assert set(np.flatnonzero(m).tolist()) == want and m.sum() == 3
+
+
+def test_logistic_and_calibration_reach_their_optimum():
+    """Derivatives by loops are zero."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4))
+    y = (rng.random(80) < 1 / (1 + np.exp(-x[:, 0] * 2 + 0.5))).astype(float)
+    m = quality_classifier.Logistic(x, y, 3.0)
+    z = [[(x[i][j] - np.mean(x[:, j])) / (np.std(x[:, j]) + 1e-3) for j in range(4)] + [1.0] for i in range(80)]
+    p = [1 / (1 + math.exp(-sum(w * v for w, v in zip(m.w, r, strict=True)))) for r in z]
+    for j in range(5):
+        slope = sum((p[i] - y[i]) * z[i][j] for i in range(80)) + (3.0 if j < 4 else 1e-3) * m.w[j]
+        assert abs(slope) < 1e-6
+    m.calibrate(x, y)
+    logit = [sum(w * min(8, max(-8, v)) for w, v in zip(m.w, r, strict=True)) for r in z]
+    n = sum(y)
+    t = [(n + 1) / (n + 2) if v else 1 / (80 - n + 2) for v in y]
+    p = [1 / (1 + math.exp(-(m.slope * v + m.shift))) for v in logit]
+    assert abs(sum((a - b) * v for a, b, v in zip(p, t, logit, strict=True)) + 0.1 * (m.slope - 1)) < 1e-5 and abs(sum(p) - sum(t)) < 1e-5
+
+
+def test_co_training_by_loops(spark, labelled, edge_docs, monkeypatch):
+    """Rounds over all rows, scores and verdicts as by loops over lists, with repeated, empty and unlabelled rows."""
+    monkeypatch.setattr(quality_classifier, "PER_ROUND", 15)
+    docs, labels = labelled
+    docs = docs.union(edge_docs.select("doc_id", "text", "lang", "source", "n_chars")).union(docs.limit(50))
+    some = labels.where("doc_id % 4 = 0 and doc_id > 60").union(labels.where("doc_id between 400 and 420").withColumn("quality", 1 - F.col("quality")))
+    both = {r["doc_id"] for r in some.groupBy("doc_id").agg(F.countDistinct("quality").alias("n")).where("n > 1").collect()}
+    known = {r["doc_id"]: r["quality"] for r in some.collect() if r["doc_id"] not in both}
+    rows = [(r["doc_id"], quality_classifier.text_view(r["text"]), quality_classifier.meta_view(r["lang"], r["source"], r["n_chars"])) for r in docs.collect()]
+    hashed = {r[0]: r[1] for r in docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id")).collect()}
+    sample = sorted({r[0]: r for r in rows if r[0] in known}.values(), key=lambda r: (hashed[r[0]], r[0]))
+    y = np.array([known[r[0]] for r in sample], float)
+    t, m, prior = quality_classifier.co_train((np.array([r[1] for r in sample]), np.array([r[2] for r in sample])), y, plain_surest(rows, set(known), 15))
+    one, other, got_prior, shift = quality_classifier.fit(docs, some)
+    assert got_prior == pytest.approx(prior) and both
+    for a, b in ((one, t), (other, m)):
+        assert np.allclose([*a.w, a.slope, a.shift], [*b.w, b.slope, b.shift], atol=1e-6)
+    share = math.log(sum(known.values()) / (len(known) - sum(known.values())))
+    want = []
+    for i, text, meta in rows:
+        zt, zm = float(t.logit(text)), float(m.logit(meta))
+        want.append((i, 1 / (1 + math.exp(-max(-40, min(40, zt + zm - prior + share - prior))))))
+    got = [(r["doc_id"], r["score"], r["kept"]) for r in quality_classifier.digest(docs, some).collect()]
+    want, got = (sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1])) for x in (want, got))
+    assert [r[0] for r in want] == [r[0] for r in got] and np.allclose([r[1] for r in want], [r[1] for r in got], atol=1e-6)
+    assert all(r[2] == (r[1] >= 0.5) for r in got)
+
+
+def test_samples_are_bounded_whatever_ids_repeat(spark, monkeypatch):
+    """One id in most rows and many label rows."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(5).alias("doc_id"), F.concat(F.lit("some words here "), F.when(F.col("id") % 20 == 0, F.lit("%%%% ####")).otherwise(F.lit("vile scum"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(9).alias("n_chars"))
+    labels = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(5).alias("doc_id"), (F.col("id") % 20 != 0).cast("int").alias("quality"), (F.col("id") % 20 != 0).cast("int").alias("toxic")).union(spark.range(600).selectExpr("5 as doc_id", "1 as quality", "1 as toxic"))
+    seen = []
+    real = quality_classifier.co_train
+    monkeypatch.setattr(quality_classifier, "co_train", lambda views, y, surest: (seen.append(len(y)), real(views, y, surest))[1])
+    taught = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda docs, y: (taught.append(len(docs)), train(docs, y))[1])
+    quality_classifier.fit(docs, labels)
+    toxicity.fit(docs, labels)
+    ids = {r[0] for r in docs.select("doc_id").collect()} & {r[0] for r in labels.groupBy("doc_id").agg(F.countDistinct("toxic").alias("n")).where("n = 1").collect()}
+    assert seen == [len(ids)] and taught[0] <= len(ids)
+
+
+def test_convolution_by_loops(labelled):
+    """Embeddings, filters, pooling, calibration and thresholds as by loops."""
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels.where("doc_id < 300"))
+    table, rng = model.table.astype(float), random.Random(4)
+    texts = [None, "", "!!", "vile", "w1 vile", "w1 w2 scum w3", " ".join(rng.choice(["w1", "dolt", "w5", "oafs"]) for _ in range(40))]
+    for text in texts:
+        words = re.findall(r"\w+", (text or "").lower())
+        x = [table[zlib.crc32(w.encode()) % toxicity.BUCKETS] + table[zlib.crc32(b"^" + w[:4].encode()) % toxicity.BUCKETS + toxicity.BUCKETS] for w in words]
+        x = (x or [np.zeros(toxicity.DIM)]) + [np.zeros(toxicity.DIM)] * toxicity.REACH
+        pooled = []
+        for width, f, b in zip(toxicity.WIDTHS, model.filters, model.biases, strict=True):
+            for n in range(toxicity.FILTERS):
+                best = max(sum(sum(x[at + k][d] * float(f[k][d][n]) for d in range(toxicity.DIM)) for k in range(width)) + float(b[n]) for at in range(len(x) - toxicity.REACH))
+                pooled.append(max(best, 0.0))
+        logit = sum(a * float(b) for a, b in zip(pooled, model.out, strict=True)) + model.bias
+        want = 1 / (1 + math.exp(-max(-40, min(40, model.slope * logit + model.shift))))
+        assert model.scores([toxicity.word_ids(text)])[0] == pytest.approx(want, abs=1e-5)
+    score = np.array([rng.choice([0.1, 0.35, 0.4, 0.55, 0.6, 0.9, rng.random()]) for _ in range(200)])
+    for noise in (0.0, 0.02, 0.3, 1.0):
+        y = np.array([float(s > 0.45) if rng.random() > noise else float(rng.random() < 0.5) for s in score])
+        order = sorted(range(200), key=lambda i: -score[i])
+        good = [score[order[n]] for n in range(200) if sum(y[i] for i in order[: n + 1]) / (n + 1) >= toxicity.PRECISION]
+        assert toxicity.lowest(score, y) == min(toxicity.CUT, max(toxicity.FLOOR, good[-1] if good else toxicity.CUT))
+
+
+def test_toxicity_calibration_reaches_its_optimum(labelled):
+    docs, _ = labelled
+    rng = np.random.default_rng(5)
+    model = toxicity.train([toxicity.word_ids(r["text"]) for r in docs.limit(80).collect()], rng.integers(0, 2, 80).astype(float))
+    ids = [toxicity.word_ids(r["text"]) for r in docs.limit(200).collect()]
+    z = model.logits(ids)
+    y = (rng.random(200) < 1 / (1 + np.exp(-z))).astype(float)
+    toxicity.calibrate(model, ids, y, ["en"] * 200, 0.7)
+    n = y.sum()
+    t = [(n + 1) / (n + 2) if v else 1 / (200 - n + 2) for v in y]
+    p = [1 / (1 + math.exp(-(model.slope * v + model.shift - 0.7))) for v in z]
+    if model.slope > 0.05:
+        assert abs(sum((a - b) * v for a, b, v in zip(p, t, z, strict=True)) + 1e-3 * (model.slope - 1)) < 1e-4 and abs(sum(p) - sum(t)) < 1e-4
+
+
+def test_a_very_long_labelled_text_does_not_end_the_sample(labelled, monkeypatch):
+    docs, labels = labelled
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 20_000)
+    spark = docs.sparkSession
+    first = labels.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    long = docs.where(F.col("doc_id") != first).union(spark.createDataFrame([(first, "w1 " * 30_000, "en", "s", 1)], docs.schema))
+    seen = []
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda d, y: (seen.append(len(d)), real(d, y))[1])
+    toxicity.fit(long, labels)
+    assert seen[0] > 100
