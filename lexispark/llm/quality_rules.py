@@ -4,13 +4,16 @@ Rules count words, symbols, repeated lines and repeated three-word windows of wh
 ratio: words and pairs of words are hashed to BUCKETS; one multinomial is counted over all trusted documents
 (labelled quality 1), one over all documents, both smoothed. A document's score is the mean over its n-grams
 of log(trusted / raw), so it doesn't depend on length. A document is kept if it passes the rules and its score
-is at least THRESHOLD; every document is decided by the same comparison, without sampling.
+is at least the threshold: the mean of the trusted documents that pass them, less DEVIATIONS of their standard
+deviations (LEAST_MARGIN at least), where each is scored without its own counts among the trusted ones. Every document is decided by the same comparison, without sampling.
 
 Counts are exact over all rows: each task sums one vector of BUCKETS numbers for each multinomial, and Spark
 adds up the tasks' vectors by bucket, so only 2 x BUCKETS numbers reach the driver.
 
-Defined cases: a null text has no words and fails the rules; without trusted documents all ratios are zero;
-repeated rows count as often as they occur; null labels and ids are not trusted; extra columns are ignored.
+Defined cases: a null text has no words and fails the rules; without trusted documents all ratios and the threshold
+are zero, so the rules decide; a score that equals the threshold is kept; texts of any length are read whole; repeated
+rows count as often as they occur; null labels and ids are not trusted; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,8 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import common
 
-#: Hash buckets, smoothing count per bucket, and the score from which documents are kept.
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.07
-#: Bits of the filter in front of the join with trusted ids.
-FILTER_BITS = 1 << 23
+#: Hash buckets and smoothing count per bucket; how far below the trusted mean documents are kept.
+BUCKETS, SMOOTHING, DEVIATIONS, LEAST_MARGIN = 1 << 14, 1.0, 4.0, 0.05
 #: Rules: fewest words, most words in repeated windows in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 WHITE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
@@ -78,25 +79,20 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+
+
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts of the trusted documents.
 
-    Before the join by id, a filter of FILTER_BITS bits lets few others through, so that texts which aren't
-    trusted are hardly shuffled. It is broadcast: it has at most FILTER_BITS / 64 rows of two numbers,
-    whatever the input.
+    Before the join by id, a bit filter lets few others through, so that texts which aren't trusted are hardly
+    shuffled.
     """
-    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-
-    def place(c: str) -> F.Column:
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-
-    def bit(c: str) -> F.Column:
-        return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), 64L) as int))")
-
-    bits = trusted.groupBy(F.floor(place("_id") / 64).alias("_word")).agg(F.bit_or(bit("_id")).alias("_bits"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    likely = rows.join(F.broadcast(bits), F.floor(place("doc_id") / 64) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit("doc_id")) != 0)
-    return likely.join(trusted.hint("merge"), F.col("doc_id") == F.col("_id")).select("text")
+    trusted = trusted_ids(labels)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    likely = common.filtered(rows, trusted, ["doc_id"], "_likely").where("_likely")
+    return likely.join(trusted.hint("merge"), "doc_id").select("text")
 
 
 def _counted(texts: DataFrame) -> np.ndarray:
@@ -130,8 +126,19 @@ def ratios(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log((trusted + weight * p) / (trusted.sum() + weight)) - np.log(p)
 
 
-def measure(text: str | None, table: np.ndarray) -> tuple:
-    """All counts, base_failed, score and verdict of a whole text."""
+def without(g: np.ndarray, trusted: np.ndarray, raw: np.ndarray) -> float:
+    """The score of a trusted text with these n-grams, its own counts taken off the trusted ones."""
+    if not len(g) or not raw.sum():
+        return 0.0
+    own, n = np.unique(g, return_counts=True)
+    weight = SMOOTHING * BUCKETS
+    p = (raw[own] + SMOOTHING) / (raw.sum() + weight)
+    rest = np.log((np.maximum(trusted[own] - n, 0) + weight * p) / (max(trusted.sum() - len(g), 0) + weight)) - np.log(p)
+    return float(np.round((rest * n).sum() / len(g), 9))
+
+
+def measure(text: str | None, table: np.ndarray, trusted: np.ndarray, raw: np.ndarray) -> tuple:
+    """All counts, base_failed and score of a whole text, and its score if it is one of the trusted ones."""
     text = text or ""
     words = text.encode("utf-8", "replace").split()
     h = word_numbers(words)
@@ -139,19 +146,28 @@ def measure(text: str | None, table: np.ndarray) -> tuple:
     failed = n < LEAST_WORDS or 100 * again > MOST_REPEATED * n
     score = float(np.round(table[grams(h)].mean(), 9)) if n else 0.0
     chars = len(text) - sum(map(text.count, WHITE))
-    return n, chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), again, failed, score, not failed and score >= THRESHOLD
+    return n, chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), again, failed, score, without(grams(h), trusted, raw) if n else 0.0
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, the four counts, base_failed, score, kept."""
-    held = docs.sparkSession.sparkContext.broadcast(ratios(*gram_counts(docs, labels)))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+    trusted, raw = gram_counts(docs, labels)
+    held = docs.sparkSession.sparkContext.broadcast((ratios(trusted, raw), trusted, raw))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "without"]
+    kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 2
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = [measure(x.as_py(), held.value) for x in b.column(1)]
+        got = [measure(x.as_py(), *held.value) for x in b.column(1)]
         cols = [pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", *names])
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fn, schema)
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, without double"
+    scored = common.cut(common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), fn, schema))
+    limit = threshold(scored.where("not base_failed").join(trusted_ids(labels), "doc_id", "left_semi"))
+    return scored.drop("without").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= limit))
+
+
+def threshold(trusted: DataFrame) -> float:
+    """The score from which documents are kept, from the scores of trusted ones without their own counts."""
+    mean, deviation = trusted.agg(F.avg("without"), F.stddev_pop("without")).first()
+    return 0.0 if mean is None else round(mean - max(DEVIATIONS * deviation, LEAST_MARGIN), 6)

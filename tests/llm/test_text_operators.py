@@ -1,8 +1,10 @@
 """BPE, personal data, licenses, quality rules: against the library or brute force."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lexispark.llm import bpe, licenses, pii, quality_rules, queries
+from lexispark.llm import bpe, license_rules, licenses, pii, quality_rules, queries
 
 PATH = queries.tokenizer_path()
 ENCODER, LIBRARY = bpe.Bpe(PATH), Tokenizer.from_file(PATH)
@@ -77,6 +79,13 @@ def test_plain_detectors(text):
         ("é jоhn@exаmple.com", "email:2:18"),
         ("+1 (٢12) 555-0199", "phone:0:17"),
         ("card 4111 1111 1111 1111.", "card:5:24"),
+        ("john [at] example dot com", "email:0:25"),
+        ("john at example [dot] com", "email:0:25"),
+        ("john@example dot com", "email:0:20"),
+        ("j.doe at example.com", "email:0:20"),
+        ("look at example.com", ""),
+        ("+ plus one two three four five six seven eight nine plus", "phone:2:51"),
+        ("plus one two three four five six seven eight nine ones", "phone:0:49"),
     ],
 )
 def test_disguises_map_back(text, found):
@@ -98,9 +107,38 @@ def test_mixed_digit_words_alone(text, found):
         assert ",".join(f"{s.kind}:{s.start - len(before)}:{s.end - len(before)}" for s in pii.spans(before + text)[1]) == found
 
 
+def test_any_mix_of_disguises_maps_back():
+    rng = random.Random(12)
+    ats, dots = ["@", " at ", "  AT  ", " (at) ", "[at]", "{ arroba }", "＠", "@"], [".", " dot ", " [dot] ", "(punkt)", "．", "<point>"]
+    alike = {b: a for a, b in pii.LOOKALIKES.items()}
+    words = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    for _ in range(3000):
+        name, parts = rng.choice(["john", "j.doe", "a_b", "mia7"]), [rng.choice(["example", "mail-host", "x9"]) for _ in range(rng.randint(1, 2))] + [rng.choice(["com", "org"])]
+        at, dot = rng.choice(ats), [rng.choice(dots) for _ in parts[1:]]
+        source = name + at + parts[0] + "".join(d + p for d, p in zip(dot, parts[1:], strict=True))
+        if rng.random() < 0.3:
+            source = "".join(alike.get(c, c) if c not in "atdo" and rng.random() < 0.3 else c for c in source)
+        plain = at.strip().lower() == "at" and set(dot) <= {".", "．"} and name == "john"
+        before, after = rng.choice(["", "write: ", "é\n", "> "]), rng.choice(["", " now", "!", "\n\n"])
+        got = [str(s) for s in pii.spans(before + source + after)[1] if s.kind == "email"]
+        if not plain:  # plain spans within it stay
+            assert f"email:{len(before)}:{len(before) + len(source)}" in got and len(got) <= 2, before + source + after
+        digits = [str(rng.randint(0, 9)) for _ in range(rng.randint(9, 12))]
+        said = [words[int(d)] if rng.random() < 0.6 else d for d in digits]
+        if any(x in words for x in said):
+            phone = rng.choice(["plus ", "+ ", "Plus, "]) + "".join(x + rng.choice([" ", "-", ", "]) for x in said[:-1]) + said[-1]
+            got = [str(s) for s in pii.spans(before + phone + after)[1] if s.kind == "phone"]
+            assert got == [f"phone:{len(before)}:{len(before) + len(phone)}"], before + phone + after
+
+
 def test_long_runs_take_linear_time():
+    began, n = time.time(), 1_000_000
     for t in ("1" * 500_000, "a" * 500_000 + "@", "a@" * 200_000, "+1" * 200_000, "( " * 200_000, "1." * 200_000):
         pii.spans(t)
+    for t in (" " * n, "\t" * n, "\n" * n, "a" + " " * n + "(at)" + " " * n + "b", "(" + " " * n, "( at" + " " * n, "x at" + " " * n, "x@y dot" + " " * n + "z at ", "+ " * n, "one " * n, "one, " * n + "ones", "plus " * n, "7 " * n + "one", "a at b" * n, "a.b dot " * n):
+        pii.spans(t)
+        pii.redact(t)
+    assert time.time() - began < 120
 
 
 def test_pii_documents(spark, edge_docs, empty_docs):
@@ -133,7 +171,7 @@ def brute_licenses(text):
             if x == anchor and keyword in ahead and (m := re.match(f"(?:{rx})(?= |$)", ahead)):
                 found.append((i, i + m[0].count(" ") + 1, priority, label, sure, len(found)))
     order = {r: n for n, r in enumerate((a, lab, rx) for a, lab, _, rx, _, _ in licenses.rules())}
-    assert len(order) > 200
+    assert len(order) > 700 and len(license_rules.signatures()) >= 390
     stay = [d for d in found if not any(e is not d and e[0] <= d[0] and e[1] >= d[1] and e[2] <= d[2] and (e[:3] != d[:3] or e[5] < d[5]) for e in found)]
     sure = max([d[4] for d in stay] + [0.9 if labels else 0.0])
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {d[3] for d in stay})), sure
@@ -176,6 +214,42 @@ def test_each_license_rule_alone(spark):
         assert got[i][5], t
 
 
+#: Lines as they stand in files, and labels that must be found.
+WRITTEN = (
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.", "apache-2"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,", "apache-2"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2-1"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided", "bsd"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3"),
+    ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "linux-syscall"),
+    ("SPDX-License-Identifier: (MIT)", "mit"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("Distributed under the Boost Software License, Version 1.0. (See https://www.boost.org/LICENSE_1_0.txt)", "boost-1"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("https://creativecommons.org/licenses/by-nc-sa/4.0/", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa"),
+    ("License :: OSI Approved :: BSD License", "bsd"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl"),
+    ("Made available under the Open Database License: this database is made available under the Open Database License", "odbl"),
+    ("you can redistribute it under the same terms as Perl itself", "perl"),
+    ("Unauthorized copying of this file, via any medium is strictly prohibited. Proprietary and confidential.", "proprietary"),
+    ("(c) Verlag, Alle Rechte vorbehalten", "all-rights-reserved"),
+    ("Tous droits réservés", "all-rights-reserved"),
+    ("The Software shall be used for Good, not Evil.", "json"),
+)
+
+
+def test_written_notices(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRITTEN)], "doc_id long, text string")
+    for r in licenses.digest(df).collect():
+        text, label = WRITTEN[r["doc_id"]]
+        assert label in r["labels"].split(","), (text, r["labels"])
+        assert tuple(r)[1:] == brute_licenses(text)
+
+
 def brute_rules(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -194,10 +268,10 @@ def test_quality_rules(spark, edge_docs, empty_docs):
     table = np.zeros(quality_rules.BUCKETS)
     for _ in range(300):
         t = "".join(rng.choice(["a ", "b ", "c\n", "é\x0b", "#x ", "\n", " ", "a b\n", " ", "|"]) for _ in range(rng.randint(0, 60)))
-        got = quality_rules.measure(t, table)
+        got = quality_rules.measure(t, table, table, table)
         assert got[:5] == brute_rules(t)
         n, again = got[0], got[4]
-        assert got[5] == (n < 50 or 100 * again > 50 * n) and got[7] == (not got[5])
+        assert got[5] == (n < 50 or 100 * again > 50 * n)
     good = [(i, " ".join(f"good{rng.randint(0, 40)}" for _ in range(80))) for i in range(60)]
     junk = [(100 + i, " ".join(f"junk{rng.randint(0, 40)}%%" for _ in range(80))) for i in range(30)]
     docs = spark.createDataFrame(good + junk, "doc_id long, text string").repartition(3)
@@ -210,8 +284,18 @@ def test_quality_rules(spark, edge_docs, empty_docs):
         want[1] += g
         want[0] += g if i < 40 else 0
     assert (want[0] == trusted).all() and (want[1] == raw).all()
-    out = {r["doc_id"]: r["kept"] for r in quality_rules.digest(docs, labels).collect()}
-    assert all(out[i] == (i < 100) for i in out)
+    ratios = [math.log((want[0][b] + 16384 * (want[1][b] + 1) / (raw.sum() + 16384)) / (trusted.sum() + 16384)) - math.log((want[1][b] + 1) / (raw.sum() + 16384)) for b in range(quality_rules.BUCKETS)]
+    scores = {i: round(sum(ratios[b] for b in quality_rules.grams(quality_rules.word_numbers(t.encode().split()))) / 159, 9) for i, t in good + junk}
+    own = []
+    for _, t in good[:40]:
+        g = quality_rules.grams(quality_rules.word_numbers(t.encode().split())).tolist()
+        p = {b: (want[1][b] + 1) / (raw.sum() + 16384) for b in g}
+        own.append(sum(math.log((want[0][b] - g.count(b) + 16384 * p[b]) / (trusted.sum() - 159 + 16384)) - math.log(p[b]) for b in g) / 159)
+    mean = sum(own) / 40
+    limit = mean - max(4 * math.sqrt(sum((x - mean) ** 2 for x in own) / 40), 0.05)
+    out = {r["doc_id"]: r for r in quality_rules.digest(docs, labels).collect()}
+    assert all(abs(out[i]["score"] - scores[i]) < 1e-8 and out[i]["kept"] == (scores[i] >= limit) for i in out)
+    assert all(out[i]["kept"] == (i < 100) for i in out)
     none = quality_rules.digest(edge_docs, labels.limit(0)).collect()
-    assert len(none) == edge_docs.count() and all(r["score"] == 0 for r in none)
+    assert len(none) == edge_docs.count() and all(r["score"] == 0 and r["kept"] != r["base_failed"] for r in none)
     assert quality_rules.digest(empty_docs, labels).count() == 0
