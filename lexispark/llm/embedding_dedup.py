@@ -1,35 +1,52 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Each vector is described by its NEAREST reference points (pivots) in order of cosine; the pivots are a
-bounded, documented sample of the distinct vectors. The inverted lists are kept per group of SHARED pivots
-of a description: two vectors meet in a list exactly if they share SHARED of their NEAREST pivots, that is,
-lists are read with a shared-pivot count of at least SHARED. Candidates are verified by cosine in double
-precision. Every vector is indexed.
+Each vector is described by its NEAREST reference points (pivots) in order of cosine. The inverted lists are kept
+per group of SHARED pivots of a description, within a label: two vectors meet in a list exactly if they share SHARED
+of their NEAREST pivots, that is, lists are read with a shared-pivot count of at least SHARED. Candidates are
+verified by cosine in double precision. Every vector is indexed.
 
-Equal vectors are one class, compared once. A pair that meets in several lists counts in the list of its
-smallest shared pivots only, so link counts need no pair table. Lists of any length are compared in blocks.
+There are more pivots for more vectors (see pivot_count), so that lists of vectors which are alike by chance stay
+short. They are taken from a bounded sample, the SAMPLE vectors with the smallest hashes, so that no two are near
+(APART): several in one dense group would describe its members at random. Where the sample has too few of a length,
+directions drawn from a generator that is seeded with the length fill up.
+
+Equal vectors of a label are one class, compared once, and known by a 64-bit hash of their values (a second hash
+is held against it). Lists, ids and counts are shuffled as numbers; a vector goes to those lists only that hold
+another one, once for each two blocks. A pair that meets in several lists counts in the list of its smallest
+shared pivots only, so link counts need no pair table. Lists of any length are compared in blocks.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a
 null label, link with nothing and are components of their own; vectors of different lengths never link;
-repeated ids link as rows of their own; a null vec_id is never a component_id.
+repeated ids link as rows of their own; a null vec_id is never a component_id; of ties the smaller pivot is the
+nearer one; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lexispark.llm import common
 
 #: Cosine at which vectors link.
 COSINE = 0.98
-#: Reference points (at most 63: a description is a bit mask), their number in a description, and how many must be shared.
-PIVOTS, NEAREST, SHARED = 63, 6, 3
+#: Pivots in a description, and how many must be shared.
+NEAREST, SHARED = 5, 3
+#: Fewest and most pivots (ten bits number one), vectors they are chosen from, and the cosine beyond which two are too near.
+PIVOTS, SAMPLE, APART = (64, 1024), 8192, 0.8
+
+
+def pivot_count(n: int) -> int:
+    """How many pivots n vectors get: by the cube root, as lists are for groups of three."""
+    return int(np.clip(round(6 * n ** (1 / 3)), *PIVOTS))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -39,24 +56,52 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def classes(vectors: DataFrame) -> DataFrame:
-    """(rid, label, embedding, least, copies): distinct vectors that can link."""
-    e = F.col("embedding").cast("array<double>")
-    sound = ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    own = vectors.select(F.col("vec_id").cast("long"), "label", e.alias("embedding")).where(F.col("label").isNotNull() & sound)
-    own = own.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
-    grouped = own.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    return common.cut(grouped.withColumn("rid", F.monotonically_increasing_id()))
+def hashed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, e, rid, other): rid and other are hashes of label and vector, null for rows that link with nothing."""
+    kind = vectors.schema["embedding"].dataType
+    exact = "float" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "double"
+    e = F.col("embedding").cast(f"array<{exact}>")
+    wide = e.cast("array<double>")
+    sound = ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(wide, lambda x: x != 0)
+    # Zero has one sign.
+    own = vectors.select(F.col("vec_id").cast("long"), "label", F.transform(e, lambda x: x + F.lit(0.0).cast(exact)).alias("e"), (sound & F.col("label").isNotNull()).alias("sound"))
+    one = lambda *c: F.when(F.col("sound"), F.xxhash64(*c))
+    return own.select("vec_id", "label", "e", one("label", "e").alias("rid"), one(F.lit("other"), "label", "e").alias("other"))
+
+
+def classes(own: DataFrame) -> DataFrame:
+    """(rid, label, e, copies): distinct vectors that can link."""
+    g = own.where("rid is not null").groupBy("rid").agg(F.first(F.struct("label", "e")).alias("v"), F.count(F.lit(1)).alias("copies"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    same = F.when(F.col("lo") == F.col("hi"), F.col("copies")).otherwise(F.raise_error(F.lit("two vectors have one hash")).cast("long"))
+    return g.select("rid", "v.label", "v.e", same.alias("copies"))
+
+
+def choose_pivots(own: DataFrame) -> dict[int, np.ndarray]:
+    """Reference points by vector length, and their number under the length 0."""
+    some = own.where("rid is not null")
+    n = pivot_count(some.count())
+    by: dict[int, list] = {}
+    for r in some.select("rid", "e").orderBy("rid").limit(SAMPLE).collect():
+        by.setdefault(len(r["e"]), []).append(r["e"])
+    out = {0: np.array([n])}
+    for k, rows in by.items():
+        kept = np.zeros((0, k))
+        for x in unit(np.array(rows)):
+            if len(kept) < n and (kept @ x < APART).all():
+                kept = np.vstack([kept, x])
+        out[k] = np.vstack([kept, drawn(k, n - len(kept))])
+    return out
 
 
-def choose_pivots(distinct: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
-    """Reference points by vector length: the n distinct vectors with the smallest hashes, no more than n of each length."""
-    sizes = [r[0] for r in distinct.select(F.size("embedding").alias("k")).distinct().orderBy("k").limit(1024).collect()]
-    out = {}
-    for k in sizes:
-        rows = distinct.where(F.size("embedding") == k).orderBy(F.xxhash64("embedding"), "rid").select("embedding").limit(n).collect()
-        out[k] = unit(np.array([r[0] for r in rows]))
-    return out
+def drawn(k: int, n: int) -> np.ndarray:
+    """n directions of length k, the same in each call."""
+    return unit(np.random.default_rng(k).normal(size=(n, k)) + 1e-9)
+
+
+def pivots_of(pivots: dict[int, np.ndarray], k: int) -> np.ndarray:
+    if k not in pivots:
+        pivots[k] = drawn(k, int(pivots[0][0]))
+    return pivots[k]
 
 
 def describe(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
@@ -64,47 +109,58 @@ def describe(x: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.nd
     return np.argsort(-np.round(x @ pivots.T, 12), axis=1, kind="stable")[:, :nearest]
 
 
+def _units(column: pa.Array, k: int) -> np.ndarray:
+    return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), k))
+
+
 def lists(distinct: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """(key, lab, dim, mask, rid): a row for each list that a vector is in. A key is a mask of the shared pivots."""
+    """(key, shared, rid): a row for each list that a vector is in; key is a hash of label, length and shared pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, column = batch.column(0).to_numpy(), batch.column(1)
-            size = np.array([len(v) for v in column], np.int64)
+            rid, column = batch.column("rid").to_numpy(), batch.column("e")
+            size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
             for k in np.unique(size):
                 rows = np.flatnonzero(size == k)
-                x = unit(column.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), k))
-                p = pivots[int(k)] if int(k) in pivots else np.eye(int(k))[:PIVOTS]
-                order = describe(x, p)
-                bits = np.left_shift(np.int64(1), order.astype(np.int64))
-                mask, n = bits.sum(axis=1), order.shape[1]
-                picks = list(combinations(range(n), min(SHARED, n)))
-                keys = np.stack([bits[:, list(c)].sum(axis=1) for c in picks], axis=1)
-                m = len(picks)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(mask, m)), pa.array(np.repeat(rid[rows], m)), pa.array(np.full(len(rows) * m, k))], names=["pivots", "mask", "rid", "dim"])
-
-    found = distinct.select("rid", "embedding").mapInArrow(run, "pivots long, mask long, rid long, dim long")
-    labels = distinct.select("rid", "label")
-    return found.join(labels, "rid").withColumn("key", F.xxhash64("label", "dim", "pivots"))
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                order = np.sort(describe(_units(column.take(pa.array(rows)), int(k)), pivots_of(pivots, int(k))), axis=1)
+                n = order.shape[1]
+                keys = np.stack([packed(order[:, list(c)]) for c in combinations(range(n), min(SHARED, n))], axis=1)
+                m = keys.shape[1]
+                at = pa.array(np.repeat(rows, m))
+                yield pa.RecordBatch.from_arrays([batch.column("label").take(at), pa.array(np.full(len(rows) * m, k, np.int64)), pa.array(keys.ravel()), pa.array(np.repeat(rid[rows], m))], names=["label", "dim", "shared", "rid"])
+
+    # All columns go in, so that the shuffle of the classes is the same one as below.
+    kind = distinct.schema["label"].dataType.simpleString()
+    found = distinct.select("rid", "label", "e", "copies").mapInArrow(run, f"label {kind}, dim long, shared long, rid long")
+    return found.select(F.xxhash64("label", "dim", "shared").alias("key"), "shared", "rid")
+
+
+def packed(order: np.ndarray) -> np.ndarray:
+    """Sorted pivots as one number, ten bits for each."""
+    out = np.zeros(len(order), np.int64)
+    for i in range(order.shape[1]):
+        out = out << 10 | order[:, i]
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Of each block: a row for each vector with a link, its count of links, and a neighbour in the block's forest."""
     by = ["key", "lo", "hi"]
     for t in common.group_runs(batches, by):
-        lo, hi, b, mask, shared, rid, label, dim, copies = (t.column(c).to_numpy() for c in ("lo", "hi", "b", "mask", "pivots", "rid", "label", "dim", "copies"))
-        column = t.column("embedding").combine_chunks()
+        lo, hi, b, shared, rid, copies = (t.column(c).to_numpy() for c in ("lo", "hi", "b", "shared", "rid", "copies"))
+        column, label = t.column("e").combine_chunks(), t.column("label").to_numpy()
+        dim = pc.list_value_length(column).to_numpy(zero_copy_only=False)
         bounds = np.append(common.group_starts(t, by), t.num_rows)
         out: list[list[np.ndarray]] = [[], [], []]
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
             for own in _alike(label[s:e], dim[s:e], shared[s:e]):
                 if len(own) < 2:
                     continue
-                at = own + s
-                x = unit(column.take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1))
-                left = np.flatnonzero(b[at] == lo[s])
-                right = np.flatnonzero(b[at] == hi[s])
-                below = np.int64((1 << (int(shared[at[0]]).bit_length() - 1)) - 1)
+                at, k = own + s, int(dim[s + own[0]])
+                x = _units(column.take(pa.array(at)), k)
+                left, right = np.flatnonzero(b[at] == lo[s]), np.flatnonzero(b[at] == hi[s])
+                order = describe(x, pivots_of(pivots, k))
+                last = int(shared[at[0]]) & 1023
                 labels, n = np.arange(len(at)), np.zeros(len(at), np.int64)
                 for i in range(0, len(left), 256):
                     rows = left[i : i + 256]
@@ -115,7 +171,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     common.forest(labels, rows, close)
                     r, c = np.nonzero(close)
                     r = rows[r]
-                    first = (mask[at[r]] & mask[at[c]] & below) == (shared[at[0]] & below)
+                    # All shared pivots up to the list's last one are the list's.
+                    both = (order[r][:, :, None] == order[c][:, None, :]) & (order[r] <= last)[:, :, None]
+                    first = both.sum(axis=(1, 2)) == min(SHARED, order.shape[1])
                     r, c = r[first], c[first]
                     np.add.at(n, r, copies[at[c]])
                     if lo[s] != hi[s]:
@@ -137,23 +195,26 @@ def _alike(label: np.ndarray, dim: np.ndarray, shared: np.ndarray) -> list[np.nd
     return [np.array(g) for g in groups.values()]
 
 
+def found_links(own: DataFrame, pivots: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(a, b, links) for classes by rid: parts of their counts of links, and enough links to connect all."""
+    common.ship(own.sparkSession)
+    pivots, distinct = choose_pivots(own) if pivots is None else pivots, classes(own)
+    met = common.block_pairs(lists(distinct, pivots), "key", "rid").join(distinct, "rid")
+    return common.cut(common.dealt(met, "key", "rid").mapInArrow(partial(_verify, pivots=pivots), "a long, b long, links long"))
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    common.ship(vectors.sparkSession)
-    distinct = classes(vectors)
-    keyed = lists(distinct, choose_pivots(distinct))
-    met = common.block_pairs(keyed, "key", "rid")
-    withv = met.join(distinct.select("rid", "embedding", "copies"), "rid")
-    found = common.cut(common.dealt(withv, "key", "rid").mapInArrow(_verify, "a long, b long, links long"))
+    own = hashed(vectors)
+    found = found_links(own)
     counts = found.groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("links"))
-    roots = common.connected_components(found.select("a", "b"))
-    own = distinct.join(counts, "rid", "left").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
-    own = common.cut(own.select("label", "embedding", "least", F.coalesce("root", "rid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    named = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    own = own.join(named, "root").select(F.col("label").alias("_label"), F.col("embedding").alias("_e"), "n_links", "component_id")
-    e = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
-    rows = vectors.select(F.col("vec_id").cast("long"), "label", e.alias("embedding"))
-    joined = rows.join(own, (F.col("label") == F.col("_label")) & (F.col("embedding") == F.col("_e")), "left")
+    roots = common.connected_components(found.select("a", "b")).withColumnRenamed("node", "rid")
+    rows = own.select("vec_id", "rid")
+    sizes = rows.where("rid is not null").groupBy("rid").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    each = sizes.join(counts, "rid", "left").join(roots, "rid", "left")
+    each = common.cut(each.select("rid", "least", F.coalesce("root", "rid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    named = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = rows.join(each.join(named, "root").select("rid", "n_links", "component_id"), "rid", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
