@@ -12,7 +12,8 @@ merged at once where no merge of a lower rank can come of it; else the leftmost
 one merge at a time.
 
 Defined cases: a null text counts as empty and has no tokens (n_tokens 0, both digests of the empty string);
-texts of any length are encoded whole; repeated rows are encoded alike; extra columns are ignored.
+texts of any length are encoded whole; an empty table gives no rows; pairs of equal rank are merged from the left;
+null ids stay; repeated rows are encoded alike; extra columns are ignored.
 """
 
 from __future__ import annotations

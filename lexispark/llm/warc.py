@@ -14,8 +14,8 @@ of the partition alone, so a task that runs again writes the same files.
 
 Defined cases: null html is an empty payload; a null url is written as urn:page:<id>; white space and control
 characters of a url are percent-encoded; equal page_ids with equal payloads are all responses if theirs is
-the largest; a null page_id is never revisited as long as there is another; an empty table gives no archives
-and no rows; extra columns are ignored.
+the largest; a null page_id is never revisited as long as there is another; a payload of any length is one record, in one
+frame; repeated rows are records of their own; an empty table gives no archives and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import common
+from lexispark.session import remove, scratch
 
 #: Smallest payload that is revisited, payload bytes in an archive, dictionary size and bytes it is trained on.
 LEAST_REVISIT, ARCHIVE_BYTES, DICT_BYTES, TRAIN_BYTES = 1000, 32 << 20, 16 << 10, 1 << 20
@@ -270,10 +271,12 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all pages to archives in the shared folder and returns what is read back: page_id, payload_bytes, payload_digest, record_type, refers_to, error."""
+    """Writes all pages to archives in the shared folder and returns what is read back: page_id, payload_bytes, payload_digest, record_type, refers_to, error. The archives are deleted."""
     spark = pages.sparkSession
-    folder = f"{common.shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    written = write(pages, folder)
-    if written.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")
-    return read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    folder = scratch(spark, "warc")
+    try:
+        if write(pages, folder).isEmpty():
+            return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")
+        return common.cut(read(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"))
+    finally:
+        remove(spark, folder)
