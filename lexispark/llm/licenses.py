@@ -4,7 +4,7 @@ Texts are lower-cased and cut into words (ASCII letters and digits, and any othe
 keyword prefilter, derived from the rules, lets only texts through that hold all the words which some rule needs;
 for the others nothing but words is counted. Each rule is a regular expression over the space-joined words, it
 begins at an anchor word, and it is tried only where that anchor stands and where the words that follow hold the
-rule's keyword, the longest word that it needs. The rules are the hand-written signatures of license_rules, by
+rule's keyword, the longest word that it needs behind its anchor. The rules are the hand-written signatures of license_rules, by
 priority, and behind them, for names in other phrasings, the license families below in the phrasings below.
 
 Detections of a text are intervals of words. One that lies within another of the same or a higher priority
@@ -22,6 +22,7 @@ scanned alike; texts of any length are scanned whole; null ids stay; extra colum
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,7 +105,10 @@ ALONE = ("cc0", "wtfpl", "unlicense", "0bsd", "cc-by", "cc-by-sa", "cc-by-nd", "
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
     """(anchor, label, keyword, expression, priority, confidence), in order of priority."""
-    out = [(re.match("[a-z0-9]+", rx)[0], label, max(needed(rx), key=len), rx, priority, sure) for label, rx, priority, sure in license_rules.signatures()]
+    out = []
+    for label, rx, priority, sure in license_rules.signatures():
+        anchor, words = re.match("[a-z0-9]+", rx)[0], needed(rx)
+        out.append((anchor, label, max([w for w in words if w not in (anchor, "under")] or words, key=len), rx, priority, sure))
     for priority, sure, anchor, before, after in PHRASINGS:
         out += [(anchor or a, label, k, f"{before}(?:{name}){after}", priority, sure) for label, a, k, name in FAMILIES]
     out += [(a, label, k, f"(?:{name})", 7, 0.5) for label, a, k, name in FAMILIES if label in ALONE]
@@ -130,13 +134,24 @@ def gates() -> dict[tuple[str, ...], set[str]]:
         words = sorted(needed(rx), key=len, reverse=True)
         if any("licen" in w for w in words):
             out["licen",] = set()
-        elif "under" in words and anchor in words and keyword not in words:
+        elif "under" in words and anchor in words and anchor != "under":
             out.setdefault((anchor, "under"), set()).add(keyword)
         else:
             out[tuple(dict.fromkeys([*words, *([keyword] if keyword else [])]))] = set()
     return {g: k for g, k in out.items() if not any(not k2 and set(g2) < set(g) for g2, k2 in out.items())}
 
 
+def covered() -> dict[str, list[tuple[tuple[str, ...], set[str]]]]:
+    """The gates by few words, one of which each gate needs: the most shared first, short ones only where there is no other. A text without these words is through with as many looks."""
+    left, out = list(gates().items()), {}
+    while left:
+        shared = Counter(w for group, _ in left for w in {w for w in group if len(w) > 4} or set(group))
+        stem = max(shared, key=lambda w: (sum(shared[x] for x in shared if w in x), len(w), w))
+        out[stem] = [(tuple(w for w in group if w != stem), keys) for group, keys in left if any(stem in w for w in group)]
+        left = [(group, keys) for group, keys in left if not any(stem in w for w in group)]
+    return out
+
+
 def _quoted(x: str) -> str:
     return "r'" + x + "'"
 
@@ -179,11 +194,14 @@ def scan(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long"), text.alias("_text"))
     low = F.lower("_text")
     passes = F.lit(False)
-    for group, words in gates().items():
-        every = low.rlike("|".join(sorted(words))) if words else F.lit(True)
-        for k in reversed(group):
-            every = low.contains(k) & every
-        passes = passes | every
+    for stem, groups in covered().items():
+        some = F.lit(False)
+        for group, words in groups:
+            every = low.rlike("|".join(sorted(words))) if words else F.lit(True)
+            for k in reversed(group):
+                every = low.contains(k) & every
+            some = every | some
+        passes = passes | low.contains(stem) & some
     own = own.withColumn("_words", F.regexp_count("_text", F.lit(WORD)).cast("long")).withColumn("_gated", F.when(passes, low).otherwise(""))
     own = own.withColumn("_norm", F.trim(F.regexp_replace("_gated", GAPS, " "))).drop("_text", "_gated")
     own = own.withColumn("_padded", F.concat(F.lit(" "), "_norm", F.lit(" ")))
