@@ -77,3 +77,9 @@ def test_long_runs_take_time_in_proportion(spark):
             one(spark, lambda t, f=f: F.length(f(t)), run)
     assert one(spark, tx.strip_line_ends, "a" + " " * n + "\nb ") == "a\nb "
     assert time.time() - began < 60
+
+
+def test_white_space_is_that_of_all_code_points(spark):
+    text = "".join("a" + chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and c)
+    assert one(spark, tx.word_count, text) == len(text.split())
+    assert one(spark, tx.trim_unicode, " \x1c a 　\x85") == "a"
