@@ -24,8 +24,8 @@ BLOCK_ROWS = 2048
 #: Most rows and bytes of an Arrow batch, and of the slices that are worked on at once; texts may be long.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
-#: Bits of a filter.
-FILTER_BITS = 1 << 24
+#: Bits of a filter: at least, for each value that is held, and at most (4 million rows of two numbers).
+FILTER_BITS, FILTER_EACH, FILTER_MOST = 1 << 24, 16, 1 << 28
 #: A node with over this share of the ends of all edges is a hub; there are at most twice as many as it goes into 1.
 HUB_SHARE = 1 / 512
 #: Edges of a partition while components are found.
@@ -81,13 +81,14 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most
             at = to
 
 
-def filtered(rows: DataFrame, held: DataFrame, names: list[str], column: str) -> DataFrame:
+def filtered(rows: DataFrame, held: DataFrame, names: list[str], column: str, count: int = 0) -> DataFrame:
     """rows with a boolean column: false only where the names' values (not null) aren't among those of held.
 
-    The filter is broadcast: it has at most FILTER_BITS / 64 rows of two numbers, whatever the input. Where
-    held has more rows than that, it lets more through.
+    The filter is broadcast: its bits grow with the number of values that held has, if that is given, from FILTER_BITS
+    to FILTER_MOST; it has at most a 64th of that many rows of two numbers. Beyond that it lets more through.
     """
-    place, bit = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS)), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(names)}), 64L) as int))")
+    size = min(max(FILTER_BITS, 1 << (count * FILTER_EACH).bit_length()), FILTER_MOST)
+    place, bit = F.pmod(F.xxhash64(*names), F.lit(size)), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(names)}), 64L) as int))")
     bits = held.groupBy(F.floor(place / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
     met = rows.join(F.broadcast(bits), F.floor(place / 64) == F.col("_word"), "left")
     return met.withColumn(column, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
