@@ -32,11 +32,12 @@ from lexispark.session import remove, scratch
 
 #: Bytes of the digest that key the state; bytes of input in one micro-batch.
 KEY_BYTES, TRIGGER_BYTES = 16, 1 << 40
-#: Settings of the state store; memory is bounded for each executor, whatever the number of partitions.
+#: Settings of the state store: memory is bounded for each executor, and no disk is set aside ahead for each partition's store.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 EMPTY = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 
