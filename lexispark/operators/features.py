@@ -1,7 +1,7 @@
 """Most frequent words, relative frequencies, standard scores, and nearest neighbours by mean absolute difference.
 
 Words are counted per document first; those short rows are what gets shuffled. Vectors are arrays in the order of the
-vocabulary, which has a fixed number of words. Distances are taken between blocks of test and of train rows.
+vocabulary, which has a fixed number of words. Nearest rows are found through a pivot index.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
-from lexispark.session import cut
+from lexispark.session import cut, ship
 
-#: Rows of a block of vectors.
-BLOCK = 512
+#: Rows of a lane of vectors; rows of the sample that gives pivots and first bounds.
+BLOCK, SAMPLE = 512, 4096
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -38,11 +38,11 @@ def vocabulary(counts: DataFrame, n: int = 100) -> DataFrame:
 def frequencies(docs: DataFrame, counts: DataFrame, vocab: DataFrame, per: float = 1000.0) -> DataFrame:
     """(doc_ord, freq): occurrences per 1,000 words of each vocabulary word, in its order; zeros for a text without words."""
     words = [r["word"] for r in vocab.orderBy("rank").collect()]  # a fixed number of words
-    size = F.size(tx.letter_tokens(F.col("text"))).cast("double")
-    own = counts.where(F.col("word").isin(words)).groupBy("doc_ord").agg(F.map_from_entries(F.collect_list(F.struct("word", "cnt"))).alias("m"))
+    known = F.when(F.col("word").isin(words), F.struct("word", "cnt"))
+    own = counts.groupBy("doc_ord").agg(F.sum("cnt").alias("total"), F.map_from_entries(F.collect_list(known)).alias("m"))
     every = F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
-    joined = docs.select("doc_ord", size.alias("total")).join(own, "doc_ord", "left")
-    freq = F.transform(every, lambda w: F.when(F.col("total") > 0, F.coalesce(F.try_element_at("m", w), F.lit(0)) * F.lit(per) / F.col("total")).otherwise(F.lit(0.0)))
+    joined = docs.select("doc_ord").join(own, "doc_ord", "left")
+    freq = F.transform(every, lambda w: F.coalesce(F.try_element_at("m", w) * F.lit(per) / F.col("total"), F.lit(0.0)))
     return joined.select("doc_ord", freq.alias("freq"))
 
 
@@ -60,37 +60,141 @@ def standardize(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(one), F.lit(True)).select("doc_ord", z.alias("z"))
 
 
-def _blocks(rows: DataFrame, ident: str, vec: str, n: int) -> DataFrame:
-    b = F.pmod(F.xxhash64("doc_ord"), F.lit(n)).alias("b")
-    return rows.select(b, F.struct("doc_ord", "z").alias("r")).groupBy("b").agg(F.collect_list("r").alias("r")).select(F.col("b").alias(ident), F.col("r").alias(vec))
+def matrix(column: pa.Array) -> np.ndarray:
+    """A row for each list; all lists are equally long."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean absolute differences of each two rows."""
+    return np.stack([np.abs(b - v).mean(axis=1) if b.shape[1] else np.zeros(len(b)) for v in a]) if len(a) else np.zeros((0, len(b)))
+
+
+@dataclass
+class PivotIndex:
+    """An exact index of train rows (doc_ord, z) for the mean absolute difference, which is a metric.
+
+    Each train row belongs to the cell of its nearest pivot, and in it to a ring by the distance from that pivot. By the triangle
+    inequality a query row is no nearer to any row of a cell than its distances from the pivots lie outside the
+    cell's intervals of such distances, and no nearer to a ring than the same for the ring. What a query has to beat
+    is the distance of its kth nearest row of a sample. Cells whose bound is over that are never met.
+
+    The sample (SAMPLE rows by hash) gives the pivots too, each the farthest from those before; there are as many as the
+    square root of the rows over 4, from 4 to 128, so intervals and sample are small enough for the driver and each task.
+    """
+
+    pivots: np.ndarray
+    sample: np.ndarray
+    low: np.ndarray  # cells x pivots
+    high: np.ndarray
+    rings: np.ndarray
+    rows: DataFrame  # cell, ring, doc_ord, z
+
+    @staticmethod
+    def build(train: DataFrame, total: int) -> PivotIndex | None:
+        """total: the number of rows; none for an empty table."""
+        ship(train.sparkSession)
+        found = train.select("doc_ord", "z", F.xxhash64("doc_ord").alias("h")).orderBy("h", "doc_ord").limit(SAMPLE).toArrow()
+        if not found.num_rows:
+            return None
+        sample = matrix(found.column("z").combine_chunks())
+        near, chosen = np.full(len(sample), np.inf), [0]
+        while len(chosen) < min(len(sample), max(4, min(128, int(total**0.5 / 4)))):
+            near = np.minimum(near, distances(sample[chosen[-1:]], sample)[0])
+            if near.max() <= 0:
+                break
+            chosen.append(int(near.argmax()))
+        pivots = sample[chosen]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                d = distances(matrix(b.column(1)), pivots)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * len(pivots)), pa.array(d.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.argmin(axis=1).astype(np.int32)), flat], names=["doc_ord", "z", "cell", "d"])
+
+        # A table or a checkpoint is read twice: for the intervals, and for the rows.
+        placed = train.select("doc_ord", "z").mapInArrow(run, "doc_ord long, z array<double>, cell int, d array<double>")
+        ends = [f(F.col("d")[i]).alias(f"{n}{i}") for i in range(len(pivots)) for n, f in (("a", F.min), ("b", F.max))]
+        stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *ends).toArrow()
+        n, shape = np.zeros(len(pivots), np.int64), (len(pivots), len(pivots))
+        low, high, at = np.full(shape, np.inf), np.full(shape, -np.inf), stats.column("cell").to_numpy()
+        n[at] = stats.column("n").to_numpy()
+        for i in range(len(pivots)):
+            low[at, i], high[at, i] = stats.column(f"a{i}").to_numpy(), stats.column(f"b{i}").to_numpy()
+        rings = np.maximum(1, -(-n // BLOCK))
+        own = [np.where(n > 0, x[np.arange(len(n)), np.arange(len(n))], 0.0) for x in (low, high)]
+        of = lambda values: F.element_at(F.array(*(F.lit(v.item()) for v in values)), F.col("cell") + 1)
+        width = F.greatest(of(own[1]) - of(own[0]), F.lit(1e-300))
+        ring = F.least(F.floor((F.element_at("d", F.col("cell") + 1) - of(own[0])) / width * of(rings)), of(rings) - 1).cast("int")
+        return PivotIndex(pivots, sample, low, high, rings, placed.select("cell", ring.alias("ring"), "doc_ord", "z"))
+
+    def visits(self, test: DataFrame, k: int) -> DataFrame:
+        """(cell, ring, doc_ord, z): each test row beside the rings that may hold one of its k nearest rows."""
+        pivots, sample, low, high, rings = self.pivots, self.sample, self.low, self.high, self.rings
+        cell = np.repeat(np.arange(len(rings)), rings)
+        ring = np.arange(len(cell)) - np.repeat(np.cumsum(rings) - rings, rings)
+        lo, hi = low.diagonal()[cell], high.diagonal()[cell]
+        step = (hi - lo) / rings[cell]
+        ring_low, ring_high = lo + ring * step, lo + (ring + 1) * step
+        slack = 2e-9  # distances are rounded to nine places
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = matrix(b.column(1))
+                d = distances(rows, pivots)
+                for i in range(0, len(rows), 64):
+                    own = d[i : i + 64]
+                    most = np.sort(distances(rows[i : i + 64], sample), axis=1)[:, k - 1] if len(sample) >= k else np.full(len(own), np.inf)
+                    apart = np.maximum(low[None] - own[:, None], own[:, None] - high[None]).max(axis=2)[:, cell]
+                    near = own[:, cell]
+                    apart = np.maximum(apart, np.maximum(ring_low - near, near - ring_high))
+                    q, r = np.nonzero(apart <= most[:, None] + slack)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[r].astype(np.int32)), pa.array(ring[r].astype(np.int32)), b.column(0).take(pa.array(q + i)), b.column(1).take(pa.array(q + i))], names=["cell", "ring", "doc_ord", "z"])
+
+        return test.select("doc_ord", "z").mapInArrow(run, "cell int, ring int, doc_ord long, z array<double>")
+
+
+def pairs_met(test: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:
+    """One row (met, every): how many pairs nearest() computes, and how many there are."""
+    n = train.count()
+    index = PivotIndex.build(train, n)
+    every = (F.lit(n).cast("long") * F.lit(test.count())).alias("every")
+    if index is None:
+        return train.agg(F.lit(0).cast("long").alias("met")).select("met", every)
+    sizes = index.rows.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))
+    seen = index.visits(test, k).groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("m"))
+    return seen.join(sizes, ["cell", "ring"]).agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("met")).select("met", every)
 
 
 def nearest(test: DataFrame, train: DataFrame, k: int = 1) -> DataFrame:
     """(doc_ord, place, delta, neighbour): the k nearest train rows by mean absolute difference (rounded to nine places), then by id.
 
-    A query set is held against all rows, block by block: each block of test rows meets each block of train rows in
-    one place, and only the k best of each meeting go on. The inputs are counted and read twice, so they should be
-    tables or checkpoints.
+    Exact, by a PivotIndex: test rows go only to rings that may hold one of their nearest rows. A ring's rows are dealt
+    to lanes of about BLOCK rows, and so are the test rows that meet it; only the k best of each meeting go on. The inputs are counted and
+    read several times, so they should be tables or checkpoints.
     """
-    nt, nr = (max(1, -(-df.count() // BLOCK)) for df in (test, train))
-    left = _blocks(test, "tb", "t", nt).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
-    met = left.join(_blocks(train, "rb", "r", nr), "rb").select("t", "r")
-
-    def rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        flat = column.flatten()
-        ids = flat.field(0).to_numpy(zero_copy_only=False)
-        return ids, flat.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    m, n = test.count(), train.count()
+    index = PivotIndex.build(train, n)
+    if index is None:
+        return test.sparkSession.createDataFrame([], "doc_ord long, place int, delta double, neighbour long")
+    sizes = index.rows.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lanes"))
+    rows = F.collect_list(F.struct("doc_ord", "z"))
+    lane = F.pmod(F.xxhash64("doc_ord"), F.col("lanes")).cast("int").alias("lane")
+    there = index.rows.join(sizes, ["cell", "ring"]).select("cell", "ring", lane, "doc_ord", "z").groupBy("cell", "ring", "lane").agg(rows.alias("r"))
+    part = F.pmod(F.xxhash64("doc_ord"), F.lit(max(1, -(-m // BLOCK)))).alias("part")
+    here = index.visits(test, k).select("cell", "ring", part, "doc_ord", "z").groupBy("cell", "ring", "part").agg(rows.alias("t"))
+    here = here.join(sizes, ["cell", "ring"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    met = here.join(there, ["cell", "ring", "lane"]).select("t", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(batch.num_rows):
-                (ti, tv), (ri, rv) = (rows(batch.column(c).slice(n, 1)) for c in (0, 1))
+            for i in range(batch.num_rows):
+                (ti, tv), (ri, rv) = ((x.field(0).to_numpy(zero_copy_only=False), matrix(x.field(1))) for x in (batch.column(c).slice(i, 1).flatten() for c in (0, 1)))
                 order = np.argsort(ri, kind="stable")
                 ri, rv = ri[order], rv[order]
-                d = np.stack([np.round(np.abs(rv - v).mean(axis=1), 9) if rv.shape[1] else np.zeros(len(ri)) for v in tv])
+                d = np.round(distances(tv, rv), 9)
                 best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                m = best.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ti, m)), pa.array(np.take_along_axis(d, best, axis=1).ravel()), pa.array(ri[best].ravel())], names=["doc_ord", "delta", "neighbour"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ti, best.shape[1])), pa.array(np.take_along_axis(d, best, axis=1).ravel()), pa.array(ri[best].ravel())], names=["doc_ord", "delta", "neighbour"])
 
     found = met.mapInArrow(run, "doc_ord long, delta double, neighbour long")
     best = Window.partitionBy("doc_ord").orderBy("delta", "neighbour")

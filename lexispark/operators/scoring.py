@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
 from lexispark.operators import chunks, features
-from lexispark.session import cut
+from lexispark.session import cut, ship
 
 #: Most authors that a model may have.
 MOST_LABELS = 10_000
@@ -58,37 +58,46 @@ def logits(docs: DataFrame, model: DataFrame, size: int, stride: int, least: int
     held = F.when(lowest <= highest, F.sequence(lowest, highest).cast("array<int>"))  # strides over the size leave gaps
     per = known.select("doc_ord", F.explode(held).alias("chunk_ix"), "word")
     counted = per.groupBy("doc_ord", "chunk_ix", "word").agg(F.count(F.lit(1)).alias("cnt")).join(F.broadcast(table), "word")
-    each = counted.select("doc_ord", "chunk_ix", "cnt", F.posexplode("logps").alias("i", "logp"))
-    sums = each.groupBy("doc_ord", "chunk_ix", "i").agg((F.sum(F.col("cnt") * F.col("logp")) / F.sum("cnt")).alias("logit"))
-    found = sums.groupBy("doc_ord", "chunk_ix").agg(F.map_from_entries(F.collect_list(F.struct("i", "logit"))).alias("m"))
+    # At most as many rows for a window as the vocabulary has words; their arrays are added up where they meet.
+    words = counted.groupBy("doc_ord", "chunk_ix").agg(F.collect_list(F.struct("cnt", "logps")).alias("w"), F.sum("cnt").alias("n"))
+    none = F.transform(order, lambda a: F.lit(0.0))
+    sums = F.aggregate("w", none, lambda total, x: F.zip_with(total, x["logps"], lambda t, p: t + p * x["cnt"]))
+    found = words.select("doc_ord", "chunk_ix", F.transform(sums, lambda t: t / F.col("n")).alias("m"))
     spans = chunks.spans(docs.select("doc_ord", "text"), size, stride, least).select("doc_ord", "chunk_ix")
     spans = spans.where(F.col("chunk_ix") < first) if first else spans
-    full = F.transform(order, lambda a, i: F.struct(a.alias("author_pred"), F.coalesce(F.try_element_at("m", i), F.lit(0.0)).alias("logit")))
+    full = F.transform(order, lambda a, i: F.struct(a.alias("author_pred"), F.coalesce(F.get("m", i), F.lit(0.0)).alias("logit")))
     return spans.join(found, ["doc_ord", "chunk_ix"], "left").select("doc_ord", "chunk_ix", full.alias("scores"))
 
 
 def leave_one_work_out(docs: DataFrame, n: int = 200) -> DataFrame:
     """(author, title, pred): each work scored by the model of all other works; the vocabulary is that of all.
 
-    A work's own counts are taken off its author's, so there is one pass over the texts, whatever the number of works.
+    A work's words meet the table of log-counts by author, which has a row for each word of the vocabulary, and are added
+    up as arrays; only its own author's score is then corrected for the work's own counts. There is one pass over the
+    texts and no row for each work and author.
     """
     counts = cut(features.word_counts(docs))
     words = [r["word"] for r in features.vocabulary(counts, n).orderBy("word").collect()]
-    every = F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
-    long = counts.where(F.col("word").isin(words)).join(docs.select("doc_ord", "author", "title"), "doc_ord")
-    dense = lambda g: F.transform(every, lambda w: F.coalesce(F.try_element_at(g, w), F.lit(0)))
-    pairs = lambda *by: long.groupBy(*by, "word").agg(F.sum("cnt").alias("cnt")).groupBy(*by).agg(dense(F.map_from_entries(F.collect_list(F.struct("word", "cnt")))).alias("v"))
-    authors = docs.select("author").distinct()
-    ranked = authors_of(authors)
-    zero = F.transform(every, lambda w: F.lit(0).cast("long"))
-    full = authors.join(pairs("author"), "author", "left").select(F.col("author").alias("pred"), F.coalesce("v", zero).alias("all"))
-    works = docs.select("author", "title").distinct().join(pairs("author", "title"), ["author", "title"], "left").withColumn("own", F.coalesce("v", zero)).drop("v")
-    met = works.withColumn("pred", F.explode(F.array(*(F.lit(a) for a in ranked)))).join(full, "pred")
-    rest = met.withColumn("rest", F.zip_with("all", "own", lambda a, o: a - F.when(F.col("author") == F.col("pred"), o).otherwise(0) + 1))
-    rest = rest.withColumn("total", F.aggregate("rest", F.lit(0).cast("long"), lambda x, y: x + y))
-    score = F.aggregate(F.zip_with("own", "rest", lambda o, r: o * F.ln(r / F.col("total"))), F.lit(0.0), lambda x, y: x + y)
-    least = F.min(F.struct((-F.round(score, 6)).alias("k"), "pred"))
-    return rest.groupBy("author", "title").agg(least.alias("r")).select("author", "title", "r.pred")
+    works = docs.select("author", "title").distinct()
+    ranked = authors_of(works)
+    order = F.array(*(F.lit(a) for a in ranked)) if ranked else F.array().cast("array<string>")
+    own = cut(counts.where(F.col("word").isin(words)).join(docs.select("doc_ord", "author", "title"), "doc_ord").groupBy("author", "title", "word").agg(F.sum("cnt").alias("cnt")))
+    by = own.groupBy("author", "word").agg(F.sum("cnt").alias("all"))
+    # Both tables are bounded: a row for each word with a number for each author, and one row of totals.
+    table = by.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("author", "all"))).alias("m"))
+    table = table.select("word", F.transform(order, lambda a: F.coalesce(F.try_element_at("m", a), F.lit(0))).alias("all"))
+    held = {r["author"]: r["n"] for r in by.groupBy("author").agg(F.sum("all").alias("n")).collect()}
+    totals = F.array(*(F.lit(held.get(a, 0) + len(words)) for a in ranked)) if ranked else F.array().cast("array<bigint>")
+    place = F.array_position(order, F.col("author")).cast("int")
+    met = own.join(F.broadcast(table), "word").groupBy("author", "title").agg(F.collect_list(F.struct("cnt", "all")).alias("w"), F.sum("cnt").alias("own"))
+    met = works.join(met, ["author", "title"], "left").withColumn("i", place).withColumn("own", F.coalesce("own", F.lit(0)))
+    # Without the work, its author's counts are less by the work's own.
+    log = lambda x, i, a: F.ln(a - F.when(F.col("i") == i + 1, x["cnt"]).otherwise(0) + 1)
+    none = F.transform(order, lambda a: F.lit(0.0))
+    sums = F.aggregate(F.coalesce("w", F.array()), none, lambda total, x: F.zip_with(total, F.transform(x["all"], lambda a, i: x["cnt"] * log(x, i, a)), lambda t, p: t + p))
+    scores = F.zip_with(sums, F.transform(totals, lambda t, i: F.col("own") * F.ln(t - F.when(F.col("i") == i + 1, F.col("own")).otherwise(0))), lambda s, t: s - t)
+    ranks = F.zip_with(scores, order, lambda s, a: F.struct((-F.round(s, 6)).alias("k"), a.alias("pred")))
+    return met.select("author", "title", F.array_min(ranks)["pred"].alias("pred"))
 
 
 def softmax(array: Column) -> Column:
@@ -127,4 +136,5 @@ def score_with(windows: DataFrame, score: Callable[[list[str]], tuple[list[str],
             pred, sure = score([" ".join(t) for t in pdf["tokens"]])
             yield pd.DataFrame({"doc_ord": pdf["doc_ord"], "chunk_ix": pdf["chunk_ix"], "pred": pred, "confidence": sure})
 
+    ship(windows.sparkSession)
     return windows.select("doc_ord", "chunk_ix", "tokens").mapInPandas(run, "doc_ord long, chunk_ix int, pred string, confidence double")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.plans import attribution, base, cleaning, eda, extensions, files
+from lexispark.plans import attribution, base, cleaning, eda, extensions, files, training
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,4 +22,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.nearest_authors(spark, sf_dir)
 
 
-__all__ = ["attribution", "cleaning", "eda", "entry", "extensions", "files", "oracle_sql", "queries"]
+__all__ = ["attribution", "cleaning", "eda", "entry", "extensions", "files", "oracle_sql", "queries", "training"]
