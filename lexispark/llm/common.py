@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark import session
 from lexispark.session import cut, shared_dir
 
 __all__ = ["block_pairs", "connected_components", "cut", "dealt", "filtered", "forest", "group_runs", "group_starts", "map_batches", "nearest_forest", "shared_dir", "ship", "text_batches", "with_blocks"]
@@ -37,22 +33,11 @@ def ship(spark: SparkSession) -> None:
 
     The limits of batches stay set in the session, as they are read when a job runs; smaller ones are left as they are.
     """
-    sc: SparkContext = spark.sparkContext
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    if getattr(sc, "_lexispark_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    name = Path(tempfile.mkdtemp(prefix="lexispark-")) / "lexispark.zip"
-    name.write_bytes(held.getvalue())
-    sc.addPyFile(str(name))  # served by the driver; executors fetch it from there
-    sc._lexispark_shipped = True
+    session.ship(spark)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
