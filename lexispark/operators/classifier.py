@@ -32,8 +32,8 @@ class Config:
     """Parameters of a training run."""
 
     epochs: int = 3
-    batches: int = 4
-    rate: float = 0.05
+    batches: int = 8
+    rate: float = 0.3
     decay: float = 0.01
     warmup: int = 2
     patience: int = 3
