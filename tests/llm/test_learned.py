@@ -1,6 +1,7 @@
 """Toxicity and quality classifiers: held-out accuracy and edge cases."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -197,8 +198,8 @@ def test_samples_are_bounded_whatever_ids_repeat(spark, monkeypatch):
     real = quality_classifier.co_train
     monkeypatch.setattr(quality_classifier, "co_train", lambda views, y, surest: (seen.append(len(y)), real(views, y, surest))[1])
     taught = []
-    train = toxicity.train
-    monkeypatch.setattr(toxicity, "train", lambda docs, y: (taught.append(len(docs)), train(docs, y))[1])
+    fitted = toxicity.fitted
+    monkeypatch.setattr(toxicity, "fitted", lambda spark, docs, y: (taught.append(len(docs)), fitted(spark, docs, y))[1])
     quality_classifier.fit(docs, labels)
     toxicity.fit(docs, labels)
     ids = {r[0] for r in docs.select("doc_id").collect()} & {r[0] for r in labels.groupBy("doc_id").agg(F.countDistinct("toxic").alias("n")).where("n = 1").collect()}
@@ -218,8 +219,8 @@ def test_convolution_by_loops(labelled):
         pooled = []
         for width, f, b in zip(toxicity.WIDTHS, model.filters, model.biases, strict=True):
             for n in range(toxicity.FILTERS):
-                best = max(sum(sum(x[at + k][d] * float(f[k][d][n]) for d in range(toxicity.DIM)) for k in range(width)) + float(b[n]) for at in range(len(x) - toxicity.REACH))
-                pooled.append(max(best, 0.0))
+                found = sorted((sum(sum(x[at + k][d] * float(f[k][d][n]) for d in range(toxicity.DIM)) for k in range(width)) + float(b[n]) for at in range(len(x) - toxicity.REACH)), reverse=True)
+                pooled += [max(v, 0.0) for v in (found + [0.0] * toxicity.TOP)[: toxicity.TOP]]
         logit = sum(a * float(b) for a, b in zip(pooled, model.out, strict=True)) + model.bias
         want = 1 / (1 + math.exp(-max(-40, min(40, model.slope * logit + model.shift))))
         assert model.scores([toxicity.word_ids(text)])[0] == pytest.approx(want, abs=1e-5)
@@ -228,7 +229,7 @@ def test_convolution_by_loops(labelled):
         y = np.array([float(s > 0.45) if rng.random() > noise else float(rng.random() < 0.5) for s in score])
         order = sorted(range(200), key=lambda i: -score[i])
         good = [score[order[n]] for n in range(200) if sum(y[i] for i in order[: n + 1]) / (n + 1) >= toxicity.PRECISION]
-        assert toxicity.lowest(score, y) == min(toxicity.CUT, max(toxicity.FLOOR, good[-1] if good else toxicity.CUT))
+        assert toxicity.lowest(score, y) == (min(toxicity.CEILING, max(toxicity.FLOOR, good[-1])) if good else toxicity.CUT)
 
 
 def test_toxicity_calibration_reaches_its_optimum(labelled):
@@ -238,7 +239,12 @@ def test_toxicity_calibration_reaches_its_optimum(labelled):
     ids = [toxicity.word_ids(r["text"]) for r in docs.limit(200).collect()]
     z = model.logits(ids)
     y = (rng.random(200) < 1 / (1 + np.exp(-z))).astype(float)
-    toxicity.calibrate(model, ids, y, ["en"] * 200, 0.7)
+    toxicity.calibrate(model, z, y, [["en", "fr", None][i % 3] for i in range(200)], 0.7)
+    score = 1 / (1 + np.exp(-(model.slope * z + model.shift)))
+    assert set(model.thresholds) == {"en", "fr"} and model.threshold(None) == model.threshold("de") == model.overall == toxicity.lowest(score, y)
+    own = toxicity.lowest(score[::3], y[::3])
+    share = y[::3].sum() / (y[::3].sum() + toxicity.SHRINK)
+    assert model.thresholds["en"] == pytest.approx(share * own + (1 - share) * model.overall)
     n = y.sum()
     t = [(n + 1) / (n + 2) if v else 1 / (200 - n + 2) for v in y]
     p = [1 / (1 + math.exp(-(model.slope * v + model.shift - 0.7))) for v in z]
@@ -253,7 +259,29 @@ def test_a_very_long_labelled_text_does_not_end_the_sample(labelled, monkeypatch
     first = labels.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
     long = docs.where(F.col("doc_id") != first).union(spark.createDataFrame([(first, "w1 " * 30_000, "en", "s", 1)], docs.schema))
     seen = []
-    real = toxicity.train
-    monkeypatch.setattr(toxicity, "train", lambda d, y: (seen.append(len(d)), real(d, y))[1])
+    real = toxicity.fitted
+    monkeypatch.setattr(toxicity, "fitted", lambda spark, d, y: (seen.append(len(d)), real(spark, d, y))[1])
     toxicity.fit(long, labels)
     assert seen[0] > 100
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_of_the_test_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.digest(docs.repartition(4), labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    toxic = out[out.toxic == 1]
+    assert toxic.predicted.mean() >= 0.85 and out[out.toxic == 0].predicted.mean() <= 0.01
+    by = toxic.groupby("lang").predicted.agg(["mean", "size"])
+    assert (by[by["size"] >= 10]["mean"] >= 0.7).all() and toxic.rejected.mean() >= 0.85 and out[out.toxic == 0].rejected.mean() <= 0.01
+
+
+def test_top_ranks_and_their_gradient():
+    """Ranks are the same whatever pieces a text is taken in."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 1 << 15, n) << 16 | rng.integers(0, 1 << 15, n) for n in (0, 1, 2, 7, 40)]
+    model = toxicity.train(docs * 8, np.array([0.0, 1, 0, 1, 0] * 8))
+    whole = model.pooled(docs)
+    for piece in (1, 2, 3, 10):
+        assert np.allclose(model.pooled(docs, piece), whole, atol=1e-6)
+    ranks = whole.reshape(len(docs), -1, toxicity.TOP)
+    assert (np.diff(ranks, axis=2) <= 0).all() and (ranks[1, :, 1:] == 0).all()
