@@ -55,9 +55,13 @@ def roles(pages: DataFrame) -> DataFrame:
     own = own.withColumn("payload_digest", F.sha1(F.col("html").cast("binary"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
     # Large payloads with a copy; the join is on a digest, of which AQE splits the frequent ones.
     again = own.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    out = own.join(again.where("n > 1").drop("n"), "payload_digest", "left")
+    again = common.cut(again.where("n > 1").drop("n"))
+    columns = ("page_id", "url", "html", "payload_digest", "payload_bytes")
+    # Only payloads that may have a copy are shuffled; the others are responses where they are.
+    marked = common.filtered(own, again, ["payload_digest"], "again", again.count())
+    out = marked.where("again").join(again, "payload_digest", "left")
     refers = F.when(F.col("payload_bytes") >= LEAST_REVISIT, F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
-    return out.select("page_id", "url", "html", "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    return marked.where(~F.col("again")).select(*columns, F.lit(None).cast("long").alias("refers_to")).union(out.select(*columns, refers.alias("refers_to")))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -100,21 +104,29 @@ def archive(records: list[bytes]) -> bytes:
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int]]:
-    """Start and end of each Zstandard frame, from block headers; skippable frames are passed over."""
+    """Start and end of each Zstandard frame, from block headers; skippable frames are passed over.
+
+    Each step goes on by some bytes and is checked against the end, so any file is read to its end or to an error.
+    """
     at = 0
     while at < len(data):
         magic = int.from_bytes(data[at : at + 4], "little")
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+            end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+            if at + 8 > len(data) or end > len(data):
+                raise ValueError(f"the skippable frame at byte {at} is cut off")
+            at = end
             continue
         if data[at : at + 4] != FRAME_MAGIC:
             raise ValueError(f"no frame at byte {at}")
-        end = at + zstd.frame_header_size(data[at : at + 18])
-        while True:
+        size = at + 4 < len(data) and zstd.frame_header_size(data[at : at + 18])
+        end, last = at + (size or len(data)), False
+        while not last:
+            if end + 3 > len(data):
+                raise ValueError(f"the frame at byte {at} is cut off")
             head = int.from_bytes(data[end : end + 3], "little")
             end += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
-            if head & 1:
-                break
+            last = bool(head & 1)
         end += 4 * bool(data[at + 4] & 4)
         if end > len(data):
             raise ValueError(f"the frame at byte {at} is cut off")
@@ -126,7 +138,10 @@ def dictionary(data: bytes) -> zstd.ZstdCompressionDict | None:
     """The dictionary of the leading skippable frame; it may be compressed itself."""
     if len(data) < 8 or int.from_bytes(data[:4], "little") != SKIPPABLE:
         return None
-    raw = data[8 : 8 + int.from_bytes(data[4:8], "little")]
+    size = int.from_bytes(data[4:8], "little")
+    raw = data[8 : 8 + size]
+    if len(raw) < size:
+        raise ValueError("the dictionary is cut off")
     if raw[:4] == FRAME_MAGIC:
         raw = zstd.ZstdDecompressor().decompressobj().decompress(raw)
     if raw[:4] != DICT_MAGIC:

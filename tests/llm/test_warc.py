@@ -1,7 +1,9 @@
 """Archives there and back, and broken ones."""
 
 import hashlib
+import random
 import struct
+import time
 
 import pytest
 import zstandard as zstd
@@ -86,3 +88,39 @@ def test_cut_off_files_say_so():
     got = list(warc.records(data[:-5]))
     assert [r.error for r in got[:2]] == [None, None] and "cut off" in got[2].error
     assert list(warc.records(b"junk"))[0].error
+
+
+def cut_files():
+    """A small file, one of a record of several blocks, one with a skippable frame and one with a dictionary."""
+    small = warc.archive([warc.record(i, "u", b"x" * i, hashlib.sha1(b"x" * i).hexdigest(), None) for i in range(2)])
+    noise = bytes(random.Random(1).randbytes(400_000))
+    several = warc.archive([warc.record(1, "u", noise, hashlib.sha1(noise).hexdigest(), None)])
+    skipped = struct.pack("<II", 0x184D2A50, 9) + b"123456789" + small
+    trained = warc.archive([warc.record(i, "u", f"body {i} ".encode() * 900, hashlib.sha1(f"body {i} ".encode() * 900).hexdigest(), None) for i in range(40)])
+    return {"small": (small, 1), "several": (several, 7919), "skipped": (skipped, 1), "trained": (trained, 97)}
+
+
+@pytest.mark.parametrize("name", ["small", "several", "skipped", "trained"])
+def test_every_cut_ends(name):
+    """A file cut anywhere gives fewer records or an error, and soon."""
+    data, step = cut_files()[name]
+    whole = list(warc.records(data))
+    assert not any(r.error for r in whole)
+    bounds = {0, *(b for _, b in warc.frames(data))} | ({17} if name == "skipped" else {8 + struct.unpack("<I", data[4:8])[0]} if name == "trained" else set())
+    began = time.time()
+    for at in {*range(0, len(data), step), *range(min(len(data), 40)), len(data) - 1}:
+        got = list(warc.records(data[:at]))
+        assert len(got) <= len(whole) and (got and got[-1].error) or at in bounds, at
+        assert [r.page_id for r in got if not r.error] == [r.page_id for r in whole[: len(got) - bool(got and got[-1].error)]]
+    assert time.time() - began < 60
+
+
+def test_damaged_bytes_end():
+    data = bytearray(cut_files()["trained"][0])
+    rng = random.Random(3)
+    began = time.time()
+    for _ in range(300):
+        bad = bytearray(data)
+        bad[rng.randrange(len(bad))] ^= 1 << rng.randrange(8)
+        assert len(list(warc.records(bytes(bad)))) <= 60
+    assert time.time() - began < 60
