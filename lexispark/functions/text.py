@@ -146,15 +146,6 @@ def percent(x: Column) -> Column:
     return F.format_string("%.2f%%", x * 100)
 
 
-def tei_body(t: Column) -> Column:
-    """The body of a TEI document as text: without tags, words joined that a hyphen parts at a line's end, entities of markup resolved."""
-    body = F.regexp_extract(t, r"(?s)<body(?:\s[^<>]*+)?>(.*?)</body>", 1)
-    plain = F.regexp_replace(F.regexp_replace(body, r"<[^<>]*+>", ""), r"-\n[ \t]*+", "")
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(c))
-    return plain
-
-
 def title(t: Column) -> Column:
     """Each run of letters with its first letter in upper case and the others in lower case."""
     words = F.regexp_extract_all(t, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
+from lexispark.operators import ranking
 
 
 def bounds(n: str, size: int, stride: int, least: int) -> str:
@@ -39,3 +40,29 @@ def chunk(docs: DataFrame, size: int = 512, stride: int = 256, least: int = 64,
     keep = [c for c in docs.columns if c != "text"]
     cut = docs.select(*keep, tokenizer(F.col("text")).alias("_tokens"))
     return cut.select(*keep, F.inline(windows("_tokens", size, stride, least)))
+
+
+def across(docs: DataFrame, work: list[str], volume: str, size: int = 512, stride: int = 256, least: int = 64, tokenizer=tx.space_tokens) -> DataFrame:
+    """(work, chunk_ix, start_pos, n_tokens, tokens): windows over the works' texts, whose volumes follow one another.
+
+    A volume's place in its work is a running total of token counts. Each volume cuts its own part out of the windows
+    that it touches; windows that lie in one volume are done with that, and only the parts of the others are shuffled.
+    No work is gathered in a row. A volume's number should be unique in its work.
+    """
+    counted = docs.select(*work, volume, F.size(tokenizer(F.col("text"))).cast("long").alias("_n"))
+    placed = ranking.running(counted, work, [F.col(volume)], {"_end": F.col("_n")})
+    own = docs.select(*work, volume, tokenizer(F.col("text")).alias("_tokens")).join(placed, [*work, volume])
+    at = F.col("_end") - F.col("_n")
+    last = F.greatest(F.lit(0), F.ceil((F.col("_end_total") - size) / F.lit(float(stride)))).cast("long")
+    first = F.greatest(F.lit(0), F.floor((at - size) / F.lit(float(stride))).cast("long") + 1)
+    final = F.least(last, F.floor((F.col("_end") - 1) / F.lit(float(stride))).cast("long"))
+    met = own.where("_n > 0").withColumn("_at", at).withColumn("_k", F.explode(F.when(first <= final, F.sequence(first, final))))
+    start = F.col("_k") * stride
+    held = F.least(F.lit(size), F.col("_end_total") - start)
+    low = F.greatest(F.lit(0), start - F.col("_at"))
+    part = F.slice("_tokens", (low + 1).cast("int"), (F.least(F.col("_n"), start + size - F.col("_at")) - low).cast("int"))
+    parts = met.select(*work, volume, F.col("_k").cast("int").alias("chunk_ix"), start.alias("start_pos"), held.cast("int").alias("n_tokens"), part.alias("tokens")).where(F.col("n_tokens") >= max(least, 1))
+    key = [*work, "chunk_ix", "start_pos", "n_tokens"]
+    whole = parts.where(F.size("tokens") == F.col("n_tokens")).select(*key, "tokens")
+    edges = parts.where(F.size("tokens") < F.col("n_tokens")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(volume, "tokens"))).alias("_parts"))
+    return whole.unionByName(edges.select(*key, F.flatten(F.col("_parts.tokens")).alias("tokens")))

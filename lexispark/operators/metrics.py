@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexispark.operators import ranking
+
 
 def accuracy(rows: DataFrame) -> DataFrame:
     """One row: total, correct, accuracy (0 with no rows)."""
@@ -109,3 +111,25 @@ def debut_verdict(acc: Column) -> Column:
 def against_baseline(acc: Column, baseline: float = 0.8) -> Column:
     d = acc - F.lit(baseline)
     return F.when(d > 0, "better").when(d < 0, "worse").otherwise("same")
+
+
+def roc(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, threshold, hits, misses, tpr, fpr, right, wrong): for each score of a group, rows with a score of it or more.
+
+    rows: the columns by, score, positive (boolean). Equal scores (to nine places) are one point; a rate without rows is 0.
+    right and wrong are the point's own rows.
+    """
+    one = lambda c: F.sum(c.cast("long"))
+    points = rows.groupBy(*by, F.round("score", 9).alias("threshold")).agg(one(F.col("positive")).alias("right"), one(~F.col("positive")).alias("wrong"))
+    sums = ranking.running(points, by, [F.desc("threshold")], {"hits": F.col("right"), "misses": F.col("wrong")})
+    zero = F.lit(0.0)
+    return sums.select(*by, "threshold", "hits", "misses", F.coalesce(F.try_divide("hits", "hits_total"), zero).alias("tpr"), F.coalesce(F.try_divide("misses", "misses_total"), zero).alias("fpr"), "right", "wrong")
+
+
+def area(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, positives, negatives, auc): the exact area under the curve, ties by half; null without rows of both kinds."""
+    r = roc(rows, by)
+    # Of each negative the positives above it, and half of those beside it; in whole numbers.
+    twice = F.sum(F.col("wrong") * (2 * (F.col("hits") - F.col("right")) + F.col("right")).cast("decimal(38,0)"))
+    out = r.groupBy(*by).agg(F.sum("right").alias("positives"), F.sum("wrong").alias("negatives"), twice.alias("twice"))
+    return out.select(*by, "positives", "negatives", F.try_divide(F.col("twice").cast("double"), 2.0 * F.col("positives") * F.col("negatives")).alias("auc"))

@@ -126,20 +126,14 @@ def head(s: SparkSession, d: str) -> DataFrame:
 
 
 def _works_and_files(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All documents as works, and the texts of those with a label as the files that are there."""
+    """All documents as works, and the texts of all but the last one as the files that are there."""
     docs = spread(s.read.parquet(f"{d}/documents.parquet"))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path")
-    labels = s.read.parquet(f"{d}/labels.parquet").select("doc_id")
-    return docs.select("doc_id", F.col("lang").alias("author"), path), docs.join(labels, "doc_id", "left_semi").select(path, "text")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    return docs.select("doc_id", F.col("lang").alias("author"), path), docs.where(F.col("doc_id") < last).select(path, "text")
 
 
-_LISTED = "works AS (SELECT doc_id, lang AS author, source || '/' || doc_id || '.txt' AS file_path FROM documents), files AS (SELECT source || '/' || doc_id || '.txt' AS file_path, text FROM documents SEMI JOIN labels USING (doc_id))"
-
-
-@query("s05_j01_load", f"WITH {_LISTED} SELECT file_path, doc_id, author, length(text)::BIGINT AS n FROM works JOIN files USING (file_path)")
-def load(s: SparkSession, d: str) -> DataFrame:
-    works, files = _works_and_files(s, d)
-    return src.load_corpus(works, files).select("file_path", "doc_id", "author", F.length("text").cast("long").alias("n"))
+_LISTED = "works AS (SELECT doc_id, lang AS author, source || '/' || doc_id || '.txt' AS file_path FROM documents), files AS (SELECT source || '/' || doc_id || '.txt' AS file_path, text FROM documents WHERE doc_id < (SELECT max(doc_id) FROM documents))"
 
 
 @query("s16_j02_present", f"WITH {_LISTED} SELECT file_path, doc_id, author FROM works SEMI JOIN files USING (file_path)")

@@ -5,23 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.functions import tei
 from lexispark.functions import text as tx
 from lexispark.operators import chunks as ch
-from lexispark.operators import features, metrics, ranking, scoring, splits
+from lexispark.operators import components, features, metrics, ranking, scoring, splits, voices
 from lexispark.plans.attribution import _NEAR, _S, _chunks_sql, _probs, _rows, nearest_authors, split_docs
-from lexispark.plans.base import CORPUS, counts_sql, query, vocab_sql
+from lexispark.plans.base import CORPUS, SPACE, counts_sql, query, vocab_sql
 from lexispark.session import cut
 from lexispark.sources.corpus import corpus
 
 
-@query("x01_tei_body", r"SELECT doc_id, md5(regexp_replace(replace(text, 'e ', 'e-' || chr(10) || ' ' || chr(9)), '-\n[ \t]*', '', 'g')) AS digest FROM documents")
+@query("x01_tei_body", r"SELECT doc_id, md5(regexp_replace(replace(text, 'e ', 'e-' || chr(10) || ' ' || chr(9)), '-\n[ \t]*', '', 'g') || '<&]') AS digest, CASE WHEN doc_id = (SELECT max(doc_id) FROM documents) THEN 1 ELSE 0 END AS broken FROM documents")
 def tei_bodies(s: SparkSession, d: str) -> DataFrame:
-    """Documents wrapped in TEI markup, with tags inside and words parted at lines' ends, and their bodies."""
+    """Documents wrapped in TEI markup that sets traps: bodies in comments and headers, prefixes, CDATA, numeric references; the last one isn't closed."""
+    docs = corpus(s, d)
     inner = F.col("text")
-    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("e ", "e-\n \t"), ("o ", "o<lb n='1'/> ")):
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#x3E;"), ("e ", "e-\n \t"), ("o ", "o<lb n='1'/> "), ("a ", "<hi rend='>'>a</hi><!-- <body> --> ")):
         inner = F.replace(inner, F.lit(c), F.lit(entity))
-    wrapped = F.concat(F.lit('<TEI><teiHeader>x</teiHeader><text><body rend="a"><p>'), inner, F.lit("</p></body><back>y</back></text></TEI>"))
-    return corpus(s, d).select(F.col("doc_ord").alias("doc_id"), F.md5(tx.tei_body(wrapped).cast("binary")).alias("digest"))
+    head = """<?xml version="1.0"?><!DOCTYPE TEI [<!ENTITY x "</body>">]><!-- <body>no</body> --><tei:TEI xmlns:tei="u"><tei:teiHeader><body>x</body></tei:teiHeader><tei:text><tei:front>y</tei:front><tei:body rend="a>b"><p>"""
+    last = docs.agg(F.max("doc_ord")).first()[0]
+    end = F.when(F.col("doc_ord") == last, F.lit("</p>")).otherwise(F.lit("</p></tei:body><back>y</back></tei:text></tei:TEI>"))
+    wrapped = F.concat(F.lit(head), inner, F.lit("<![CDATA[<&]]]>"), end)
+    found = docs.select(F.col("doc_ord").alias("doc_id"), tei.tei_text(s, wrapped).alias("t"))
+    return found.select("doc_id", F.md5(F.col("t.body").cast("binary")).alias("digest"), F.col("t.error").isNotNull().cast("int").alias("broken"))
+
+
+_WORKS = rf"""vol AS (SELECT author, title, string_agg(text, ' ' ORDER BY doc_ord) AS text FROM corpus GROUP BY author, title),
+tok AS (SELECT author, title, regexp_extract_all(text, '[^{SPACE}]+') AS t FROM vol),
+win AS (SELECT author, title, k::INTEGER AS chunk_ix, k * 256 AS start_pos, t[k * 256 + 1 : k * 256 + 512] AS tokens FROM tok, unnest(generate_series(0, greatest(0, ceil((len(t) - 512) / 256::DOUBLE)::BIGINT))) g(k))"""
+
+
+@query("x02_volume_windows", f"WITH {CORPUS}, {_WORKS} SELECT author, title, chunk_ix, start_pos, len(tokens)::INTEGER AS n_tokens, md5(array_to_string(tokens, ' ')) AS digest FROM win WHERE len(tokens) >= 64")
+def volume_windows(s: SparkSession, d: str) -> DataFrame:
+    """Windows over works, whose documents are their volumes."""
+    w = ch.across(corpus(s, d).select("author", "title", "doc_ord", "text"), ["author", "title"], "doc_ord")
+    return w.select("author", "title", "chunk_ix", "start_pos", "n_tokens", F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
 @query(
@@ -128,3 +146,80 @@ SELECT author, title, pred FROM scored QUALIFY row_number() OVER (PARTITION BY a
 )
 def leave_one_work_out(s: SparkSession, d: str) -> DataFrame:
     return scoring.leave_one_work_out(cut(corpus(s, d)))
+
+
+#: Tokens of a window, cost of a change of author, in log-probability.
+VOICE, COST = 64, 8.0
+
+
+@query("x08_mixed_voices")
+def mixed_voices(s: SparkSession, d: str) -> DataFrame:
+    """Held-out documents spliced two and two, and the passages that are found in them, with the true boundary."""
+    docs = cut(split_docs(s, d))
+    model = cut(scoring.multinomial(docs.where("split = 'train'")))
+    order = F.md5(F.concat(F.lit("voices:"), F.col("doc_ord").cast("string")).cast("binary"))
+    held = docs.where("split = 'test'").withColumn("key", order)
+    ranks = ranking.running(held.select("doc_ord", "key"), [], [F.col("key"), F.col("doc_ord")], {"rank": F.lit(1)}).select("doc_ord", F.col("rank") - 1)
+    mixed = cut(voices.spliced(held.join(ranks.toDF("doc_ord", "rank"), "doc_ord"), "rank"))
+    scored = scoring.logits(mixed.select("doc_ord", "text"), model, VOICE, VOICE, 1)
+    # A mean by word, times the words that a window may hold.
+    sums = scored.select("doc_ord", "chunk_ix", F.transform("scores", lambda x: x["logit"] * VOICE).alias("logps"))
+    found = voices.passages(sums, scoring.authors_of(model), COST, VOICE)
+    return found.join(mixed.drop("text"), "doc_ord").select("doc_ord", "first_author", "second_author", "boundary", "passage", "author", "first_chunk", "last_chunk", "first_token")
+
+
+_SCORES = f"{_S}, sc AS (SELECT pr.author_pred AS author, round(prob, 9) AS k, t.author = pr.author_pred AS pos FROM pr JOIN test_docs t USING (doc_ord)), pt AS (SELECT author, k, sum(pos::INTEGER)::BIGINT AS p, sum((NOT pos)::INTEGER)::BIGINT AS n FROM sc GROUP BY author, k), run AS (SELECT *, sum(p) OVER w AS hits, sum(n) OVER w AS misses, sum(p) OVER (PARTITION BY author) AS np, sum(n) OVER (PARTITION BY author) AS nn FROM pt WINDOW w AS (PARTITION BY author ORDER BY k DESC ROWS UNBOUNDED PRECEDING))"
+
+
+def _truths(s: SparkSession, d: str) -> DataFrame:
+    """(author, score, positive): each author's probability of each window of works held out."""
+    probs, test = _probs(s, d)
+    rows = scoring.probability_rows(probs).join(test.select("doc_ord", F.col("author").alias("truth")), "doc_ord")
+    return rows.select(F.col("author_pred").alias("author"), F.col("prob").alias("score"), (F.col("truth") == F.col("author_pred")).alias("positive"))
+
+
+@query("x09_roc", f"WITH {_SCORES} SELECT author, count(*) AS points, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, round(sum(coalesce(hits / nullif(np, 0)::DOUBLE, 0)), 5) AS tpr, round(sum(coalesce(misses / nullif(nn, 0)::DOUBLE, 0)), 5) AS fpr FROM run GROUP BY author")
+def roc_curve(s: SparkSession, d: str) -> DataFrame:
+    """The curve of each author against the others, summed up over its points, as scores of equal rank differ in their last places."""
+    r = metrics.roc(_truths(s, d), ["author"])
+    return r.groupBy("author").agg(F.count(F.lit(1)).alias("points"), F.sum("hits").alias("hits"), F.sum("misses").alias("misses"), F.round(F.sum("tpr"), 5).alias("tpr"), F.round(F.sum("fpr"), 5).alias("fpr"))
+
+
+@query("x09_auc", f"WITH {_SCORES} SELECT author, sum(p)::BIGINT AS positives, sum(n)::BIGINT AS negatives, round(sum(n * (2 * (hits - p) + p))::DOUBLE / nullif(2.0::DOUBLE * sum(p) * sum(n), 0), 6) AS auc FROM run GROUP BY author")
+def areas(s: SparkSession, d: str) -> DataFrame:
+    """The area under each author's curve."""
+    return metrics.area(_truths(s, d), ["author"]).withColumn("auc", F.round("auc", 6))
+
+
+def _frequencies(s: SparkSession, d: str) -> DataFrame:
+    """Relative frequencies of the 100 most frequent words, with author and year."""
+    docs = corpus(s, d)
+    counts = cut(features.word_counts(docs))
+    freq = features.frequencies(docs, counts, features.vocabulary(counts, 100))
+    return cut(freq.join(docs.select("doc_ord", "author", "year"), "doc_ord"))
+
+
+@query("x13_components")
+def principal_components(s: SparkSession, d: str) -> DataFrame:
+    """Documents on the two leading components of their word frequencies, and the shares of variance of these."""
+    freq = _frequencies(s, d)
+    c = components.Components.fit(freq, "freq", 2)
+    place = c.project(F.col("freq"))
+    share = [float(v / c.total) if c.total else 0.0 for v in (*c.variances, 0.0, 0.0)][:2]
+    return freq.select("doc_ord", "author", F.round(F.get(place, F.lit(0)), 6).alias("first"), F.round(F.get(place, F.lit(1)), 6).alias("second"), F.lit(share[0]).alias("first_share"), F.lit(share[1]).alias("second_share"))
+
+
+@query(
+    "x13_similarity_over_time",
+    f"""WITH {CORPUS}, {counts_sql("corpus")}, {vocab_sql("wc", 100)},
+fx AS (SELECT t.doc_ord, v.rank, CASE WHEN len(t.t) > 0 THEN coalesce(wc.cnt, 0) * 1000.0::DOUBLE / len(t.t) ELSE 0 END AS freq FROM tok t CROSS JOIN vocab v LEFT JOIN wc ON wc.doc_ord = t.doc_ord AND wc.word = v.word),
+cen AS MATERIALIZED (SELECT author, (year // 10 * 10)::INTEGER AS decade, rank, avg(freq) AS x FROM fx JOIN corpus USING (doc_ord) GROUP BY ALL),
+nx AS (SELECT author, decade, lead(decade) OVER (PARTITION BY author ORDER BY decade) AS next_decade FROM (SELECT DISTINCT author, decade FROM cen))
+SELECT author, decade, next_decade, round(sum(a.x * b.x) / nullif(sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x)), 0), 6) AS similarity
+FROM nx JOIN cen a USING (author, decade) JOIN (SELECT author, decade AS next_decade, rank, x FROM cen) b USING (author, next_decade, rank) GROUP BY author, decade, next_decade""",
+)
+def similarity_over_time(s: SparkSession, d: str) -> DataFrame:
+    """Cosines of an author's word frequencies in a decade and in the next one."""
+    rows = _frequencies(s, d).withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("int"))
+    out = components.over_time(components.centroids(rows, ["author", "decade"], "freq"), ["author"], "decade")
+    return out.select("author", "decade", F.col("next_period").alias("next_decade"), F.round("similarity", 6).alias("similarity"))

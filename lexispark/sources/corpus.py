@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as tx
-from lexispark.session import spread
+from lexispark.session import ship, spread
 
 #: Columns of corpus metadata, in file order.
 METADATA = "author string, title string, year int, genre string, volume int, word_count int, source string, file_path string, notes string"
-#: What stands for "/" in the name of a written text's folder.
-FOLDED = "__"
 LABELS = "author_to_id map<string,int>, id_to_author map<string,string>"
 
 
@@ -23,16 +27,28 @@ def read_texts(spark: SparkSession, folder: str, bom: bool = True) -> DataFrame:
 def scan_texts(spark: SparkSession, folder: str, bom: bool = True) -> DataFrame:
     """(path, text, error) of all .txt files below a folder; a file that isn't UTF-8 has no text and says so in error.
 
-    Files that vanish or break while they are read are passed over, so one bad file doesn't end the scan; files of
-    no bytes have no row, as Spark's readers leave them out.
+    Files that vanish or break while they are read are passed over, so one bad file doesn't end the scan. Spark's
+    readers leave files of no bytes out: they are those of its listing that gave no row and are still there.
     """
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    files = found.format("binaryFile").load(folder).select("path", "content")
+    loaded = found.format("binaryFile").load(folder)
+    files = loaded.select("path", "content")
+    listed = [unquote(p) for p in loaded.inputFiles()]  # the names that the driver holds for any scan
+    none = spark.createDataFrame([(p,) for p in listed], "path string").join(loaded.select("path"), "path", "left_anti")
+    empty = [(r[0], bytearray()) for r in none.collect() if size_of(spark, r[0]) == 0] if listed else []
+    files = files.unionByName(spark.createDataFrame(empty, "path string, content binary")) if empty else files
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(valid, F.col("content").cast("string"))
     return files.select("path", (tx.strip_bom(text) if bom else text).alias("text"), F.when(~valid, "not UTF-8").alias("error"))
 
 
+def size_of(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a file; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.getFileStatus(at).getLen() if store.exists(at) else None
+
+
 def relative_path(path: Column, folder: str) -> Column:
     """The part of a path below the folder."""
     return F.substring_index(path, folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
@@ -52,6 +68,43 @@ def load_corpus(metadata: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(metadata, "file_path")
 
 
+def load_named(metadata: DataFrame, folder: str, bom: bool = True) -> DataFrame:
+    """The rows of metadata with text and error: each task opens the files below folder that its rows name in file_path.
+
+    A file that is missing, is not UTF-8 or can't be read gives its row with the error and no text, as does a null path or one
+    that leads out of the folder. Nothing is listed or joined, so only files that are named are read.
+    """
+    ship(metadata.sparkSession)
+    at, keep = metadata.columns.index("file_path"), metadata.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for b in batches:
+            for i, path in enumerate(b.column(at).to_pylist()):  # a row at a time, as a file may be large
+                text, error = None, None
+                try:
+                    with store.open_input_stream(f"{root.rstrip('/')}/{inner(path)}") as f:
+                        text = f.read().decode("utf-8-sig" if bom else "utf-8")
+                except FileNotFoundError:
+                    error = "missing"
+                except UnicodeDecodeError:
+                    error = "not UTF-8"
+                except (ValueError, OSError) as e:
+                    error = str(e)
+                yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([text], pa.string()), pa.array([error], pa.string())], names=[*b.schema.names, "text", "error"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string", "error string"])
+    return metadata.mapInArrow(run, schema)
+
+
+def inner(path: str | None) -> str:
+    """A path that stays below its folder."""
+    parts = (path or "").split("/")
+    if not path or path.startswith("/") or ".." in parts or parts[-1] in ("", "."):
+        raise ValueError("no path below the folder")
+    return path
+
+
 def present(works: DataFrame, files: DataFrame) -> DataFrame:
     """Works whose file is there."""
     return works.join(files.select("file_path"), "file_path", "left_semi")
@@ -74,14 +127,39 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_texts(texts: DataFrame, folder: str) -> None:
-    """A file for each row (columns file_path, text; each path once), in a folder that is named by its path. A line feed ends the file."""
-    named = F.regexp_replace("file_path", "/", FOLDED)
-    texts.select(named.alias("file"), "text").write.mode("overwrite").partitionBy("file").text(folder)
+    """A file below folder for each row, at its file_path, with the bytes of its text and no more; an empty text gives a file of no bytes, a null one none.
 
-
-def written_path(path: Column) -> Column:
+    Each task writes the files of its rows, under names of their own that are changed when they are whole, so a task that
+    runs again does no harm. Each path should occur once.
+    """
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        made: set[str] = set()
+        n = 0
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text is None:
+                    continue
+                name = f"{root.rstrip('/')}/{inner(path)}"
+                above = name.rpartition("/")[0]
+                if above not in made:
+                    store.create_dir(above, recursive=True)
+                    made.add(above)
+                own = f"{above}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as f:
+                    f.write(text.encode())
+                store.move(own, name)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    texts.select("file_path", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def written_path(path: Column, folder: str) -> Column:
     """The file_path that write_texts was given, from the path of the file."""
-    return F.regexp_replace(F.url_decode(F.regexp_extract(path, "/file=([^/]*)/[^/]*$", 1)), FOLDED, "/")
+    return relative_path(path, folder)
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """Files and tables there and back."""
 
 import pyspark.sql.functions as F
+import pytest
 
 from lexispark import session
 from lexispark.operators import splits
@@ -44,16 +45,38 @@ def test_bad_files_are_reported_and_passed_over(spark, tmp_path):
     (tmp_path / "empty.txt").write_bytes(b"")
     (tmp_path / "bad.txt").write_bytes(b"caf\xe9 \xff")
     rows = {r["path"].rsplit("/", 1)[-1]: (r["text"], r["error"]) for r in src.scan_texts(spark, str(tmp_path)).collect()}
-    assert rows == {"good.txt": ("fine é", None), "bad.txt": (None, "not UTF-8")}
-    assert src.read_texts(spark, str(tmp_path)).count() == 1
+    assert rows == {"good.txt": ("fine é", None), "bad.txt": (None, "not UTF-8"), "empty.txt": ("", None)}
+    assert src.read_texts(spark, str(tmp_path)).count() == 2
 
 
 def test_texts_there_and_back(spark, tmp_path):
-    texts = [("a/b c.txt", "one\ntwo"), ("é/100%.txt", ""), ("x.txt", "\ufeffmark")]
-    src.write_texts(spark.createDataFrame(texts, "file_path string, text string"), str(tmp_path / "out"))
-    back = src.read_texts(spark, str(tmp_path / "out"), bom=False)
-    got = {r[0]: r[1] for r in back.select(src.written_path(F.col("path")), "text").collect()}
-    assert got == {p: t + "\n" for p, t in texts}
+    texts = [("a/b c.txt", "one\ntwo"), ("é/100%.txt", ""), ("x.txt", "\ufeffmark"), ("a__b.txt", "under"), ("a/b.txt", "slash"), ("a/_b/c%20.txt", "\r\n"), ("none.txt", None)]
+    df = spark.createDataFrame(texts, "file_path string, text string").repartition(3)
+    folder = str(tmp_path / "out")
+    for _ in range(2):  # a second time over the first
+        src.write_texts(df, folder)
+        back = src.read_texts(spark, folder, bom=False)
+        assert {r[0]: r[1] for r in back.select(src.written_path(F.col("path"), folder), "text").collect()} == {p: t for p, t in texts if t is not None}
+    assert sum(p.is_file() for p in (tmp_path / "out").rglob("*")) == 6
+    for bad in ("../x.txt", "/x.txt", "a/", ""):
+        with pytest.raises(Exception, match="no path below the folder"):
+            src.write_texts(spark.createDataFrame([(bad, "t")], "file_path string, text string"), folder)
+
+
+def test_files_that_metadata_names(spark, tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/sub/one.txt").write_text("\ufeffone é", encoding="utf-8")
+    (tmp_path / "in/empty.txt").write_bytes(b"")
+    (tmp_path / "in/bad.txt").write_bytes(b"caf\xe9 \xff")
+    (tmp_path / "secret.txt").write_text("no")
+    names = ["sub/one.txt", "empty.txt", "bad.txt", "gone.txt", None, "../secret.txt", "sub", "sub/one.txt"]
+    works = spark.createDataFrame([(i, n, f"w{i}") for i, n in enumerate(names)], "id int, file_path string, `a.b` string").repartition(3)
+    rows = {r["id"]: r for r in src.load_named(works, str(tmp_path / "in")).collect()}
+    assert {i: r["text"] for i, r in rows.items() if r["error"] is None} == {0: "one é", 1: "", 7: "one é"}
+    assert rows[2]["error"] == "not UTF-8" and rows[3]["error"] == "missing" and rows[4]["error"] == rows[5]["error"] == "no path below the folder" and rows[6]["error"]
+    assert all(r["a.b"] == f"w{i}" for i, r in rows.items())
+    kept = src.load_named(works.where("id = 0"), f"file://{tmp_path}/in", bom=False).first()["text"]
+    assert kept == "\ufeffone é"
 
 
 def test_summary_file(spark, tmp_path):

@@ -41,8 +41,6 @@ def one(spark, f, text):
         (tx.special_ratio, "", None),
         (tx.special_ratio, "ab#é", 0.5),
         (lambda t: tx.thousands(F.lit(1234.9)), "", "1,234"),
-        (tx.tei_body, "<TEI><body rend='x'><p>a &lt;b&gt; &amp;amp; wo-\n  rd<lb/>s</p></body></TEI>", "a <b> &amp; words"),
-        (tx.tei_body, "<bodyguard>x</bodyguard>", ""),
         (tx.title, "o'brien MARY-ann 2nd élan", "O'Brien Mary-Ann 2Nd Élan"),
         (lambda t: tx.percent(F.lit(0.12345)), "", "12.35%"),
         (lambda t: tx.sample(t, 2), " a  b c", "a b"),
