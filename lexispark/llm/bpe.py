@@ -9,7 +9,8 @@ table of the worker. New chunks of a batch are encoded together: the symbols of
 flat array. Each round looks up all neighbouring pairs by binary search over the sorted pair keys, finds the
 lowest rank of each piece, and merges it, until no piece has a pair left. All places of that lowest rank are
 merged at once where no merge of a lower rank can come of it; else the leftmost only, which is the order of
-one merge at a time.
+one merge at a time. A piece of over LONG_PIECE characters is merged by itself: its places are kept by rank and linked to their neighbours,
+so that a round touches only the places that it merges.
 
 Defined cases: a null text counts as empty and has no tokens (n_tokens 0, both digests of the empty string);
 texts of any length are encoded whole; an empty table gives no rows; pairs of equal rank are merged from the left;
@@ -19,6 +20,7 @@ null ids stay; repeated rows are encoded alike; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import common
 
-#: Chunks that a worker remembers, and the longest one that it does.
-REMEMBERED, LONGEST = 400_000, 64
+#: Chunks that a worker remembers, and the longest one that it does; characters from which a piece is merged by itself.
+REMEMBERED, LONGEST, LONG_PIECE = 400_000, 64, 2000
 
 #: Lower case of letters that are newer than Python's tables: first, last, distance.
 NEWER_RUNS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
@@ -136,10 +138,75 @@ class Bpe:
         sym = sym[np.argsort(owner, kind="stable")]
         return sym, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pieces)))])
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece: rounds that touch only the places of the lowest rank, kept by rank, and their neighbours.
+
+        A round takes all places of its rank, or the first one where what it makes may be merged sooner; the array is never
+        gone through again, so time is nearly in proportion to the piece.
+        """
+        raw = np.frombuffer(piece, np.uint8)
+        sym, n, none = self.inner[raw], len(raw), len(self.made)
+        sym[-1] = self.last[raw[-1]]
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            key = left * self.width + right
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return np.where(self.keys[at] == key, self.ranks[at], none)
+
+        rank = np.append(ranks(sym[:-1], sym[1:]), none)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            own = rank[at]
+            at, own = at[own < none], own[own < none]
+            if not len(at):
+                return
+            order = np.argsort(own, kind="stable")
+            at, own = at[order], own[order]
+            bounds = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+            for lo, hi, r in zip(bounds, [*bounds[1:], len(at)], own[bounds].tolist(), strict=True):
+                if r not in places:
+                    heapq.heappush(heap, r)
+                places.setdefault(r, []).append(at[lo:hi])
+
+        put(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if self.at_once[r]:
+                # Of overlapping places every other one.
+                new = np.append(True, after[at[:-1]] != at[1:])
+                within = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+                at = at[within % 2 == 0]
+            elif len(at) > 1:
+                places[r] = [at[1:]]
+                heapq.heappush(heap, r)
+                at = at[:1]
+            gone = after[at]
+            beyond = after[gone]
+            sym[at], after[at], alive[gone], rank[gone] = self.made[r], beyond, False, none
+            before[beyond[beyond < n]] = at[beyond < n]
+            left = before[at]
+            changed = np.unique(np.concatenate([at, left[left >= 0]]))
+            right = after[changed]
+            rank[changed] = np.where(right < n, ranks(sym[changed], sym[np.minimum(right, n - 1)]), none)
+            put(changed)
+        return sym[alive]
+
     def learn(self, chunks: list[str]) -> None:
         """Finds ids and tokens of new chunks, by way of those of their new pieces."""
         cut = [self.cut(c) for c in chunks]
         fresh = list({p for pieces in cut for p in pieces if p not in self.pieces_known})
+        long = [p for p in fresh if len(p) > LONG_PIECE]
+        fresh = [p for p in fresh if len(p) <= LONG_PIECE]
+        for p in long:
+            sym = self.merge_long(p.encode("utf-8")).tolist()
+            self.pieces_known[p] = " ".join([self.id_text[i] for i in sym]), " ".join([self.token_text[i] for i in sym])
         if fresh:
             sym, bounds = self.merge([p.encode("utf-8") for p in fresh])
             sym, bounds = sym.tolist(), bounds.tolist()

@@ -1,14 +1,15 @@
 """Personal data, also where it is disguised, by offset-preserving normalisation.
 
 Plain detectors find email addresses, IP addresses, card numbers and phone numbers in the text as it is. Then
-a chain of transducers rewrites the text, each carrying for every character that it emits the span of source
-characters that it stands for: look-alike letters and digits of other scripts, zero-width characters, spelled
+a chain of transducers rewrites the text, each carrying the span of source
+characters that what it emits stands for: look-alike letters and digits of other scripts, zero-width characters, spelled
 digits ("four two"), and "at" and "dot" in words or brackets, also mixed with "@" and ".". A plain "at" before
 a plain domain is read as "@" only after a name with a dot, digit or underscore, as "look at x.org" is no
 address. The detectors run again on the rewritten text, and what they find is mapped back to source spans.
 Spans that lie within a plain span are dropped; plain spans stay.
 
-Detectors and transducers take time in proportion to the text: each run of digits, digit words or white space
+A tape keeps sorted arrays of its edits, and only the ends of what is found are mapped back, by binary search, so memory is in
+proportion to the edits. Detectors and transducers take time in proportion to the text: each run of digits, digit words or white space
 is looked at a few times at most, and addresses are grown from their "@".
 
 Defined cases: a null text counts as empty and has no spans (and stays null when redacted); an empty table
@@ -111,23 +112,68 @@ def _small(part: str) -> bool:
 
 @dataclass
 class Tape:
-    """A text with the source span of each character."""
+    """A text and where it differs from the source: places in the text and in the source by sorted arrays of edits.
+
+    text[new_start[n]:new_end[n]], a character or nothing, stands for source[old_start[n]:old_end[n]]; between edits the two are
+    equal, so a tape holds a few numbers for each edit and none for other characters.
+    """
 
     text: str
-    start: list[int]
-    end: list[int]
+    new_start: np.ndarray
+    new_end: np.ndarray
+    old_start: np.ndarray
+    old_end: np.ndarray
+
+    @staticmethod
+    def of(text: str) -> Tape:
+        none = np.zeros(0, np.int64)
+        return Tape(text, none, none, none, none)
+
+    def sources(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The source spans that characters first to last (inclusive) stand for; a character of an edit stands for all that it replaces."""
+        out = []
+        for at, end in ((first, False), (last, True)):
+            n = np.searchsorted(self.new_start, at, side="right") - 1
+            m = np.maximum(n, 0)
+            if not len(self.new_start):
+                out.append(at + end)
+                continue
+            within = (n >= 0) & (at < self.new_end[m])
+            # After an edit places are shifted by as much as its ends are apart.
+            plain = at + np.where(n >= 0, self.old_end[m] - self.new_end[m], 0) + end
+            out.append(np.where(within, self.old_end[m] if end else self.old_start[m], plain))
+        return out[0], out[1]
+
+    def untouched(self, places: list[int]) -> bool:
+        """Whether each of these characters stands for one of the source."""
+        start, end = self.sources(np.array(places, np.int64), np.array(places, np.int64))
+        return bool((end - start == 1).all())
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
-        """Puts new strings in place of spans; each new character stands for the whole span."""
+        """Puts new strings in place of spans of the text; each new character stands for the whole span."""
         if not edits:
             return self
-        text, start, end, at = [], [], [], 0
+        parts, at = [], 0
         for a, b, new in edits:
-            text += [self.text[at:a], new]
-            start += self.start[at:a] + [self.start[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
+            parts += [self.text[at:a], new]
             at = b
-        return Tape("".join([*text, self.text[at:]]), start + self.start[at:], end + self.end[at:])
+        start, end = (np.array([e[i] for e in edits], np.int64) for i in (0, 1))
+        size = np.array([len(e[2]) for e in edits], np.int64)
+        shift = np.cumsum(size - (end - start))
+        old_start, old_end = self.sources(start, end - 1)
+        # Earlier edits that no later one covers stay, at their new places.
+        n = np.searchsorted(start, self.new_start, side="right") - 1
+        m = np.maximum(n, 0)
+        stay = (n < 0) | (self.new_start >= end[m])
+        moved = np.where(n >= 0, shift[m], 0)[stay]
+        new_end = end + shift
+        # One row for each character that is put in, so that a later edit covers a row or does not; one for an edit that leaves nothing.
+        each = np.maximum(size, 1)
+        put = np.repeat(new_end - size, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        rows = np.concatenate([np.stack([put, put + np.repeat(size > 0, each), np.repeat(old_start, each), np.repeat(old_end, each)]), np.stack([self.new_start[stay] + moved, self.new_end[stay] + moved, self.old_start[stay], self.old_end[stay]])], axis=1)
+        # Of edits that left nothing, several may lie at one place: by the source.
+        rows = rows[:, np.lexsort((rows[2], rows[0]))]
+        return Tape("".join([*parts, self.text[at:]]), *rows)
 
 
 def plain_letter(c: str) -> str:
@@ -182,7 +228,7 @@ def worded(t: Tape) -> Tape:
     edits = []
     for m in _WORDED.finditer(t.text):
         dots = [(d.start(), d.end(), ".") for d in _DOT.finditer(t.text, *m.span(3))]
-        plain = not dots and all(t.end[i] - t.start[i] == 1 for i in range(*m.span(3)) if t.text[i] == ".")
+        plain = not dots and t.untouched([i for i in range(*m.span(3)) if t.text[i] == "."])
         if m[2] and (not plain or _NAMED.search(m[1])):
             edits.append((*m.span(2), "@"))
         if dots:
@@ -208,11 +254,12 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     base = detect(text)
     if not disguised(text):
         return base, base
-    every = list(range(len(text) + 1))
-    tape = at_and_dot(spelled_digits(look_alikes(Tape(text, every[:-1], every[1:]))))
+    tape = at_and_dot(spelled_digits(look_alikes(Tape.of(text))))
     if tape.text == text:
         return base, base
-    found = {Span(s.kind, tape.start[s.start], tape.end[s.end - 1]) for s in detect(tape.text)}
+    rewritten = detect(tape.text)
+    start, end = tape.sources(np.array([s.start for s in rewritten], np.int64), np.array([s.end - 1 for s in rewritten], np.int64))
+    found = {Span(s.kind, a, b) for s, a, b in zip(rewritten, start.tolist(), end.tolist(), strict=True)}
     by = {k: ([s.start for s in base if s.kind == k], [s.end for s in base if s.kind == k]) for k in KINDS}
     more = []
     for s in found:

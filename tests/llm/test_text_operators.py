@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -299,3 +300,44 @@ def test_quality_rules(spark, edge_docs, empty_docs):
     none = quality_rules.digest(edge_docs, labels.limit(0)).collect()
     assert len(none) == edge_docs.count() and all(r["score"] == 0 and r["kept"] != r["base_failed"] for r in none)
     assert quality_rules.digest(empty_docs, labels).count() == 0
+
+
+def test_tape_equals_lists():
+    """Places after several rewrites, against a source span for each character."""
+    rng = random.Random(1)
+    for _ in range(3000):
+        n = rng.randint(1, 30)
+        text, start, end = "".join(rng.choice("abcdefg") for _ in range(n)), list(range(n)), list(range(1, n + 1))
+        tape = pii.Tape.of(text)
+        for _ in range(4):
+            edits, at = [], 0
+            while at < len(text) and rng.random() < 0.8:
+                s = rng.randint(at, len(text) - 1)
+                e = rng.randint(s + 1, min(len(text), s + 4))
+                edits.append((s, e, "".join(rng.choice("XYZ") for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))))
+                at = e
+            tape = tape.rewrite(edits)
+            for s, e, new in reversed(edits):
+                text, start, end = text[:s] + new + text[e:], start[:s] + [start[s]] * len(new) + start[e:], end[:s] + [end[e - 1]] * len(new) + end[e:]
+            every = np.arange(len(text))
+            found = tape.sources(every, every)
+            assert tape.text == text and found[0].tolist() == start and found[1].tolist() == end
+
+
+def test_personal_data_in_a_very_long_text():
+    text = "some plain words here, nothing more. " * 250_000 + " jane (at) example dot com"
+    tracemalloc.start()
+    base, every = pii.spans(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert base == [] and [str(s) for s in every] == [f"email:{len(text) - 25}:{len(text)}"] and most < 12 * len(text)
+
+
+@pytest.mark.parametrize("letters, n", [("abcdefghijklmnopqrstuvwxyz", 30_000), ("a", 20_001), ("ab", 20_000), ("éü漢字พ", 8_000), ("ehst", 20_000), ("abcdefghijklmnopqrstuvwxyz", 1_000_000)])
+def test_long_pieces(letters, n):
+    rng = random.Random(n)
+    text = "".join(rng.choice(letters) for _ in range(n)) + " end"
+    began = time.time()
+    got = ENCODER.encode_batch([text])[0][0]
+    assert time.time() - began < 20
+    assert got == " ".join(map(str, LIBRARY.encode(text, add_special_tokens=False).ids))
