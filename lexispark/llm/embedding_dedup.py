@@ -40,8 +40,9 @@ from lexispark.llm import common
 COSINE = 0.98
 #: Pivots in a description, and how many must be shared.
 NEAREST, SHARED = 5, 3
-#: Fewest and most pivots (ten bits number one), vectors they are chosen from, and the cosine beyond which two are too near.
-PIVOTS, SAMPLE, APART = (64, 1024), 8192, 0.8
+#: Fewest pivots and most that BITS can number (for tables of a trillion vectors); vectors they are chosen from, at least and for each pivot; the cosine beyond which two are too near.
+BITS = 16
+PIVOTS, SAMPLE, EACH, APART = (64, 1 << BITS), 8192, 4, 0.8
 
 
 def pivot_count(n: int) -> int:
@@ -66,7 +67,17 @@ def hashed(vectors: DataFrame) -> DataFrame:
     # Zero has one sign.
     own = vectors.select(F.col("vec_id").cast("long"), "label", F.transform(e, lambda x: x + F.lit(0.0).cast(exact)).alias("e"), (sound & F.col("label").isNotNull()).alias("sound"))
     one = lambda *c: F.when(F.col("sound"), F.xxhash64(*c))
-    return own.select("vec_id", "label", "e", one("label", "e").alias("rid"), one(F.lit("other"), "label", "e").alias("other"))
+    return told_apart(own.select("vec_id", "label", "e", one("label", "e").alias("rid"), one(F.lit("other"), "label", "e").alias("other")))
+
+
+def told_apart(own: DataFrame) -> DataFrame:
+    """Rows of which some share rid and not other: these get an rid of both. They are few, by chance one pair in billions of vectors."""
+    mixed = own.where("rid is not null").groupBy("rid").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi")
+    found = common.cut(mixed.select(F.col("rid").alias("_rid")))
+    if found.isEmpty():
+        return own
+    met = own.join(found, F.col("rid") == F.col("_rid"), "left")
+    return met.withColumn("rid", F.when(F.col("_rid").isNotNull(), F.xxhash64("rid", "other", F.lit("apart"))).otherwise(F.col("rid"))).drop("_rid")
 
 
 def classes(own: DataFrame) -> DataFrame:
@@ -81,7 +92,7 @@ def choose_pivots(own: DataFrame) -> dict[int, np.ndarray]:
     some = own.where("rid is not null")
     n = pivot_count(some.count())
     by: dict[int, list] = {}
-    for r in some.select("rid", "e").orderBy("rid").limit(SAMPLE).collect():
+    for r in some.select("rid", "e").orderBy("rid").limit(max(SAMPLE, EACH * n)).collect():
         by.setdefault(len(r["e"]), []).append(r["e"])
     out = {0: np.array([n])}
     for k, rows in by.items():
@@ -136,10 +147,10 @@ def lists(distinct: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def packed(order: np.ndarray) -> np.ndarray:
-    """Sorted pivots as one number, ten bits for each."""
+    """Sorted pivots as one number, BITS for each."""
     out = np.zeros(len(order), np.int64)
     for i in range(order.shape[1]):
-        out = out << 10 | order[:, i]
+        out = out << BITS | order[:, i]
     return out
 
 
@@ -160,7 +171,7 @@ def _verify(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) ->
                 x = _units(column.take(pa.array(at)), k)
                 left, right = np.flatnonzero(b[at] == lo[s]), np.flatnonzero(b[at] == hi[s])
                 order = describe(x, pivots_of(pivots, k))
-                last = int(shared[at[0]]) & 1023
+                last = int(shared[at[0]]) & ((1 << BITS) - 1)
                 labels, n = np.arange(len(at)), np.zeros(len(at), np.int64)
                 for i in range(0, len(left), 256):
                     rows = left[i : i + 256]
