@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, MapType
 
 from lexispark import session
 from lexispark.session import cut, shared_dir
 
-__all__ = ["block_pairs", "connected_components", "cut", "dealt", "filtered", "forest", "group_runs", "group_starts", "map_batches", "nearest_forest", "shared_dir", "ship", "text_batches", "with_blocks"]
+__all__ = ["any_names", "block_pairs", "connected_components", "cut", "dealt", "filtered", "forest", "group_runs", "group_starts", "hashable", "map_batches", "nearest_forest", "shared_dir", "ship", "text_batches", "with_blocks"]
 
 #: Rows of one block when a group of candidates is compared in pieces.
 BLOCK_ROWS = 2048
@@ -66,6 +68,28 @@ def text_batches(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most
             at = to
 
 
+#: Columns of documents, which operators name.
+NAMED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def any_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on documents that returns their columns, for tables with further columns of any names: these go by place while it works."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        names = docs.columns
+        return operator(docs.toDF(*(c if c in NAMED else f"_more{i}" for i, c in enumerate(names))), *args, **named).toDF(*names)
+
+    return run
+
+
+def hashable(column: Column, kind: DataType) -> Column:
+    """The column, or what stands for it where it holds maps: entries in order, as a map has none."""
+    if isinstance(kind, MapType) and "map<" not in kind.keyType.simpleString() + kind.valueType.simpleString():
+        return F.array_sort(F.map_entries(column), lambda a, b: F.when(F.to_json(F.struct(a["key"])) < F.to_json(F.struct(b["key"])), -1).otherwise(1))
+    return F.to_json(F.struct(column)) if "map<" in kind.simpleString() else column
+
+
 def filtered(rows: DataFrame, held: DataFrame, names: list[str], column: str, count: int = 0) -> DataFrame:
     """rows with a boolean column: false only where the names' values (not null) aren't among those of held.
 

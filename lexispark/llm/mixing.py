@@ -127,6 +127,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * taken_times(end)).alias("taken"))
 
 
+@common.any_names
 def mix(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, a row for each time, with their columns, in order of finish time."""
     row = F.struct(*docs.columns)

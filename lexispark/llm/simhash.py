@@ -141,6 +141,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
     """(row, h1, h2): each row as a struct, and two hashes by which rows with other values are told apart."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(*own).alias("row")
+    own = [common.hashable(c, f.dataType) for c, f in zip(own, docs.schema, strict=True)]
     own += [c.isNull() for c in own]
     return docs.select(row, F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit("second"), *own).alias("h2"))
 
@@ -356,7 +357,7 @@ def similar_sets(ends: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFram
     ends = common.cut(ends.join(nodes.select("node", "least.h1", "least.h2"), "node"))
     if ends.isEmpty():
         return ends.select("node", F.lit(None).cast("binary").alias("set"))
-    likely = common.filtered(rows, ends, ["h1", "h2"], "likely").where("likely").select("h1", "h2", F.col("row.text").cast("string").alias("text"))
+    likely = common.filtered(rows, ends, ["h1", "h2"], "likely", ends.count()).where("likely").select("h1", "h2", F.col("row.text").cast("string").alias("text"))
     met = likely.join(ends, ["h1", "h2"]).dropDuplicates(["node"]).select("node", "text")
 
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -519,6 +520,7 @@ def digest(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return found.join(classes.join(named, "root").select("fp0", "component_id"), "fp0").select("doc_id", hexed, "component_id")
 
 
+@common.any_names
 def deduplicate(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -> DataFrame:
     """One document of each verified component, with its columns: the one with the smallest doc_id.
 
@@ -530,6 +532,6 @@ def deduplicate(docs: DataFrame, tables: tuple[tuple[int, int], ...] = TABLES) -
     kept = classes.groupBy("root").agg(F.min("least").alias("least")).select("least.h1", "least.h2")
     counted = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     lost = common.cut(counted.join(kept.withColumn("stays", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or stays is null"))
-    marked = common.filtered(rows, lost, ["h1", "h2"], "marked")
+    marked = common.filtered(rows, lost, ["h1", "h2"], "marked", lost.count())
     some = marked.where("marked").join(lost.where("stays is null"), ["h1", "h2"], "left_anti").dropDuplicates(["h1", "h2"])
     return marked.where("not marked").select("row.*").unionAll(some.select("row.*"))

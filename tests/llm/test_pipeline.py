@@ -77,3 +77,35 @@ def test_stages_take_empty_tables(spark, empty_docs):
         out = stage(spark, docs, DATA)
         assert out.count() == 0, name
         assert name == "bpe" or out.columns == docs.columns
+
+
+ODD_COLUMNS = {"a.b": "struct('x' AS v)", "back`tick": "array(1, 2)", "plain": "map('k', 1, 'j', 2)", "deep": "array(map('k', map('i', 1)))", "_more5": "1", "ROW": "cast(null as string)"}
+
+
+@pytest.mark.parametrize("n", range(4))
+def test_stages_take_any_column(spark, edge_docs, n):
+    """Dots, backticks, maps and names that operators use themselves."""
+    name, stage = corpus_pipeline.STAGES[n]
+    docs = edge_docs.select("doc_id", "text", "lang", "source", "n_chars").where("text is null or length(text) < 100000")
+    plain = Counter(map(repr, stage(spark, docs, DATA).select("doc_id", "text", "lang", "source").collect()))
+    odd = docs
+    for c, e in ODD_COLUMNS.items():
+        odd = odd.withColumn(c, F.expr(e))
+    out = stage(spark, odd, DATA)
+    assert out.columns == odd.columns and [f.dataType.simpleString() for f in out.schema] == [f.dataType.simpleString() for f in odd.schema]
+    rows = out.collect()
+    assert Counter(repr(r) for r in spark.createDataFrame(rows, out.schema).select("doc_id", "text", "lang", "source").collect()) == plain and len(rows) > 5
+    assert all(r["a.b"]["v"] == "x" and r["back`tick"] == [1, 2] and r["plain"] == {"k": 1, "j": 2} for r in rows)
+
+
+def test_folders_of_a_run_that_fails_are_deleted(spark, tmp_path, monkeypatch, edge_docs):
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "scratch", lambda s, n: (made.append(str(tmp_path / n)), f"file://{tmp_path / n}")[1])
+
+    def broken(spark, docs, sf_dir):
+        raise RuntimeError("stage")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda s, docs, d: docs), ("two", broken)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, DATA)
+    assert made and not os.path.exists(made[0])
