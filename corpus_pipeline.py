@@ -68,13 +68,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what each returns is written to the shared folder and read again, and deleted
-    when the next one is written. The last one's rows stay there, as the result reads them."""
+    when the next one is written; all are deleted where a stage fails. The last one's rows stay there, as the result reads them."""
     docs, folder, before = queries.table(spark, sf_dir, "documents"), scratch(spark, "pipeline"), None
-    for n, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{n}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
-        before = path
+    try:
+        for n, (name, stage) in enumerate(STAGES):
+            path = f"{folder}/{n}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
+    except BaseException:
+        remove(spark, folder)
+        raise
     return docs
