@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import subwords
 from lexispark.operators import chunks as ch
-from lexispark.operators import classifier
+from lexispark.operators import classifier, explanations
 from lexispark.plans.attribution import _chunks_sql, split_docs
 from lexispark.plans.base import SPLIT, query
 from lexispark.session import cut
@@ -44,6 +44,15 @@ def trained_predictions(s: SparkSession, d: str) -> DataFrame:
     return out.select("doc_ord", "chunk_ix", F.col("author").alias("truth"), "title", "pred", F.round("confidence", 6).alias("confidence"))
 
 
+@query("x12_explanations")
+def explained(s: SparkSession, d: str) -> DataFrame:
+    """The five words that count most for each prediction of the trained model on works held out: Shapley values."""
+    rows = cut(training_rows(s, d))
+    model = classifier.train(rows, ["doc_ord", "chunk_ix"])
+    out = explanations.explained(model, rows.where("split = 'test'"), ["doc_ord", "chunk_ix"])
+    return out.select("doc_ord", "chunk_ix", "pred", "word", *(F.round(c, 6).alias(c) for c in ("value", "spread", "worth")))
+
+
 @query(
     "e06_training_samples",
     f"""WITH {SPLIT}, {_chunks_sql("train_docs", *WINDOW).replace("chunks_tok AS", "train_docs AS (SELECT * FROM docs WHERE split = 'train' AND md5('validation:' || doc_ord) >= '2'), chunks_tok AS", 1)}

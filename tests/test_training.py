@@ -1,5 +1,6 @@
 """The trained classifier, word pieces, the pivot index: against loops, libraries and brute force."""
 
+import itertools
 import math
 import random
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from lexispark.functions import subwords
-from lexispark.operators import chunks, classifier, features, scoring
+from lexispark.operators import chunks, classifier, explanations, features, scoring
 from lexispark.plans import training
 
 
@@ -200,3 +201,61 @@ def test_nearest(spark, monkeypatch, case):
         assert shares[1] < shares[0] and shares[1] < 0.3
     empty = b.limit(0)
     assert features.nearest(a, empty).count() == 0 == features.nearest(empty, b).count()
+
+
+def worth_of(words, features, held, weight):
+    """The worth of a set of players, from its features alone."""
+    n = len(words)
+    own = [features[i] for i in range(n) if words[i] in held] + [features[n + i] for i in range(n - 1) if words[i] in held and words[i + 1] in held]
+    return sum(own.count(f) ** 0.5 * weight[f] for f in set(own)) / len(own) ** 0.5 if own else 0.0
+
+
+def exact_values(words, features, weight):
+    players = max(words) + 1
+    out = np.zeros(players)
+    for p in range(players):
+        rest = [q for q in range(players) if q != p]
+        for k in range(players):
+            share = math.factorial(k) * math.factorial(players - k - 1) / math.factorial(players)
+            for held in itertools.combinations(rest, k):
+                out[p] += share * (worth_of(words, features, {*held, p}, weight) - worth_of(words, features, set(held), weight))
+    return out
+
+
+def test_shapley_values():
+    """Gains of every permutation give the exact values; a few are near them and add up to the whole."""
+    rng = np.random.default_rng(3)
+    weight = rng.normal(size=9)
+    words = [0, 1, 2, 1, 3, 4, 0]
+    features = rng.integers(0, 8, 13).tolist()
+    exact = exact_values(words, features, weight)
+    every = np.mean([explanations.gains(words, features, list(o), weight) for o in itertools.permutations(range(5))], axis=0)
+    assert np.allclose(every, exact)
+    eight, features = list(range(8)), rng.integers(0, 8, 15).tolist()
+    exact = exact_values(eight, features, weight)
+    value, spread = explanations.shapley(eight, features, weight, 400, [1])
+    assert np.allclose(value.sum(), worth_of(eight, features, set(eight), weight)) and (np.abs(value - exact) < 5 * spread + 1e-9).all() and spread.max() < 0.1
+    few = explanations.shapley(eight, features, weight, 2, [1])[0]
+    assert np.allclose(few.sum(), exact.sum())
+
+
+def test_explanations_add_up(spark, windows):
+    model = classifier.train(windows, ["doc_ord"], classifier.Config(epochs=2, batches=2, bits=8, rate=0.2))
+    test = windows.where("split = 'test'")
+    rows = explanations.explained(model, test, ["doc_ord"], pairs=3, top=0).collect()
+    scored = {r["doc_ord"]: r for r in model.scored(test).collect()}
+    tokens = {r["doc_ord"]: r["tokens"] for r in test.collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r["doc_ord"], []).append(r)
+    assert set(by) == {d for d, t in tokens.items() if t}
+    for d, own in by.items():
+        assert sum(r["value"] for r in own) == pytest.approx(own[0]["worth"], abs=1e-9) and {r["word"] for r in own} == set(tokens[d]) and own[0]["pred"] == scored[d]["pred"]
+        # A softmax's log-probabilities are logits but for a constant.
+        logs = np.log(scored[d]["probs"])
+        best = int(np.argmax(logs))
+        bias = explanations.margin(model.weights, best)[-1]
+        assert own[0]["worth"] == pytest.approx(logs[best] - np.delete(logs, best).mean() - bias, abs=1e-6)
+    assert rows and {r["word"][0] for r in rows if abs(r["value"]) > 0.3} <= set("abcw")
+    assert sorted(map(repr, explanations.explained(model, test.repartition(2), ["doc_ord"], pairs=3, top=0).collect())) == sorted(map(repr, rows))
+    assert explanations.explained(model, test, ["doc_ord"], top=2).groupBy("doc_ord").count().where("count > 2").isEmpty()
