@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,17 +36,31 @@ def strip_bom(t: Column) -> Column:
     return F.regexp_replace(t, "\\A\ufeff", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_boilerplate(t: Column) -> Column:
     """The text between the markers. Patterns are tried in their order; both ends are looked for in the whole text.
 
-    Each marker holds a word that has one spelling in lower case, so texts without it are only trimmed.
+    Each marker holds a word that has one spelling in lower case, so texts without it are only trimmed. A text and its
+    markers are each found once.
     """
-    start = F.coalesce(*(F.regexp_substr(t, F.lit("(?iud)" + p)) for p in START_PATTERNS))
-    stop = F.coalesce(*(F.regexp_substr(t, F.lit("(?iud)" + p)) for p in END_PATTERNS))
-    # Nothing equal to the leftmost match stands before it.
-    begin = F.coalesce(F.instr(t, start) - 1 + F.length(start), F.lit(0))
-    end = F.coalesce(F.instr(t, stop) - 1, F.length(t))
-    return trim_unicode(F.when(has_marker(t), F.substring(t, begin + 1, F.greatest(end - begin, F.lit(0)))).otherwise(t))
+
+    def between(t: Column) -> Column:
+        start = F.coalesce(*(F.regexp_substr(t, F.lit("(?iud)" + p)) for p in START_PATTERNS))
+        stop = F.coalesce(*(F.regexp_substr(t, F.lit("(?iud)" + p)) for p in END_PATTERNS))
+
+        def cut(m: Column) -> Column:
+            # Nothing equal to the leftmost match stands before it.
+            begin = F.coalesce(F.instr(t, m["start"]) - 1 + F.length(m["start"]), F.lit(0))
+            end = F.coalesce(F.instr(t, m["stop"]) - 1, F.length(t))
+            return F.substring(t, begin + 1, F.greatest(end - begin, F.lit(0)))
+
+        return F.when(has_marker(t), let(F.struct(start.alias("start"), stop.alias("stop")), cut)).otherwise(t)
+
+    return trim_unicode(let(t, between))
 
 
 def strip_literal_markers(t: Column) -> Column:

@@ -28,7 +28,8 @@ def scan_texts(spark: SparkSession, folder: str, bom: bool = True) -> DataFrame:
     """(path, text, error) of all .txt files below a folder; a file that isn't UTF-8 has no text and says so in error.
 
     Files that vanish or break while they are read are passed over, so one bad file doesn't end the scan. Spark's
-    readers leave files of no bytes out: they are those of its listing that gave no row and are still there.
+    readers leave files of no bytes out: they are those of its listing that gave no row and are still there. Files
+    and folders whose names begin with "_" or "." are hidden from those readers; load_named opens such files.
     """
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     loaded = found.format("binaryFile").load(folder)
@@ -75,7 +76,9 @@ def load_named(metadata: DataFrame, folder: str, bom: bool = True) -> DataFrame:
     that leads out of the folder. Nothing is listed or joined, so only files that are named are read.
     """
     ship(metadata.sparkSession)
-    at, keep = metadata.columns.index("file_path"), metadata.schema
+    names = metadata.columns
+    own = metadata.toDF(*(f"_{i}" for i in range(len(names))))  # whatever the columns' names
+    at = names.index("file_path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
@@ -93,8 +96,8 @@ def load_named(metadata: DataFrame, folder: str, bom: bool = True) -> DataFrame:
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([text], pa.string()), pa.array([error], pa.string())], names=[*b.schema.names, "text", "error"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "text string", "error string"])
-    return metadata.mapInArrow(run, schema)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in own.schema), "text string", "error string"])
+    return own.mapInArrow(run, schema).toDF(*names, "text", "error")
 
 
 def inner(path: str | None) -> str:

@@ -50,14 +50,16 @@ def test_bad_files_are_reported_and_passed_over(spark, tmp_path):
 
 
 def test_texts_there_and_back(spark, tmp_path):
-    texts = [("a/b c.txt", "one\ntwo"), ("é/100%.txt", ""), ("x.txt", "\ufeffmark"), ("a__b.txt", "under"), ("a/b.txt", "slash"), ("a/_b/c%20.txt", "\r\n"), ("none.txt", None)]
+    texts = [("a/b c.txt", "one\ntwo"), ("é/100%.txt", ""), ("x.txt", "\ufeffmark"), ("a__b.txt", "under"), ("a/b.txt", "slash"), ("a/b/c%20.txt", "\r\n"), ("a/_hidden.txt", "h"), ("none.txt", None)]
     df = spark.createDataFrame(texts, "file_path string, text string").repartition(3)
     folder = str(tmp_path / "out")
     for _ in range(2):  # a second time over the first
         src.write_texts(df, folder)
         back = src.read_texts(spark, folder, bom=False)
-        assert {r[0]: r[1] for r in back.select(src.written_path(F.col("path"), folder), "text").collect()} == {p: t for p, t in texts if t is not None}
-    assert sum(p.is_file() for p in (tmp_path / "out").rglob("*")) == 6
+        assert {r[0]: r[1] for r in back.select(src.written_path(F.col("path"), folder), "text").collect()} == {p: t for p, t in texts if t is not None and "_hidden" not in p}
+    assert sum(p.is_file() and not p.name.endswith(".crc") for p in (tmp_path / "out").rglob("*")) == 7
+    named = src.load_named(df.select("file_path"), folder, bom=False)
+    assert {r[0]: r[1] for r in named.select("file_path", "text").collect()} == dict(texts)
     for bad in ("../x.txt", "/x.txt", "a/", ""):
         with pytest.raises(Exception, match="no path below the folder"):
             src.write_texts(spark.createDataFrame([(bad, "t")], "file_path string, text string"), folder)
