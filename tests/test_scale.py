@@ -129,9 +129,12 @@ def test_gains_of_many_orders():
         assert explanations.gains_of(words, found, orders, weight) == pytest.approx(np.array(want))
 
 
-def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    asked, size_of = [], src.size_of
+    monkeypatch.setattr(src, "size_of", lambda s, path: asked.append(path) or size_of(s, path))
     for i in range(1500):
         (tmp_path / f"{i}.txt").write_text("x" * (i % 5))
     rows = src.read_texts(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
     assert {r["path"].rsplit("/", 1)[-1]: len(r["text"]) for r in rows.collect()} == {f"{i}.txt": i % 5 for i in range(1500)}
+    assert len(asked) == 300  # only those of no bytes
