@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +289,62 @@ def test_top_ranks_and_their_gradient():
         assert np.allclose(model.pooled(docs, piece), whole, atol=1e-6)
     ranks = whole.reshape(len(docs), -1, toxicity.TOP)
     assert (np.diff(ranks, axis=2) <= 0).all() and (ranks[1, :, 1:] == 0).all()
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows of a label than any bound that there was, and a text of over 300,000 words."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("w1 w2 "), F.when(F.col("id") % 10 == 0, "vile scum").otherwise(F.concat(F.lit("x"), F.col("id") % 50))).alias("text"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 7, F.expr("repeat('w1 w2 ', 155000)")).otherwise(F.col("text")))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    seen, fitted, counted, calibrate = [], toxicity.fitted, [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "fitted", lambda s, d, y: (seen.append(len(d)), fitted(s, d, y))[1])
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, z, y, langs, odds, n=None: (counted.append((len(y) if n is None else n.sum(), odds)), calibrate(m, z, y, langs, odds, n))[1])
+    model = toxicity.fit(docs, labels)
+    assert seen == [6000] and counted[0] == (6000, 0.0)
+    clean, toxic = model.scores([toxicity.word_ids("w1 w2 x3"), toxicity.word_ids("w1 w2 vile scum")])
+    assert toxic >= toxicity.CUT > clean
+
+
+def test_toxicity_of_several_shards(labelled, monkeypatch):
+    """Shards are learnt from in tasks of their own and averaged: reruns agree, however the rows lie, and held-out rows are told apart."""
+    docs, labels = labelled
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    known = labels.where(~toxicity.held_out())
+    one, other = (toxicity.fit(x, known) for x in (docs, docs.repartition(5, F.rand(1))))
+    assert (one.table == other.table).all() and (one.out == other.out).all()
+    held = toxicity.score(docs, one, ["doc_id"]).toDF("doc_id", "score", "threshold").join(labels, "doc_id").where(toxicity.held_out()).toPandas()
+    assert held[held.toxic == 1].score.mean() > held[held.toxic == 0].score.mean() + 0.3
+
+
+def test_averages_of_shards_by_loops():
+    learners = [toxicity.Learner(1) for _ in range(3)]
+    base = toxicity.Learner(1)
+    rng = np.random.default_rng(8)
+    for n, own in enumerate(learners):
+        own.learn([rng.integers(0, 3000, 9) << 16 | rng.integers(0, 3000, 9) for _ in range(40)], np.arange(40) % 2.0, np.arange(n * 10, 40))
+    rows = [r for n, own in enumerate(learners) for r in toxicity._changed(0, n, base, own)]
+    for block in {r[1] for r in rows}:
+        table = pa.Table.from_pylist([dict(zip(toxicity._STATE_ARROW.names, r, strict=True)) for r in rows[::-1] if r[1] == block], schema=toxicity._STATE_ARROW)
+        [got] = toxicity._mean((pa.scalar(0), pa.scalar(block)), table).to_pylist()
+        if block < 0:
+            assert np.allclose(np.frombuffer(got["numbers"]), sum(x.numbers() for x in learners) / 3)
+            continue
+        places = np.frombuffer(got["places"], np.int32).tolist()
+        for at, numbers in zip(places, np.frombuffer(got["numbers"], np.float32).reshape(-1, toxicity.DIM + 1), strict=True):
+            met = [x for x in learners if x.seen[at] != base.seen[at] or (x.model.table[at] != base.model.table[at]).any()]
+            assert np.allclose(numbers[:-1], sum(x.model.table[at] for x in met) / len(met), atol=1e-6) and np.allclose(numbers[-1], sum(x.seen[at] for x in met) / len(met), atol=1e-6)
+        assert places == sorted(i for i in range(block * toxicity.BLOCK, min((block + 1) * toxicity.BLOCK, len(base.seen))) if any(x.seen[i] != base.seen[i] for x in learners))
+
+
+def test_tops_are_the_same_in_pieces():
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 1 << 15, n) << 16 | rng.integers(0, 1 << 15, n) for n in (0, 1, 2, 7, 40, 3)]
+    model = toxicity.train(docs * 8, np.array([0.0, 1, 0, 1, 0, 1] * 8))
+    flat, bounds = toxicity.joined(docs)
+    values, places = model.tops(flat, bounds)
+    for piece in (1, 2, 5, 12):
+        found, at = model.tops(flat, bounds, piece)
+        assert np.allclose(found, values, atol=1e-6)
+        # Places count where there is a value; those of ties may differ by rounding only.
+        real = np.moveaxis(values.reshape(len(docs), len(toxicity.WIDTHS), toxicity.FILTERS, toxicity.TOP), (1, 3), (0, 1)) > 0
+        assert all((p[r] == q[r]).all() for p, q, r in zip(places, at, real, strict=True))
