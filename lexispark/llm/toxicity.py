@@ -110,7 +110,7 @@ class Model:
                     batch, owner, count, held = [], [], [], 0
         if batch:
             self._pool(batch, owner, count, out)
-        return out.reshape(len(docs), -1)
+        return out.reshape(len(docs), len(WIDTHS) * FILTERS * TOP)  # no -1: there may be no documents
 
     def _pool(self, batch: list[np.ndarray], owner: list[int], count: list[int], out: np.ndarray) -> None:
         flat, bounds = joined(batch, count)

@@ -233,6 +233,21 @@ def test_convolution_by_loops(labelled):
         assert toxicity.lowest(score, y) == (min(toxicity.CEILING, max(toxicity.FLOOR, good[-1])) if good else toxicity.CUT)
 
 
+def test_toxicity_of_batches_without_rows_of_a_fold(labelled):
+    """The last batch of a partition may have fewer rows than there are folds."""
+    docs, labels = labelled
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert toxicity.train([np.array([1 << 16])], np.array([1.0])).logits([]).shape == (0,)
+    few = labels.where("doc_id < 100")
+    whole, held = toxicity.fit(docs, few), spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        single = toxicity.fit(docs, few)
+    finally:
+        spark.conf.set(name, held)
+    assert (single.slope, single.shift) == pytest.approx((whole.slope, whole.shift)) and single.thresholds == pytest.approx(whole.thresholds)
+
+
 def test_toxicity_calibration_reaches_its_optimum(labelled):
     docs, _ = labelled
     rng = np.random.default_rng(5)
