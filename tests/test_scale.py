@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -55,6 +56,12 @@ def test_windows_are_scored_where_the_text_is(docs, monkeypatch):
     assert sorted(map(repr, scoring.logits(docs, model, 5, 2, 1, 0, ("title",)).collect())) == whole
 
 
+def test_a_model_is_counted_without_a_row_for_each_document(docs, no_broadcast):
+    """No task of the model sorts, joins or is dealt rows by document, of which there are as many as documents times words."""
+    model = plan(scoring.multinomial(docs, 3))
+    assert "doc_ord" not in "".join(re.findall(r"hashpartitioning\([^)]*|SortMergeJoin[^\n]*|Sort \[[^\]]*|keys=\[[^\]]*", model))
+
+
 def test_works_and_labels_are_sent_to_the_texts(spark, docs, no_broadcast):
     assert "BroadcastHashJoin" in plan(splits.split_works(docs))
     if os.path.isdir(DATA):
