@@ -82,6 +82,45 @@ def test_a_test_row_goes_once_to_a_block(spark, monkeypatch):
     assert 50 <= rows <= 50 * 36 and sent[0].groupBy("block", "doc_ord").count().where("count > 1").isEmpty()
 
 
+def test_copies_of_vectors_are_compared_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    tests, rows = rng.normal(size=(40, 12)).round(1), rng.normal(size=(300, 12)).round(1)
+    rows[:20] = tests[:20]
+    a = [(1000 * c + i, v.tolist()) for c in range(6) for i, v in enumerate(tests)]
+    b = [(100_000 + 1000 * c + i, v.tolist()) for c in range(6) for i, v in enumerate(rows)]
+    frames = [spark.createDataFrame(x, "doc_ord long, z array<double>").repartition(3).localCheckpoint() for x in (a, b)]
+    sent, seen = [], features.PivotIndex.seen
+    monkeypatch.setattr(features.PivotIndex, "seen", lambda *x: sent.append(seen(*x)) or sent[-1])
+    got = {(r["doc_ord"], r["place"]): (r["delta"], r["neighbour"]) for r in features.nearest(*frames, 4).collect()}
+    want = {}
+    for i, v in a:
+        near = sorted((round(sum(abs(x - y) for x, y in zip(v, w, strict=True)) / 12, 9), j) for j, w in b)[:4]
+        want |= {(i, p + 1): x for p, x in enumerate(near)}
+    assert got == want
+    assert sent[0].select("doc_ord").distinct().count() == 40
+    held = features.Leaves(np.array([j for j, _ in b]), np.array([w for _, w in b]), 4)
+    assert len(held.rows) == 300 and held.ids.shape == (300, 4)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_leaves_find_the_nearest(monkeypatch, k):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(features, "LEAF", 32)
+    for make in (lambda n: rng.gamma(0.2, 5, (n, 11)), lambda n: rng.integers(0, 3, (n, 7)) * 1.0, lambda n: np.round(rng.standard_cauchy((n, 100)), 1), lambda n: np.ones((n, 3)), lambda n: np.zeros((n, 0))):
+        rows, tests, ids = make(500), make(70), rng.permutation(500)
+        rows[:35] = tests[:35]
+        if rows.shape[1] > 3:
+            rows[40, 0], tests[69, 1] = np.nan, np.inf
+        d = np.round(features.distances(tests, rows), 9)
+        d[~np.isfinite(d)] = np.inf
+        for most in (np.full(70, np.inf), np.sort(d, axis=1)[:, k - 1]):
+            best, who = features.Leaves(ids, rows, k).search(tests, most)
+            for t in range(70):
+                order = np.lexsort((ids, d[t]))[:k]
+                order = order[np.isfinite(d[t, order])]
+                assert best[t, : len(order)].tolist() == d[t, order].tolist() and who[t, : len(order)].tolist() == ids[order].tolist()
+
+
 def test_confusion_reads_its_rows_once(spark):
     read = spark.sparkContext.accumulator(0)
 
