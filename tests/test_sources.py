@@ -65,6 +65,24 @@ def test_texts_there_and_back(spark, tmp_path):
             src.write_texts(spark.createDataFrame([(bad, "t")], "file_path string, text string"), folder)
 
 
+def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch):
+    texts = [(f"a/{i % 3}/b{i}.txt", f"text {i}") for i in range(60)] + [("top.txt", "t"), ("a/_no/x.txt", "h"), ("a/.no/x.txt", "h"), ("a/x.md", "m"), ("a/k=1/y.txt", "y"), ("z.gz.txt", "z")]
+    folder = str(tmp_path / "out of it")
+    for path, text in texts:
+        at = tmp_path / "out of it" / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+    rows = src.read_texts(spark, folder)
+    assert len(rows.inputFiles()) == 0  # no index of files, which a driver would hold
+    want = {f"file:{folder}/{p}": t for p, t in texts if "_no" not in p and ".no" not in p and not p.endswith(".md")}
+    assert {r["path"]: r["text"] for r in rows.collect()} == want
+    src.remove_tree(spark, folder)
+    src.remove_tree(spark, folder)
+    assert not (tmp_path / "out of it").exists()
+    with pytest.raises(FileNotFoundError):
+        src.read_texts(spark, folder)
+
+
 def test_files_that_metadata_names(spark, tmp_path):
     (tmp_path / "in/sub").mkdir(parents=True)
     (tmp_path / "in/sub/one.txt").write_text("\ufeffone é", encoding="utf-8")
